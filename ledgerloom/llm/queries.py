@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import simhash
+from ledgerloom.llm import mixing, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,120 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, bits=64, max_bits=2)
 
 
+#: The rules of the query: host, path, action.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), rules)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op6_url_filters": op6_url_filters,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP6 = """
+with parsed as (
+  select page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages
+), judged as (
+  select *, case
+    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/'
+  end as rule
+  from parsed
+)
+select page_id, host, path, rule,
+       case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
+from judged
+"""
+
+_OP7 = r"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
+  from documents
+), totals as (
+  select cast(coalesce(sum(size), 0) as bigint) as total, count(*) as n_rows from sized
+), how as (
+  select least(64, greatest(1, total // 1048576)) as block,
+         greatest(1, (total + 4194303) // 4194304, (n_rows + 4194303) // 4194304) as shards, total
+  from totals
+), sizes as (
+  select source, cast(sum(size) as bigint) as source_size,
+         row_number() over (order by source nulls last) - 1 as n
+  from sized group by source
+), weighed as (
+  select *, case n % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
+         3 * source_size as most
+  from sizes
+), levels as (
+  select *, ((select total from how) - coalesce(sum(most) over (order by most / weight, n rows between unbounded preceding and 1 preceding), 0))::double
+         / sum(weight) over (order by most / weight, n rows between current row and unbounded following) as level
+  from weighed
+), targets as (
+  select source, n, source_size,
+         least(weight * (select max(level) from levels where level * weight <= most), most::double) as target
+  from levels
+), dealt as (
+  select *, ('0x' || substr(mark, 1, 8))::bigint % (select shards from how) as shard
+  from (select *, md5(concat_ws('|', '42', coalesce(cast(doc_id as varchar), 'size' || size))) as mark from sized)
+), cells as (
+  select d.shard, d.source, t.n, t.source_size, t.target, cast(sum(d.size) as bigint) as cell_size
+  from dealt d join targets t on d.source is not distinct from t.source
+  group by all
+), aimed as (
+  select *, case when source_size > 0 then target * cell_size / source_size else 0 end as aim,
+         (cell_size + (select block from how) - 1) // (select block from how) as n_blocks
+  from cells
+), seats as (
+  select shard, floor(sum(aim) / (select block from how) + 0.5) as seats from aimed group by shard
+), quotients as (
+  select shard, n, row_number() over (partition by shard order by aim / (2 * k + 1) desc, n) as place
+  from (select shard, n, aim, unnest(range(0, cast(3 * n_blocks as bigint))) as k from aimed)
+), quotas as (
+  select a.*, (select count(*) from quotients q join seats s using (shard)
+               where q.shard = a.shard and q.n = a.n and q.place <= s.seats) as quota
+  from aimed a
+), runs as (
+  select *, case when n_blocks > 0 then quota // n_blocks else 0 end as passes,
+         case when n_blocks > 0
+              then ('0x' || substr(md5(concat_ws('|', '42run', cast(shard as varchar), coalesce(source, ''))), 1, 8))::bigint % n_blocks
+              else 0 end as first
+  from quotas
+), placed as (
+  select *, sum(size) over (partition by shard, source order by mark, doc_id, size
+                            rows between unbounded preceding and current row) as hi
+  from dealt
+), met as (
+  select p.doc_id, p.size, r.source_size, r.target, r.passes, p.hi - p.size as lo, p.hi,
+         r.first, r.first + r.quota - r.passes * r.n_blocks as until, r.n_blocks, (select block from how) as block
+  from placed p join runs r on p.shard = r.shard and p.source is not distinct from r.source
+)
+select doc_id, size, source_size, target,
+       cast(passes * size
+            + greatest(least(hi, least(until, n_blocks) * block) - greatest(lo, first * block), 0)
+            + case when until > n_blocks then greatest(least(hi, (until - n_blocks) * block) - lo, 0) else 0 end as bigint) as taken
+from met
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": _OP6, "op7_mixing": _OP7}
