@@ -46,3 +46,14 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         yield text[start:end].split()
         start = end
     yield text[start:].split()
+
+
+def worker_state(name: str, make):
+    """What ``make()`` gives, made once for each Python worker process."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

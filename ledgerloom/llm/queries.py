@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, simhash, urls
+from ledgerloom.llm import bpe, mixing, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +41,24 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def rank_file() -> bytes:
+    """The content of the public rank file, about 0.8 MB."""
+    return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of what they decode to."""
+    ranks = rank_file()
+    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode_documents(encoded, ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
+    "op10_bpe": op10_bpe,
 }
 
 _OP6 = """
