@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, simhash, urls
+from ledgerloom.llm import bpe, mixing, simhash, tokenfiles, urls
+from ledgerloom.session import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of all documents, from token files read back."""
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    root = new_path(spark, "tokens")
+    files = tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), tokenizer, root, end_id=2)
+    found = tokenfiles.read_token_files(spark, root, files)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def rank_file() -> bytes:
     """The content of the public rank file, about 0.8 MB."""
     return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
@@ -58,6 +68,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
+    "op8_token_files": op8_token_files,
     "op10_bpe": op10_bpe,
 }
 
