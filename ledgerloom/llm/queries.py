@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, simhash, tokenfiles, urls
+from ledgerloom.llm import bpe, mixing, simhash, tokenfiles, urls, vectors
 from ledgerloom.session import new_path
 
 
@@ -21,6 +21,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, bits=64, max_bits=2)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector."""
+    return vectors.multi_index_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every 100th vector."""
+    return vectors.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 #: The rules of the query: host, path, action.
 URL_RULES = [
     ("net", "/", "block"),
@@ -66,12 +76,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_multi_index": op3_multi_index,
+    "op4_exact_top_k": op4_exact_top_k,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op10_bpe": op10_bpe,
 }
 
+_OP4 = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as vec
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.vec, v.vec), lambda p: p[1] * p[2])) as bigint) as score
+  from usable q join usable v on v.vec_id <> q.vec_id
+  where q.vec_id % 100 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 10
+"""
+
 _OP6 = """
 with parsed as (
   select page_id,
@@ -161,4 +188,4 @@ select doc_id, size, source_size, target,
 from met
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": _OP6, "op7_mixing": _OP7}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": _OP4, "op6_url_filters": _OP6, "op7_mixing": _OP7}
