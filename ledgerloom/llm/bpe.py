@@ -27,6 +27,8 @@ from ledgerloom.session import written
 
 #: Characters of a chunk, and how far it reads on into the next one.
 CHUNK, OVERLAP = 32768, 1024
+#: Words whose ids a worker keeps; rows that it gives back at a time.
+CACHE, ROWS = 50_000, 512
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -37,7 +39,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 def _encoder(data: bytes, pattern: str) -> UnitEncoder:
     def make():
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(data), special_tokens={})
-        return UnitEncoder(core.encode_ordinary)
+        return UnitEncoder(core.encode_ordinary, most=CACHE)
 
     return worker_state(f"bpe {hash((data, pattern))}", make)
 
@@ -109,8 +111,8 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = C
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -148,8 +150,11 @@ def decode_documents(encoded: DataFrame, ranks: bytes) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = worker_state(f"bpe bytes {hash(data.value)}", lambda: {i: t for t, i in read_ranks(data.value).items()})
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(token.__getitem__, array("I", ids))) for ids in batch.column(names.index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = part.column(names.index("ids")).to_pylist()
+                texts = [None if x is None else b"".join(map(token.__getitem__, array("I", x))) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(decode, f"{fields}, decoded binary")

@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.arrow import worker_state
 from ledgerloom.llm.units import UnitEncoder
 
+#: Words whose ids a worker keeps.
+CACHE = 200_000
+
 HEAD, TAIL = b"LLTOK001", b"LLTOKEND"
 
 #: The dictionary is trained on about so many documents of at most so many
@@ -48,7 +51,7 @@ def _encoder(tokenizer: str) -> UnitEncoder:
 
         loaded = Tokenizer.from_str(tokenizer)
         loaded.encode_special_tokens = True
-        return UnitEncoder(lambda unit: loaded.encode(unit, add_special_tokens=False).ids)
+        return UnitEncoder(lambda unit: loaded.encode(unit, add_special_tokens=False).ids, most=CACHE)
 
     return worker_state(f"tokenizer {hash(tokenizer)}", make)
 
