@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, mixing, simhash, tokenfiles, urls, vectors
+from ledgerloom.llm import bpe, langid, mixing, simhash, tokenfiles, urls, vectors
 from ledgerloom.session import new_path
 
 
@@ -61,6 +61,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def fold(n: int):
+    """crc32 of the id as text, modulo n; rows without an id are in no fold."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(3) != 1), F.col("lang"))
+    return langid.predict(docs, model).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def rank_file() -> bytes:
     """The content of the public rank file, about 0.8 MB."""
     return Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
@@ -81,6 +93,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 
