@@ -39,7 +39,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 def _encoder(data: bytes, pattern: str) -> UnitEncoder:
     def make():
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(data), special_tokens={})
-        return UnitEncoder(core.encode_ordinary, most=CACHE)
+        return UnitEncoder(core.encode_ordinary, most=CACHE, most_cores=2 * CACHE)
 
     return worker_state(f"bpe {hash((data, pattern))}", make)
 

@@ -19,7 +19,7 @@ import bisect
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.arrow import worker_state
 from ledgerloom.llm.units import UnitEncoder
 
-#: Words whose ids a worker keeps.
-CACHE = 200_000
+#: Words and units whose ids a worker keeps.
+WORDS, UNITS = 300_000, 1_000_000
 
 HEAD, TAIL = b"LLTOK001", b"LLTOKEND"
 
@@ -42,8 +42,8 @@ HEAD, TAIL = b"LLTOK001", b"LLTOKEND"
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 16384, 32768
 
 
-def _encoder(tokenizer: str) -> UnitEncoder:
-    """An encoder by the tokenizers library; special tokens' strings are ordinary text."""
+def _encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes texts by the tokenizers library; special tokens' strings are ordinary text."""
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +51,9 @@ def _encoder(tokenizer: str) -> UnitEncoder:
 
         loaded = Tokenizer.from_str(tokenizer)
         loaded.encode_special_tokens = True
-        return UnitEncoder(lambda unit: loaded.encode(unit, add_special_tokens=False).ids, most=CACHE)
+        encoder = UnitEncoder(lambda unit: loaded.encode(unit, add_special_tokens=False).ids, most=WORDS, most_cores=UNITS)
+        many = lambda units: [e.ids for e in loaded.encode_batch_fast(units, add_special_tokens=False)]
+        return lambda texts: encoder.learn(texts, many) or [encoder.encode(t) for t in texts]
 
     return worker_state(f"tokenizer {hash(tokenizer)}", make)
 
@@ -141,9 +143,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encode_texts = _encoder(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(t) for t in batch.column(0).to_pylist()], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(encode_texts(batch.column(0).to_pylist()), pa.binary())], names=["ids"])
 
     rows = docs.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, SAMPLE / max(rows, 1)) * (1 << 30))
@@ -160,11 +162,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     file_no = F.coalesce(F.size(F.filter(F.lit(bounds or []).cast("array<long>"), lambda b: b < F.col("doc_id"))), F.lit(0))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = _encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
+        encode_texts, compressor = _encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 piece = batch.slice(start, 512)
-                ids = [encoder.encode(t or "") + end for t in piece.column(2).to_pylist()]
+                ids = [x + end for x in encode_texts([t or "" for t in piece.column(2).to_pylist()])]
                 lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), lengths, pa.array(map(compressor.compress, ids), pa.binary())], names=["file_no", "doc_id", "n_tokens", "frame"])
 

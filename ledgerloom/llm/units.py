@@ -15,6 +15,8 @@ from collections.abc import Callable
 #: Units by their own rule; Python's white space without the separators
 #: U+001C to U+001F, which the pre-token pattern does not count as such.
 _UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Units of more characters aren't kept.
+LONG = 64
 _PUNCTUATION = ".,;:!?|&%$#*)\"]}"
 
 
@@ -25,27 +27,32 @@ class _Odd(Exception):
 class _Units(dict):
     """Packed ids of units that begin with one space, keyed without the space."""
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int):
-        self.encode, self.most, self.cores = encode, most, {}
-
-    def pack(self, unit: str) -> bytes:
-        return array("I", self.encode(unit)).tobytes()
+    def __init__(self, encode: Callable[[str], list[int]], most: int, most_cores: int):
+        self.encode, self.most, self.most_cores, self.cores = encode, most, most_cores, {}
 
     def core(self, unit: str) -> bytes:
         found = self.cores.get(unit)
         if found is None:
-            if len(self.cores) >= 2 * self.most:
-                self.cores.clear()
-            found = self.cores[unit] = self.pack(unit)
+            found = array("I", self.encode(unit)).tobytes()
+            if len(unit) <= LONG:
+                if len(self.cores) >= self.most_cores:
+                    self.cores.clear()
+                self.cores[unit] = found
         return found
 
+    def parts(self, word: str) -> tuple[str, ...]:
+        """The unit of a word, as a whole or cut before its last punctuation.
+
+        Between a letter and punctuation there is always a pre-token boundary.
+        """
+        core = word.rstrip(_PUNCTUATION)
+        return (" " + core, word[len(core) :]) if core != word and core.isalpha() else (" " + word,)
+
     def __missing__(self, word: str) -> bytes:
         if not word or word[-1].isspace():
             raise _Odd
-        core = word.rstrip(_PUNCTUATION)
-        # Between a letter and punctuation there is always a pre-token boundary.
-        packed = self.core(" " + core) + self.core(word[len(core) :]) if core.isalpha() and core != word else self.core(" " + word)
-        if len(word) <= 64:
+        packed = b"".join(map(self.core, self.parts(word)))
+        if len(word) <= LONG:
             if len(self) >= self.most:
                 self.clear()
             self[word] = packed
@@ -55,8 +62,21 @@ class _Units(dict):
 class UnitEncoder:
     """``encode(text)`` gives the ids of a text as little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000):
-        self.units = _Units(encode, most)
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 100_000, most_cores: int = 200_000):
+        self.units = _Units(encode, most, most_cores)
+
+    def learn(self, texts: list[str], encode_many: Callable[[list[str]], list[list[int]]]) -> None:
+        """Looks up the unknown units of some texts together, where that is cheaper."""
+        units, words = self.units, set()
+        for text in texts:
+            words.update(text.split(" "))
+        new = {p for w in words if w not in units and 0 < len(w) <= LONG for p in units.parts(w)}
+        new = [p for p in new if p not in units.cores]
+        if len(units.cores) + len(new) > units.most_cores:
+            units.cores.clear()
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            units.cores.update(zip(part, (array("I", ids).tobytes() for ids in encode_many(part)), strict=True))
 
     def encode(self, text: str) -> bytes:
         head, *words = text.split(" ")

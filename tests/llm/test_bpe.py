@@ -40,7 +40,7 @@ def test_query_matches_the_library(spark, public):
 @given(st.text(st.sampled_from("ab Z9 é½Ⅷ中.'s\n\t\r\x0b\x1c\x1f\x85  　​_!|<>"), max_size=40))
 def test_units_match_the_library(text):
     core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([b]): b for b in range(256)} | {b" a": 256, b"ab": 257, b" ab": 258, b"  ": 259}, special_tokens={})
-    assert UnitEncoder(core.encode_ordinary, most=4).encode(text) == packed(core.encode_ordinary(text))
+    assert UnitEncoder(core.encode_ordinary, most=4, most_cores=8).encode(text) == packed(core.encode_ordinary(text))
 
 
 @pytest.mark.parametrize("overlap", [40, 8])
