@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, mixing, simhash, tokenfiles, urls, vectors
+from ledgerloom.llm import bpe, langid, mixing, simhash, tokenfiles, toxicity, urls, vectors
+from ledgerloom.llm.labels import labelled_sample
 from ledgerloom.session import new_path
 
 
@@ -66,6 +67,20 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def train_toxicity(spark: SparkSession, sf_dir: str, documents: DataFrame) -> toxicity.Model | None:
+    """Model from labelled rows outside the held-out fold."""
+    most = {0: toxicity.OTHER, 1: toxicity.TOXIC}
+    return toxicity.train(labelled_sample(documents, _table(spark, sf_dir, "labels"), "toxic", fold(3) != 1, most))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, train_toxicity(spark, sf_dir, docs))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents")
@@ -90,6 +105,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_multi_index": op3_multi_index,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_toxicity": op5_toxicity,
     "op6_url_filters": op6_url_filters,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
