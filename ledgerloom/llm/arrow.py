@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -57,3 +59,23 @@ def worker_state(name: str, make):
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+def with_score(docs: DataFrame, make: Callable[[], Callable], keep: list[str], name: str, rows: int = 256) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and a double ``name``.
+
+    ``make()``, called once a task, gives a function from the UTF-8 bytes of
+    some texts to their scores.
+    """
+    picked = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = picked.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                values = pa.array(score(text_bytes(part.column(at))), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], values], names=[*keep, name])
+
+    return picked.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(name, T.DoubleType())]))

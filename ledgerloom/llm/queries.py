@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, mixing, simhash, tokenfiles, toxicity, urls, vectors
+from ledgerloom.llm import bpe, langid, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
 from ledgerloom.llm.labels import labelled_sample
 from ledgerloom.session import new_path
 
@@ -67,6 +67,20 @@ def fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def train_quality(spark: SparkSession, sf_dir: str, documents: DataFrame) -> quality.Model | None:
+    """Model from labelled rows outside the held-out fold."""
+    most = {0: quality.LABELLED, 1: quality.LABELLED}
+    return quality.train(labelled_sample(documents, _table(spark, sf_dir, "labels"), "quality", fold(5) != 0, most))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, train_quality(spark, sf_dir, docs))
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def train_toxicity(spark: SparkSession, sf_dir: str, documents: DataFrame) -> toxicity.Model | None:
     """Model from labelled rows outside the held-out fold."""
     most = {0: toxicity.OTHER, 1: toxicity.TOXIC}
@@ -103,6 +117,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_multi_index": op3_multi_index,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
