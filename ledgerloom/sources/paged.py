@@ -1,0 +1,82 @@
+"""A data source of pages: ``spark.read.format("paged")``."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow.dataset
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class _Page(InputPartition):
+    def __init__(self, lo: int, hi: int | None):
+        self.lo, self.hi = lo, hi
+
+
+class PagedReader(DataSourceReader):
+    """Offset mode reads ``limit`` rows at a time until a short page; keyset mode
+    reads disjoint key ranges, each page by page. A page that fails fails its
+    task, which Spark tries again."""
+
+    def __init__(self, schema, options):
+        self.schema, self.options = schema, options
+        self.limit = int(options.get("limit", 1000))
+        self.keyset = options.get("mode", "offset") == "keyset"
+
+    def partitions(self) -> list[InputPartition]:
+        n = int(self.options.get("partitions", 4))
+        if self.keyset:
+            lo, hi = int(self.options["lo"]), int(self.options["hi"])
+            step = max(1, -(-(hi - lo + 1) // n))
+            return [_Page(a, min(a + step - 1, hi)) for a in range(lo, hi + 1, step)]
+        rows = int(self.options["rows"]) if "rows" in self.options else None
+        if rows is None:
+            return [_Page(0, None)]
+        per = max(1, -(-rows // (n * self.limit))) * self.limit
+        # The last range is open: rows may have come since they were counted.
+        return [_Page(a, a + per if a + per < rows else None) for a in range(0, max(rows, 1), per)]
+
+    def _page(self, **where) -> list[tuple]:
+        """One page from the store: here files, one JSON record a line or Parquet."""
+        key, names = self.options["key"], [f.name for f in self.schema]
+        data = pyarrow.dataset.dataset(self.options["path"], format=self.options.get("files", "parquet"))
+        if self.keyset:
+            field = pyarrow.dataset.field(key)
+            table = data.to_table(columns=list(dict.fromkeys([*names, key])), filter=(field > where["after"]) & (field <= where["upto"])).sort_by(key)
+            return [tuple(r[n] for n in names) for r in table.slice(0, self.limit).to_pylist()]
+        table = data.to_table(columns=list(dict.fromkeys([*names, key]))).sort_by(key)
+        return [tuple(r[n] for n in names) for r in table.slice(where["offset"], self.limit).to_pylist()]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        names = [f.name for f in self.schema]
+        if self.keyset:
+            after = partition.lo - 1
+            while page := self._page(after=after, upto=partition.hi):
+                yield from page
+                after = page[-1][names.index(self.options["key"])]
+                if len(page) < self.limit:
+                    break
+            return
+        offset = partition.lo
+        while partition.hi is None or offset < partition.hi:
+            page = self._page(offset=offset)
+            yield from page
+            offset += self.limit
+            if len(page) < self.limit:
+                break
+
+
+class PagedSource(DataSource):
+    """Needs a schema. Options: path, files (parquet, json), key, mode (offset, keyset), limit, partitions, rows, lo, hi."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def reader(self, schema) -> PagedReader:
+        return PagedReader(schema, self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(PagedSource)
