@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import data_word, topic_to_address
-from ledgerloom.functions.u256 import hex_to_u256
+from ledgerloom.functions.u256 import word_to_u256
 from ledgerloom.schemas import EVENTS, ZERO_ADDRESS
 
 _DYNAMIC = {"bytes", "string", "address[]"}
@@ -19,10 +19,11 @@ def _number(word: Column) -> Column:
 
 
 def _from_word(word: Column, kind: str) -> Column:
+    """The text of a word; a number's word as it is, to be printed with the others."""
     if kind == "address":
         return F.concat(F.lit("0x"), F.lower(F.substring(word, 25, 40)))
     if kind.startswith("uint"):
-        return hex_to_u256(word)
+        return word
     if kind == "bool":
         return F.when(F.substring(word, 64, 1) == "1", "true").otherwise("false")
     return F.concat(F.lit("0x"), F.lower(word))
@@ -30,8 +31,8 @@ def _from_word(word: Column, kind: str) -> Column:
 
 def _tail(data: Column, offset: Column, kind: str) -> Column:
     """A dynamic value; ``offset`` is in bytes from the start of ``0x`` data."""
-    at = offset * 2 + 3
-    length = _number(data.substr(at, F.lit(64)))
+    at = (offset * 2 + 3).cast("int")
+    length = _number(data.substr(at, F.lit(64))).cast("int")
     if kind == "address[]":
         path = address_array(data, offset)
         return F.concat(F.lit('["'), F.array_join(path, '","'), F.lit('"]'))
@@ -41,14 +42,26 @@ def _tail(data: Column, offset: Column, kind: str) -> Column:
     return F.concat(F.lit("0x"), F.lower(body))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def address_array(data: Column, offset: Column, most: int | None = None) -> Column:
     """``address[]`` at a byte offset of ``0x`` data, cut short where the data end."""
-    at = offset * 2 + 3
-    there = F.floor((F.length(data) - at - 63) / 64).cast("long")
-    n = F.least(_number(data.substr(at, F.lit(64))), there)
-    n = F.least(n, F.lit(most)) if most else n
-    items = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), lambda i: F.concat(F.lit("0x"), F.lower(data.substr((at + 88 + i * 64).cast("int"), F.lit(40)))))
-    return F.when(n <= 0, F.array().cast("array<string>")).otherwise(items)
+
+    def counted(s: Column) -> Column:
+        there = F.call_function("div", F.length(s["d"]) - s["at"] - 63, F.lit(64))
+        n = F.least(_number(s["d"].substr(s["at"], F.lit(64))), there)
+        return F.struct(s["d"].alias("d"), s["at"].alias("at"), (F.least(n, F.lit(most)) if most else n).alias("n"))
+
+    def cut(s: Column) -> Column:
+        item = lambda i: F.concat(F.lit("0x"), F.lower(s["d"].substr((s["at"] + 88 + i * 64).cast("int"), F.lit(40))))
+        items = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(s["n"], F.lit(1).cast("long")) - 1), item)
+        return F.when(s["n"] <= 0, F.array().cast("array<string>")).when(s["n"].isNotNull(), items)
+
+    start = F.struct(data.alias("d"), (offset * 2 + 3).cast("int").alias("at"))
+    return _let(start, lambda s: _let(counted(s), cut))
 
 
 def _value(data: Column, k: int, kind: str) -> Column:
@@ -57,6 +70,12 @@ def _value(data: Column, k: int, kind: str) -> Column:
     return _from_word(data_word(data, k), kind)
 
 
+def _printed(values: Column, kinds: list[str]) -> Column:
+    """Parameters as text: the words of numbers go through one expression together."""
+    numbers = F.array(*[F.lit(k.startswith("uint")) for k in kinds])
+    return F.zip_with(values, numbers, lambda v, is_number: F.when(is_number, word_to_u256(v)).otherwise(v))
+
+
 def event_params(name: str, topics: Column, data: Column) -> list[Column]:
     """The parameters of an event in order of declaration, as text."""
     found, topic, word = [], 1, 0
@@ -78,21 +97,29 @@ def decode_log(df: DataFrame, names: list[str] | None = None, topics: str = "top
     are text, in order of declaration, ``element_at(event_params, 1)`` the first.
     """
     listed = F.split(F.col(topics), ",")
-    decoded = F.lit(None)
+    topic0 = F.lower(F.substring_index(F.col(topics), ",", 1))
+    raw = numbers = signature = F.lit(None)
     for name in names or list(EVENTS):
+        is_it, kinds = topic0 == EVENTS[name][0], [kind for _, kind, _ in EVENTS[name][1]]
         params = event_params(name, listed, F.col(data))
-        made = F.struct(F.lit(name).alias("event_signature"), (F.array(*params) if params else F.array()).cast("array<string>").alias("event_params"))
-        decoded = F.when(F.lower(F.element_at(listed, 1)) == EVENTS[name][0], made).otherwise(decoded)
-    return df.withColumn("decoded", decoded)
+        signature = F.when(is_it, F.lit(name)).otherwise(signature)
+        raw = F.when(is_it, F.array(*params).cast("array<string>")).otherwise(raw)
+        numbers = F.when(is_it, F.array(*[F.lit(k.startswith("uint")) for k in kinds]).cast("array<boolean>")).otherwise(numbers)
+    printed = F.zip_with(raw, numbers, lambda v, is_number: F.when(is_number, word_to_u256(v)).otherwise(v))
+    return df.withColumn("decoded", F.when(signature.isNotNull(), F.struct(signature.alias("event_signature"), printed.alias("event_params"))))
+
+
+def decode_event(df: DataFrame, name: str, topics: str = "topics", data: str = "data") -> DataFrame:
+    """The logs of one event, decoded; the filter on topics reaches the scan."""
+    return decode_log(df.where(F.col(topics).startswith(EVENTS[name][0])), [name], topics, data)
 
 
 def route_events(df: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
     """One table per event: its parameters as columns, block, time and transaction."""
-    decoded = decode_log(df, names)
     kept = ["id", "block_number", "block_timestamp", "transaction_hash"]
     out = {}
     for name in names or list(EVENTS):
-        rows = decoded.where(F.col("decoded.event_signature") == name)
+        rows = decode_event(df, name)
         params = [F.col("decoded.event_params")[k].alias(p) for k, (p, *_) in enumerate(EVENTS[name][1])]
         out[name] = rows.select(*kept, *params)
     return out
@@ -106,7 +133,7 @@ def decode_call(df: DataFrame, selector: str, kinds: list[str], call: str = "inp
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
     whole = F.col(call).startswith(selector) & (F.length(F.col(call)) >= 10 + 64 * len(kinds))
     inputs = F.array(*[_value(data, k, kind).cast("string") for k, kind in enumerate(kinds)])
-    return df.withColumn("decoded", F.when(whole, F.struct(inputs.alias("inputs"))))
+    return df.withColumn("decoded", F.when(whole, F.struct(_printed(inputs, kinds).alias("inputs"))))
 
 
 def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None, fallback: bool = False) -> DataFrame:
@@ -115,15 +142,15 @@ def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None
     The path ends where the data do, or at ``most`` tokens; with ``fallback`` an
     unreadable path is two null addresses.
     """
+
+    def decoded(data: Column) -> Column:
+        path = address_array(data, _number(data_word(data, 2)), most)
+        if fallback:
+            path = F.when(path.isNull() | (F.size(path) == 0), F.array(F.lit(ZERO_ADDRESS), F.lit(ZERO_ADDRESS))).otherwise(path)
+        numbers = F.transform(F.array(*[data_word(data, k) for k in (0, 1, 4)]), word_to_u256)
+        return F.struct(numbers.alias("numbers"), path.alias("path"), _from_word(data_word(data, 3), "address").alias("to"))
+
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
-    path = address_array(data, _number(data_word(data, 2)), most)
-    if fallback:
-        path = F.when(path.isNull() | (F.size(path) == 0), F.array(F.lit(ZERO_ADDRESS), F.lit(ZERO_ADDRESS))).otherwise(path)
-    named = {
-        "amount_in": hex_to_u256(data_word(data, 0)),
-        "amount_out_min": hex_to_u256(data_word(data, 1)),
-        "path": path,
-        "to": _from_word(data_word(data, 3), "address"),
-        "deadline": hex_to_u256(data_word(data, 4)),
-    }
-    return df.where(F.length(F.col(call)) >= 10 + 64).withColumns(named)
+    whole = df.where(F.length(F.col(call)) >= 10 + 64).withColumn("_call", _let(data, decoded))
+    named = {n: F.col("_call.numbers")[k] for k, n in enumerate(("amount_in", "amount_out_min", "deadline"))}
+    return whole.withColumns(named | {"path": F.col("_call.path"), "to": F.col("_call.to")}).drop("_call")

@@ -65,9 +65,23 @@ def hex_to_decimal(text: Column) -> Column:
     return F.when((l[0] == 0) & (l[1] == 0) & (l[2] == 0) & (l[3] == 0) & (l[4] < 1 << 30), low.cast("decimal(38,0)"))
 
 
+def word_to_u256(word: Column) -> Column:
+    """64 hex digits as exact decimal text; anything else gives ``0``.
+
+    Most amounts fit in 60 bits and take one conversion, most of the rest in 124.
+    """
+    high, low = (F.conv(F.substring(word, at, n), 16, 10).cast("decimal(20,0)") for at, n in ((34, 15), (49, 16)))
+    return (
+        F.when(~F.coalesce(word.rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "0")
+        .when(F.substring(word, 1, 49) == "0" * 49, F.conv(F.substring(word, 50, 15), 16, 10))
+        .when(F.substring(word, 1, 33) == "0" * 33, (high.cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)").cast("string"))
+        .otherwise(digits_to_string(digits_of_limbs(limbs(word))))
+    )
+
+
 def hex_to_u256(text: Column) -> Column:
     """A hex quantity as exact decimal text; null, empty and malformed give ``0``."""
-    return F.coalesce(hex_to_decimal(text).cast("string"), digits_to_string(digits_of_limbs(limbs(hex_word(text)))))
+    return F.transform(F.array(hex_word(text)), word_to_u256)[0]
 
 
 def to_u256(text: Column) -> Column:
@@ -87,18 +101,22 @@ def safe_to_u256(value: Column) -> Column:
 
 def u256_mul(a: Column, b: Column) -> Column:
     """Exact product of two non-negative decimals or decimal texts, as text."""
-    fast = F.try_multiply(a.cast("string").try_cast("decimal(20,0)"), b.cast("string").try_cast("decimal(18,0)"))
-    x, y = string_to_digits(a.cast("string")), string_to_digits(b.cast("string"))
-    sums = []
-    for k in range(2 * DIGITS - 1):
-        terms = [x[i] * y[k - i] for i in range(DIGITS) if 0 <= k - i < DIGITS]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        sums.append(total)
-    held = _carried(F.array(*sums), F.lit(0).cast("long"), 1, BASE)
-    slow = digits_to_string(F.concat(held["out"], F.array(held["carry"])))
-    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(fast.cast("string"), slow))
+    a, b = a.cast("string"), b.cast("string")
+    fast = F.try_multiply(a.try_cast("decimal(20,0)"), b.try_cast("decimal(18,0)")).cast("string")
+
+    def slow(pair: Column) -> Column:
+        """Schoolbook product of nine digits each; a column sum stays below 2^63."""
+        last = DIGITS - 1
+        sums = F.transform(
+            F.sequence(F.lit(0), F.lit(2 * last)),
+            lambda k: F.aggregate(
+                F.sequence(F.greatest(k - last, F.lit(0)), F.least(k, F.lit(last))), F.lit(0).cast("long"), lambda s, i: s + pair["x"][i] * pair["y"][k - i]
+            ),
+        )
+        return F.transform(F.array(_carried(sums, F.lit(0).cast("long"), 1, BASE)), lambda h: digits_to_string(F.concat(h["out"], F.array(h["carry"]))))[0]
+
+    parts = F.array(F.struct(string_to_digits(a).alias("x"), string_to_digits(b).alias("y")))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(fast, F.transform(parts, slow)[0]))
 
 
 def u256_sum(text: Column) -> Column:

@@ -61,9 +61,9 @@ def project_blocks(df: DataFrame) -> DataFrame:
 
 
 def project_transfers(decoded: DataFrame) -> DataFrame:
-    """Transfers from decoded logs: id, sender, recipient, exact value text, position."""
+    """Transfers from decoded Transfer logs: id, sender, recipient, exact value text, position."""
     params = F.col("decoded.event_params")
-    return by_signature(decoded, "Transfer").select(
+    return decoded.select(
         "id",
         F.element_at(params, 1).alias("from_addr"),
         F.element_at(params, 2).alias("to_addr"),

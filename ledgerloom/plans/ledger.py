@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.abi import decode_log, decode_swap_call
+from ledgerloom.functions.abi import decode_event, decode_swap_call
 from ledgerloom.functions.columns import gas_value, path_join, snapshot_id, trace_id
-from ledgerloom.operators.filters import block_between, by_selector, by_signature, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
+from ledgerloom.operators.filters import block_between, by_selector, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
 from ledgerloom.operators.joins import account_ticks, factory_temporal_join, trace_tx_join
 from ledgerloom.operators.windows import latest_per_key, signed_sides
 from ledgerloom.schemas import SWAP_SELECTOR, WINDOW_END, WINDOW_SECONDS, ZERO_ADDRESS
@@ -20,7 +20,7 @@ from ledgerloom.schemas import SWAP_SELECTOR, WINDOW_END, WINDOW_SECONDS, ZERO_A
 
 def transfers_job(logs: DataFrame, lo: int, hi: int) -> DataFrame:
     """Transfers of a block range from raw logs."""
-    return project_transfers(decode_log(block_between(logs, lo, hi), ["Transfer"]))
+    return project_transfers(decode_event(block_between(logs, lo, hi), "Transfer"))
 
 
 def sides_of_accounts(transfers: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def router_swaps_job(traces: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def pairs_job(logs: DataFrame, factory: str | None = None) -> DataFrame:
     """Created pairs from factory logs."""
-    made = by_signature(decode_log(logs if factory is None else logs.where(F.col("address") == factory), ["PairCreated"]), "PairCreated")
+    made = decode_event(logs if factory is None else logs.where(F.col("address") == factory), "PairCreated")
     p = F.col("decoded.event_params")
     return made.select(
         F.element_at(p, 3).alias("pair"), F.element_at(p, 1).alias("token0"), F.element_at(p, 2).alias("token1"), F.col("address").alias("factory"),
@@ -151,7 +151,7 @@ def pairs_job(logs: DataFrame, factory: str | None = None) -> DataFrame:
 def pair_swaps_job(logs: DataFrame, factory: str | None = None) -> DataFrame:
     """Swap logs of created pairs, from their creation on, with four amounts."""
     pairs = pairs_job(logs, factory)
-    swaps = by_signature(decode_log(logs, ["Swap"]), "Swap")
+    swaps = decode_event(logs, "Swap")
     p = F.col("decoded.event_params")
     names = ["sender", "amount0_in", "amount1_in", "amount0_out", "amount1_out", "to_addr"]
     return factory_temporal_join(swaps, pairs).select("id", F.col("address").alias("pair"), *[F.element_at(p, k + 1).alias(n) for k, n in enumerate(names)], "block_number", "log_index")
