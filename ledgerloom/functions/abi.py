@@ -52,8 +52,9 @@ def address_array(data: Column, offset: Column, most: int | None = None) -> Colu
 
     def counted(s: Column) -> Column:
         there = F.call_function("div", F.length(s["d"]) - s["at"] - 63, F.lit(64))
-        n = F.least(_number(s["d"].substr(s["at"], F.lit(64))), there)
-        return F.struct(s["d"].alias("d"), s["at"].alias("at"), (F.least(n, F.lit(most)) if most else n).alias("n"))
+        told = _number(s["d"].substr(s["at"], F.lit(64)))
+        n = F.when(told.isNotNull(), F.least(told, there, *([F.lit(most)] if most else [])))
+        return F.struct(s["d"].alias("d"), s["at"].alias("at"), n.alias("n"))
 
     def cut(s: Column) -> Column:
         item = lambda i: F.concat(F.lit("0x"), F.lower(s["d"].substr((s["at"] + 88 + i * 64).cast("int"), F.lit(40))))

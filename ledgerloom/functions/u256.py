@@ -74,7 +74,7 @@ def word_to_u256(word: Column) -> Column:
     return (
         F.when(~F.coalesce(word.rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "0")
         .when(F.substring(word, 1, 49) == "0" * 49, F.conv(F.substring(word, 50, 15), 16, 10))
-        .when(F.substring(word, 1, 33) == "0" * 33, (high.cast("decimal(18,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)").cast("string"))
+        .when(F.substring(word, 1, 33) == "0" * 33, (high.cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + low).cast("decimal(38,0)").cast("string"))
         .otherwise(digits_to_string(digits_of_limbs(limbs(word))))
     )
 

@@ -96,10 +96,10 @@ def text_columns(df: DataFrame) -> DataFrame:
 
 def infer_schema_first_row(spark: SparkSession, path: str) -> T.StructType:
     """Schema from the first JSON record: number to double, boolean, everything else text."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    found = T.DataType.fromDDL(spark.range(1).select(F.schema_of_json(F.lit(first.value))).first()[0])
     kinds = {T.LongType: T.DoubleType(), T.DoubleType: T.DoubleType(), T.BooleanType: T.BooleanType()}
-    found = spark.read.json(first.select("value"))
-    return T.StructType([T.StructField(f.name, kinds.get(type(f.dataType), T.StringType())) for f in found.schema])
+    return T.StructType([T.StructField(f.name, kinds.get(type(f.dataType), T.StringType())) for f in found])
 
 
 def read_stream_blocks(spark: SparkSession, path: str, schema: str | T.StructType, files_per_batch: int = 64) -> DataFrame:
