@@ -34,9 +34,9 @@ def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     return df.join(ranks.select(F.col(col).alias("_value"), name), F.col(col).eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def out_of_order(df: DataFrame, key: str, arrival: str, block: str) -> DataFrame:
+def out_of_order(df: DataFrame, key: str, arrival: list[str], block: str) -> DataFrame:
     """``is_late``: a row's block is below the highest of the key's rows that came before."""
-    before = Window.partitionBy(key).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("is_late", F.coalesce(F.max(block).over(before) > F.col(block), F.lit(False)))
 
 

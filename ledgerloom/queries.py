@@ -214,9 +214,9 @@ def l8_sqrt_points(spark, d):
     return balances.select("account", F.round(C.sqrt_points(F.col("balance").cast("double")), 6).alias("points"))
 
 
-@query(f"with {_S} select id, account, block_number, coalesce(max(block_number) over (partition by account order by id rows between unbounded preceding and 1 preceding) > block_number, false) as is_late from accounts")
+@query(f"with {_S} select id, account, block_number, coalesce(max(block_number) over (partition by account order by id, block_number rows between unbounded preceding and 1 preceding) > block_number, false) as is_late from accounts")
 def w8_out_of_order(spark, d):
-    return W.out_of_order(L.sides_of_accounts(R.transfers(spark, d)), "account", "id", "block_number").select("id", "account", "block_number", "is_late")
+    return W.out_of_order(L.sides_of_accounts(R.transfers(spark, d)), "account", ["id", "block_number"], "block_number").select("id", "account", "block_number", "is_late")
 
 
 # -- blocks, transactions, factory ---------------------------------------------------
