@@ -47,6 +47,15 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    A generator of one row: projections and filters that follow read its
+    result, where they would else be merged with the expression and repeat it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def address_array(data: Column, offset: Column, most: int | None = None) -> Column:
     """``address[]`` at a byte offset of ``0x`` data, cut short where the data end."""
 
@@ -107,7 +116,7 @@ def decode_log(df: DataFrame, names: list[str] | None = None, topics: str = "top
         raw = F.when(is_it, F.array(*params).cast("array<string>")).otherwise(raw)
         numbers = F.when(is_it, F.array(*[F.lit(k.startswith("uint")) for k in kinds]).cast("array<boolean>")).otherwise(numbers)
     printed = F.zip_with(raw, numbers, lambda v, is_number: F.when(is_number, word_to_u256(v)).otherwise(v))
-    return df.withColumn("decoded", F.when(signature.isNotNull(), F.struct(signature.alias("event_signature"), printed.alias("event_params"))))
+    return _computed(df, "decoded", F.when(signature.isNotNull(), F.struct(signature.alias("event_signature"), printed.alias("event_params"))))
 
 
 def decode_event(df: DataFrame, name: str, topics: str = "topics", data: str = "data") -> DataFrame:
@@ -134,7 +143,7 @@ def decode_call(df: DataFrame, selector: str, kinds: list[str], call: str = "inp
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
     whole = F.col(call).startswith(selector) & (F.length(F.col(call)) >= 10 + 64 * len(kinds))
     inputs = F.array(*[_value(data, k, kind).cast("string") for k, kind in enumerate(kinds)])
-    return df.withColumn("decoded", F.when(whole, F.struct(_printed(inputs, kinds).alias("inputs"))))
+    return _computed(df, "decoded", F.when(whole, F.struct(_printed(inputs, kinds).alias("inputs"))))
 
 
 def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None, fallback: bool = False) -> DataFrame:
@@ -152,6 +161,6 @@ def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None
         return F.struct(numbers.alias("numbers"), path.alias("path"), _from_word(data_word(data, 3), "address").alias("to"))
 
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
-    whole = df.where(F.length(F.col(call)) >= 10 + 64).withColumn("_call", _let(data, decoded))
+    whole = _computed(df.where(F.length(F.col(call)) >= 10 + 64), "_call", _let(data, decoded))
     named = {n: F.col("_call.numbers")[k] for k, n in enumerate(("amount_in", "amount_out_min", "deadline"))}
     return whole.withColumns(named | {"path": F.col("_call.path"), "to": F.col("_call.to")}).drop("_call")

@@ -73,8 +73,11 @@ swaps as (select concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)
 
 
 def _raw(df: DataFrame) -> DataFrame:
-    """A derived raw table as stored Parquet, so that jobs scan it as they would chain data."""
-    return written(df, "raw")
+    """A derived raw table as stored Parquet, so that jobs scan it as they would chain data.
+
+    Its files are about even, whatever files the table comes from.
+    """
+    return written(df.repartition("id"), "raw")
 
 
 def query(sql: str | None = None):
