@@ -103,7 +103,7 @@ def count_where(df: DataFrame, **predicates: Column) -> DataFrame:
 
 def span(df: DataFrame, ts: str, by: list[str] | None = None) -> DataFrame:
     """Seconds between the first and the last time; 0 for none."""
-    seconds = F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))
+    seconds = F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))
     return df.groupBy(*(by or [])).agg(F.coalesce(seconds / 1e6, F.lit(0.0)).alias("seconds"))
 
 

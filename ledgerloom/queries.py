@@ -18,6 +18,7 @@ from ledgerloom.plans import ledger as L
 from ledgerloom.plans import reconcile as N
 from ledgerloom.plans import renditions as R
 from ledgerloom.session import written
+from ledgerloom.sources.sinks import distribution
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,3 +479,88 @@ def o2_page(spark, d):
 @query("select cast(epoch(date_trunc('hour', ts)) as bigint) as start, count(*) as n, max(value) as most from events group by 1")
 def a20_interval_gauge(spark, d):
     return A.interval_gauge(R.table(spark, d, "events"), "ts", "value")
+
+
+# -- further aggregates, joins and sets over the same tables ---------------------------
+
+
+@query("select sum(value) is not null as any_value, round(sum(coalesce(value, 0)), 2) as sum_value from events")
+def a7_volume_sums(spark, d):
+    sums = A.volume_sums(R.table(spark, d, "events"), ["value"])
+    return sums.select(F.col("sum_value").isNotNull().alias("any_value"), F.round("sum_value", 2).alias("sum_value"))
+
+
+@query(f"with {_X} select count(*) filter (where to_address is not null) as valid, count(*) filter (where to_address is null) as missing from tx")
+def a11_null_key_counts(spark, d):
+    return A.null_key_counts(R.transactions(spark, d), "to_address")
+
+
+@query("select count(*) filter (where value > 50) as high, count(*) filter (where event_type = 'click') as clicks from events")
+def a16_count_where(spark, d):
+    return A.count_where(R.table(spark, d, "events"), high=F.col("value") > 50, clicks=F.col("event_type") == "click")
+
+
+@query("select user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as seconds from events group by 1")
+def a17_span(spark, d):
+    return A.span(R.table(spark, d, "events"), "ts", ["user_id"])
+
+
+@query("select event_type, count(*) as n, max(value) as most, min(value) as least from events where value < 90 group by 1")
+def a18_run_summary(spark, d):
+    return A.run_summary(R.table(spark, d, "events"), "event_type", "value", F.col("value") < 90).drop("mean")
+
+
+@query(f"with {_S}, h as (select account, block_number, ts, id, cast(sum(delta) over (partition by account order by ts, block_number, id rows unbounded preceding) as decimal(38,0)) as balance from accounts) select account, max_by(balance, lpad(cast(block_number as varchar), 9, '0') || '|' || id) as balance from h where block_number <= 700 group by 1")
+def j8_balance_at_start(spark, d):
+    history = L.balance_history(R.transfers(spark, d))
+    last = history.groupBy("account", "block_number").agg(F.max_by("balance", "id").alias("balance"))
+    return J.balance_at_window_start(last, 700)
+
+
+@query("select user_id, event_id, value from (select *, max(value) over (partition by user_id) as most from events) where value = most")
+def j10_latest_by_max(spark, d):
+    return J.latest_by_max_join(R.table(spark, d, "events"), "user_id", "value").select("user_id", "event_id", "value")
+
+
+@query("select c_custkey, coalesce(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 0) as o_totalprice from customer left join orders on c_custkey = o_custkey group by 1")
+def j11_left_join_latest(spark, d):
+    accounts = R.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    latest = J.left_join_latest(accounts, R.table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
+    return latest.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+
+
+@query(f"with {_E} select coalesce(a.id, b.id) as id, a.value as value_a, b.value as value_b from plat_a a full join plat_b b on a.id = b.id")
+def j14_pairwise_full(spark, d):
+    both = J.pairwise_full(_one(spark, d, "a"), _one(spark, d, "b"), "id")
+    return both.select("id", F.col("a.value").alias("value_a"), F.col("b.value").alias("value_b"))
+
+
+@query(f"with {_E} select 'both' as side, count(*) as n from (select id from plat_a intersect select id from plat_b) union all select 'a', count(*) from (select id from plat_a except select id from plat_b) union all select 'any', count(*) from (select id from plat_a union select id from plat_b)")
+def u4_key_sets(spark, d):
+    a, b = _one(spark, d, "a"), _one(spark, d, "b")
+    sets = {"both": W.key_intersect(a, b, "id"), "a": W.key_except(a, b, "id"), "any": W.key_union([a, b], "id")}
+    out = None
+    for side, keys in sets.items():
+        n = keys.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query(_overlap_sql("usr").replace(" select platform_a, platform_b,", " select platform_a, platform_b, (select count(*) from tagged where platform = platform_a) as rows_a, (select count(*) from tagged where platform = platform_b) as rows_b,"))
+def n13_sender_overlap(spark, d):
+    return N.sender_overlap(_platforms(spark, d), "usr", R.PLATFORMS)
+
+
+@query(f"with {_E}, j as (select b.kind = c.kind and b.value = c.value as same from plat_b b join plat_c c using (id)) select count(*) as common, count(*) filter (where same) as identical, round(count(*) filter (where same) / count(*), 6) as similarity, round(count(*) / (select count(*) from (select id from plat_b union select id from plat_c)), 6) as jaccard from j")
+def n7_content_similarity(spark, d):
+    return N.content_similarity(_one(spark, d, "b"), _one(spark, d, "c"), "id", {"kind": False, "value": False})
+
+
+@query(f"with {_E} select (ts // 86400) * 86400 as bucket, count(*) filter (where platform = 'a') as a, count(*) filter (where platform = 'b') as b, count(*) filter (where platform = 'c') as c from tagged group by 1")
+def k9_distribution(spark, d):
+    return distribution(_platforms(spark, d), (F.floor(F.col("ts") / 86400) * 86400).cast("long"), R.PLATFORMS)
+
+
+@query(f"with {_B} select number, hash from blocks order by number desc limit 12")
+def o5_latest_rows(spark, d):
+    return W.latest_rows(R.blocks(spark, d), "number", 12, "hash").select("number", "hash")
