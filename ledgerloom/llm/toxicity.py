@@ -13,7 +13,11 @@ some at random.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -25,14 +29,47 @@ BUCKETS, DIM, WINDOW = 1 << 16, 4, 3
 #: Words whose score a worker keeps, as written and without punctuation.
 CACHE = 300_000
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
+#: Bytes beyond which a word is taken apart, and the length and step of the
+#: overlapping runs of what has no punctuation or space of any kind in it.
+LONG, RUN, STEP = 64, 12, 4
+_JOINTS = re.compile(rb"(?:[!-/:-@\[-`{-~]|\xc2[\x80-\xbf]|\xe1\x9a\x80|\xe2\x80[\x80-\xbf]|\xe2\x81\x9f|\xe3\x80[\x80-\x9f]|\xef\xbb\xbf|\xef\xbc[\x81-\x8f\x9a-\xa0])+")
+
+
+def short_words(words: list[bytes], most: int = 1 << 16) -> Iterator[list[bytes]]:
+    """The words in lists of bounded length, those of more than LONG bytes as their parts.
+
+    The parts are what punctuation and Unicode spaces set off, and overlapping
+    runs of what is still longer, so every byte is in a window that counts.
+    """
+    if not words or len(max(words, key=len)) <= LONG:
+        yield words
+        return
+    held: list[bytes] = []
+    for word in words:
+        if len(word) <= LONG:
+            held.append(word)
+            continue
+        at = 0
+        for joint in (*_JOINTS.finditer(word), None):
+            part, at = word[at : joint.start() if joint else None], joint.end() if joint else at
+            if len(part) > LONG:
+                for start in range(0, len(part) - RUN + STEP, STEP):
+                    held.append(part[start : start + RUN])
+                    if len(held) >= most:
+                        yield held
+                        held = []
+            elif part:
+                held.append(part)
+                if len(held) >= most:
+                    yield held
+                    held = []
+    yield held
 
 
 def word_grams(word: bytes) -> list[int]:
     """Buckets of a word's byte n-grams of 3 to 5, with its ends marked, and of itself."""
     marked = b"<" + word.strip(_STRIP) + b">"
     crc, n = zlib.crc32, len(marked)
-    if n > 66:  # the ends of something that is hardly a word
-        marked, n = marked[:33] + marked[-33:], 66
     grams = [crc(marked[i : i + k]) for k in (3, 4, 5) for i in range(n - k + 1)]
     grams.append(crc(marked, 7))
     return [g & (BUCKETS - 1) for g in grams]
@@ -43,18 +80,20 @@ class _Vocabulary:
 
     def __init__(self):
         self.ids: dict[bytes, int] = {}
-        self.grams: list[list[int]] = []
+        self.grams, self.lengths = array("H"), array("L")
 
     def of(self, words: list[bytes]) -> np.ndarray:
         for w in words:
             if w not in self.ids:
                 self.ids[w] = len(self.ids)
-                self.grams.append(word_grams(w))
+                grams = word_grams(w)
+                self.grams.extend(grams)
+                self.lengths.append(len(grams))
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.fromiter(map(len, self.grams), np.int64, len(self.grams))
-        return np.fromiter((g for gs in self.grams for g in gs), np.int64, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+        lengths = np.array(self.lengths, np.int64)
+        return np.array(self.grams, np.uint16), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def _bags(windows: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +136,7 @@ class Model:
 def fit(texts: list[bytes], labels: list[int], rounds: int = 4, steps: int = 50, rate: float = 0.1, seed: int = 42) -> Model | None:
     """Trains on whole texts with labels 0 and 1; None unless both occur."""
     vocabulary = _Vocabulary()
-    docs = [vocabulary.of(t.lower().split()) for t in texts]
+    docs = [vocabulary.of([w for some in short_words(t.lower().split()) for w in some]) for t in texts]
     y = np.array([n for n, d in zip(labels, docs, strict=True) if len(d)])
     docs = [d for d in docs if len(d)]
     if len(set(y.tolist())) < 2:
@@ -183,7 +222,8 @@ def train(sample: DataFrame) -> Model | None:
 def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns ``keep`` and the score of every document, whole texts.
 
-    The score is the probability of toxic. Null and empty texts, and all texts
+    The score is the probability of toxic; see short_words for words of more
+    than LONG bytes. Null and empty texts, and all texts
     without a model, score 0. Repeated rows and null ids come back as often as
     they came.
     """
@@ -216,7 +256,7 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
 
         def probability(text: bytes) -> float:
             worst, carry = None, []
-            for words in word_chunks(text.lower()):
+            for words in (some for chunk in word_chunks(text.lower()) for some in short_words(chunk)):
                 words = carry + words
                 if words:
                     means = window_means(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))

@@ -69,3 +69,27 @@ def test_sample_keeps_to_bounds_and_folds(spark):
     assert got == {i: int(i % 4 == 0 or i == 1) for i in range(400) if i % 5 and zlib.crc32(str(i).encode()) % 3 != 1}
     few = [r.label for r in labelled_sample(docs, labels, "toxic", fold(3) != 1, {0: 40, 1: 10}).collect()]
     assert 20 <= few.count(0) <= 60 and 2 <= few.count(1) <= 20
+
+
+def test_long_words_are_scored_whole(spark):
+    """An insult in the middle of text that is joined by anything but ASCII white space, or by nothing."""
+    model = toxicity.fit(*corpus(800))
+    words = corpus(seed=4)[0][1].decode().split()
+    words = (words * 40)[:400]
+    bad = [*words[:200], "scumface", *words[200:]]
+    joints = ["_", "-", ",", "\u00a0", "\u3000", "\u2009", "", "."]
+    rows = [(n, j.join(bad)) for n, j in enumerate(joints)] + [(100 + n, j.join(words)) for n, j in enumerate(joints)]
+    rows += [(200, " ".join([*words[:9], "_".join(bad), *words[9:]])), (201, " ".join([*words[:9], "_".join(words), *words[9:]]))]
+    docs = spark.createDataFrame([(*r, "en", "mine", 0) for r in rows], SCHEMA)
+    found = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    assert {i for i, s in found.items() if s >= 0.7} == {*range(len(joints)), 200}, found
+
+
+def test_no_byte_of_a_long_word_is_left_out():
+    rng = np.random.default_rng(2)
+    for n in (65, 66, 67, 68, 69, 500):
+        word = bytes(rng.integers(97, 123, n).astype(np.uint8))
+        runs = [w for some in toxicity.short_words([b"a", word, b"b_c"], 7) for w in some]
+        assert runs[0] == b"a" and runs[-1] == b"b_c"
+        assert runs[1][:4] + b"".join(r[4:8] for r in runs[1:-2]) + runs[-2][4:] == word
+    assert [w for some in toxicity.short_words([b"left_" * 20]) for w in some] == [b"left"] * 20
