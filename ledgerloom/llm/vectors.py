@@ -161,7 +161,7 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough:
     return cells
 
 
-def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32, probe: float = 0.6, least: int = 4096) -> DataFrame:
+def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 32, probe: float = 0.75, least: int | None = None) -> DataFrame:
     """Approximate nearest neighbours by largest inner product.
 
     Returns ``query_id, rank, vec_id, score``: for each row of ``vectors``
@@ -172,8 +172,8 @@ def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroi
     fitted on a bounded sample (SAMPLE vectors); every vector is in the index
     under its pair of centroids. A query goes through the pairs by the sum of
     its inner products with the two centroids, from a heap, until they hold the
-    share ``probe`` of all vectors, ``least`` of them at least; these are scored
-    exactly, in double precision. Cells are packed into blocks, and a cell of
+    share ``probe`` of all vectors, ``least`` (16 * k) of them at least; these
+    are scored exactly, in double precision. Cells are packed into blocks, and a cell of
     more than BLOCK vectors is split over several, so no task holds more.
 
     Vectors that are null, zero, or hold null or non-finite components take no
@@ -209,7 +209,7 @@ def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroi
         room -= flat[cell]
         if parts[cell] > 1:
             block, room = block + parts[cell], BLOCK
-    enough = max(least, int(probe * rows))
+    enough = max(16 * k if least is None else least, int(probe * rows))
     blocks_of = [np.arange(s, s + p) for s, p in zip(start, parts, strict=True)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
