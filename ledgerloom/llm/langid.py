@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import text_bytes
 
-#: Training documents, those with the smallest hash of their id; each counts whole.
+#: Training documents of all languages together, in equal shares; each counts whole.
 SAMPLE = 20_000
+#: Least share of a language; a hash that leaves rows out can't miss so many.
+LEAST = 100
 #: Buckets of hashed n-grams, and classes of buckets with like ratios.
 BUCKETS, CLASSES = 1 << 18, 512
 #: Bytes of an n-gram.
@@ -129,12 +131,22 @@ def infer(counts: np.ndarray, likelihood: np.ndarray, penalty: float = 2.0) -> n
 def train(docs: DataFrame, label: Column, sample: int = SAMPLE) -> Model | None:
     """Learns n-gram likelihoods from rows whose ``label`` isn't null; None without any.
 
-    Rows beyond about ``sample`` are left out by a hash of ``doc_id``; the texts
-    that are in are counted whole, in Spark tasks, which send a histogram each.
+    Each label has an equal share of ``sample``, LEAST at least, so none is lost however rare it
+    is. Of a label with up to twice its share all rows are in; of others a hash
+    of ``doc_id`` leaves out the rows beyond about the share, and rows without
+    an id go by a hash of their text. The texts that are in are counted whole,
+    in Spark tasks, which send a histogram each.
     """
     labelled = docs.select("doc_id", "text", label.alias("label")).where("label is not null and text is not null")
-    rows = labelled.count()
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(rows, 1)) * (1 << 30)))
+    counts_of = labelled.groupBy("label").count()
+    languages = counts_of.count()
+    share = max(LEAST, sample / max(languages, 1))
+    bounds = counts_of.select(
+        F.col("label").alias("_label"),
+        F.when(F.col("count") <= 2 * share, F.lit(1 << 30)).otherwise(F.lit(share) / F.col("count") * (1 << 30)).cast("long").alias("_below"),
+    )
+    mark = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(1 << 30))
+    chosen = labelled.join(bounds, F.col("label") == F.col("_label")).where(mark < F.col("_below"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}

@@ -64,3 +64,17 @@ def test_pieces_of_a_long_text_give_the_same_grams():
     text = b"Some words AND others " * 40
     assert np.concatenate(list(langid.grams(text, 7))).tolist() == np.concatenate(list(langid.grams(text))).tolist()
     assert sum(len(g) for g in langid.grams(b"")) == 0
+
+
+def test_rare_languages_are_learned(spark):
+    """Of 4,000 rows two have the rare language; a sample of 60 has it all the same."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "over"], 9)), "en", "x") for i in range(3998)]
+    rows += [(5000 + i, "zuvor schwarz jenseits zwischen", "de", "x") for i in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, F.col("lang"), sample=60)
+    assert model.languages == ["de", "en"]
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs.where("doc_id >= 3990"), model).collect()}
+    assert found == {i: "en" if i < 5000 else "de" for i in [*range(3990, 3998), 5000, 5001]}
+    many = [(i, f"text {i}", f"l{i % 50}", "x") for i in range(500)]
+    assert len(langid.train(spark.createDataFrame(many, SCHEMA), F.col("lang"), sample=20).languages) == 50
