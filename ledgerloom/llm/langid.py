@@ -138,15 +138,14 @@ def train(docs: DataFrame, label: Column, sample: int = SAMPLE) -> Model | None:
     in Spark tasks, which send a histogram each.
     """
     labelled = docs.select("doc_id", "text", label.alias("label")).where("label is not null and text is not null")
-    counts_of = labelled.groupBy("label").count()
-    languages = counts_of.count()
-    share = max(LEAST, sample / max(languages, 1))
-    bounds = counts_of.select(
-        F.col("label").alias("_label"),
-        F.when(F.col("count") <= 2 * share, F.lit(1 << 30)).otherwise(F.lit(share) / F.col("count") * (1 << 30)).cast("long").alias("_below"),
-    )
+    rows = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    if not rows:
+        return None
+    share = max(LEAST, sample / len(rows))
+    # A map rather than a join, which would deal whole texts by language.
+    below = F.create_map(*[F.lit(x) for name, n in sorted(rows.items()) for x in (name, 1 << 30 if n <= 2 * share else int(share / n * (1 << 30)))])
     mark = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(1 << 30))
-    chosen = labelled.join(bounds, F.col("label") == F.col("_label")).where(mark < F.col("_below"))
+    chosen = labelled.where(mark < below[F.col("label")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
