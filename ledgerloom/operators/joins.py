@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A key with more than this part of a side's rows counts as hot.
+HOT_SHARE = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``left.join(right, keys, how)`` where a key may hold a large part of ``left``.
+
+    ``right`` has one row or few per key; ``how`` is inner, left, left_semi or
+    left_anti. Rows are counted by key first. Keys with more than 1/HOT_SHARE of
+    all rows, so fewer than HOT_SHARE of them, are broadcast; their rows on the
+    left are dealt over parts by a hash of the other columns, and their rows on
+    the right go to each part. All other keys have one part. ``total`` is the
+    number of rows on the left, if it is known.
+    """
+    total = left.count() if total is None else total
+    limit = max(1, total // HOT_SHARE)
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = F.broadcast(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    rest = [F.col(f"`{c}`") for c in left.columns if c not in keys] or [F.lit(0)]
+    drop = [f"_hot_{k}" for k in keys] + ["_parts"]
+    dealt = left.join(hot, same, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_parts")), F.lit(0)).cast("int")).drop(*drop)
+    copied = right.join(hot, same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*drop)
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
 
 def factory_semi_join(events: DataFrame, registry: DataFrame, key: str = "address") -> DataFrame:
     """Events whose emitter is in the registry of created contracts."""
@@ -72,8 +99,8 @@ def call_failure_default(balance):
 
 def latest_by_max_join(df: DataFrame, key: str, order: str) -> DataFrame:
     """All rows that have the greatest ``order`` of their key; ties stay."""
-    most = F.max(order).over(Window.partitionBy(key))
-    return df.withColumn("_most", most).where(F.col(order) == F.col("_most")).drop("_most")
+    most = df.groupBy(F.col(key).alias("_of")).agg(F.max(order).alias("_most"))
+    return df.join(most, (F.col(key) == F.col("_of")) & (F.col(order) == F.col("_most")), "left_semi")
 
 
 def left_join_latest(accounts: DataFrame, updates: DataFrame, key: str, order: list[str], value: str, default: object = 0) -> DataFrame:
@@ -82,6 +109,12 @@ def left_join_latest(accounts: DataFrame, updates: DataFrame, key: str, order: l
     return accounts.join(latest, key, "left").withColumn(value, F.coalesce(value, F.lit(default).cast(latest.schema[value].dataType)))
 
 
+def accounts_with_latest(accounts: DataFrame, snapshots: DataFrame, key: str = "account", order: str = "ts") -> DataFrame:
+    """Accounts with their latest snapshot's columns, null where there is none."""
+    latest = snapshots.groupBy(key).agg(F.max_by(F.struct(*[c for c in snapshots.columns if c != key]), order).alias("_latest"))
+    return accounts.join(latest, key, "left").select(*accounts.columns, "_latest.*")
+
+
 def nested_children(parents: DataFrame, children: DataFrame, key: str, order: list, n: int = 1) -> DataFrame:
     """For each parent its first ``n`` children in an order; parents without any stay."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
