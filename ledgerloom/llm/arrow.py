@@ -50,15 +50,18 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     yield text[start:].split()
 
 
-def worker_state(name: str, make):
-    """What ``make()`` gives, made once for each Python worker process."""
+def worker_state(kind: str, key, make):
+    """What ``make()`` gives, made once for each Python worker process.
+
+    A worker keeps one value of each kind; another key replaces it.
+    """
     import sys
     import types
 
     held = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if kind not in held or held[kind][0] != key:
+        held[kind] = (key, make())
+    return held[kind][1]
 
 
 def with_score(docs: DataFrame, make: Callable[[], Callable], keep: list[str], name: str, rows: int = 256) -> DataFrame:

@@ -19,43 +19,65 @@ import bisect
 import hashlib
 import os
 import uuid
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import worker_state
-from ledgerloom.llm.units import UnitEncoder
-
-#: Words and units whose ids a worker keeps.
-WORDS, UNITS = 300_000, 1_000_000
+from ledgerloom.llm.units import UnitEncoder, id_column, text_slices
+from ledgerloom.session import written
 
 HEAD, TAIL = b"LLTOK001", b"LLTOKEND"
 
-#: The dictionary is trained on about so many documents of at most so many
-#: characters, those with the smallest hash of their id.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 16384, 32768
+#: The dictionary is trained on about SAMPLE documents, those with the smallest
+#: hash of their id. One of more than WINDOW ids gives a run of WINDOW of them.
+SAMPLE, WINDOW, DICTIONARY = 1000, 4096, 32768
+#: Documents of a file, unless that gives more than FILES files; bytes after
+#: which a file is closed and its documents go on in a further one.
+DOCS_PER_FILE, FILES, FILE_BYTES = 4096, 1 << 16, 256 << 20
+
 
+class _Encoder:
+    """Ids of texts by the tokenizers library.
 
-def _encoder(tokenizer: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts by the tokenizers library; special tokens' strings are ordinary text."""
+    Texts that hold the string of an added token are given to it as a whole, as
+    it looks for these before it splits a text; all others go by their units.
+    """
 
-    def make():
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         loaded = Tokenizer.from_str(tokenizer)
-        loaded.encode_special_tokens = True
-        encoder = UnitEncoder(lambda unit: loaded.encode(unit, add_special_tokens=False).ids, most=WORDS, most_cores=UNITS)
-        many = lambda units: [e.ids for e in loaded.encode_batch_fast(units, add_special_tokens=False)]
-        return lambda texts: encoder.learn(texts, many) or [encoder.encode(t) for t in texts]
+        self.many = lambda units: [e.ids for e in loaded.encode_batch_fast(units, add_special_tokens=False)]
+        self.added = [t.content for t in loaded.get_added_tokens_decoder().values()]
+        self.units = UnitEncoder(self.many)
 
-    return worker_state(f"tokenizer {hash(tokenizer)}", make)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and how many each has; null is empty."""
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.units.encode(texts)
+        flat, counts = self.units.encode(texts.filter(pa.array(~special)))
+        ends = np.cumsum(counts)
+        plain = (flat[a:b] for a, b in zip(ends - counts, ends, strict=True))
+        whole = (np.array(ids, np.uint32) for ids in self.many(texts.filter(pa.array(special)).to_pylist()))
+        parts = [next(whole if x else plain) for x in special]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _encoder(tokenizer: str) -> _Encoder:
+    return worker_state("tokenizer", tokenizer, lambda: _Encoder(tokenizer))
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -124,58 +146,84 @@ def read_document(content: bytes, dictionary: bytes, doc_id: int) -> np.ndarray
     return np.frombuffer(zstandard.ZstdDecompressor(dict_data=_codec(dictionary)).decompress(frame), "<u4")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = None, docs_per_file: int = 16384) -> list[tuple[str, int, int]]:
+def _windows(docs: DataFrame, shared, rows: int) -> list[bytes]:
+    """Serialized ids to train a dictionary on: about SAMPLE runs of at most WINDOW ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                flat, counts = encoder.encode(part.column(1))
+                most = np.maximum(counts - WINDOW, 0)
+                starts = np.cumsum(counts) - counts + np.abs(part.column(0).to_numpy()) % (most + 1)
+                ids = [flat[a : a + min(n, WINDOW)].astype("<u4").tobytes() for a, n in zip(starts, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+
+    mark = F.xxhash64("doc_id")
+    part = F.pmod(mark, F.lit(1 << 30)) < int(min(1, SAMPLE / max(rows, 1)) * (1 << 30))
+    sample = docs.where(part).select(F.shiftrightunsigned(mark, 32).alias("mark"), "text").mapInArrow(run, "ids binary")
+    return sorted(bytes(r.ids) for r in written(sample, "sample").collect())
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int | None = None, docs_per_file: int = DOCS_PER_FILE) -> list[tuple[str, int, int]]:
     """Writes the token ids of all ``docs`` below ``root``; ``(file, documents, ids)`` each.
 
     ``tokenizer`` is the content of a byte-level BPE file of the tokenizers
-    library; texts are encoded whole, without special tokens, then ``end_id`` is
-    appended to each document. Files take ranges of ``doc_id`` of about
-    ``docs_per_file`` documents; one that would get more than twice as many goes
-    on in a further file. A task writes under a name of its own and renames at
-    the end, so lost executors and second attempts leave no half files.
-
-    Null texts are empty. Null ids come first, repeated ids in order of their
-    frames. Further columns are ignored; an empty table writes no file.
+    library; texts are encoded whole, with ``add_special_tokens=False``, then
+    ``end_id`` is appended to each document. Files take ranges of ``doc_id`` of
+    about ``docs_per_file`` documents, more of them if there would be more than
+    FILES files; one of more than FILE_BYTES bytes goes on in a further file. A
+    task writes under a name of its own and renames at the end, so lost
+    executors and second attempts leave no half files.
+
+    Null texts are empty. Null ids come first, in files of their own; an id that
+    is repeated so often that it fills files is dealt over these. Repeated ids
+    are in order of their frames within a file. Further columns are ignored; an
+    empty table writes no file.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer)
     kind = dict(docs.dtypes)["doc_id"]
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = _encoder(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(encode_texts(batch.column(0).to_pylist()), pa.binary())], names=["ids"])
-
-    rows = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1, SAMPLE / max(rows, 1)) * (1 << 30))
-    sample = docs.where(part & (F.length("text") <= SAMPLE_CHARS)).select("text").mapInArrow(encode, "ids binary")
-    dictionary = train_dictionary(sorted(bytes(r.ids) + end for r in sample.toLocalIterator()))
+    rows, unnamed = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    windows = _windows(docs, shared, rows)
+    dictionary = train_dictionary([w + end for w in windows])
     fs, folder = pyarrow.fs.FileSystem.from_uri(root)
     fs.create_dir(folder)
     with fs.open_output_stream(f"{folder}/dictionary.zdict") as out:
         out.write(dictionary)
 
-    n_files = -(-rows // docs_per_file)
+    per_file = max(docs_per_file, -(-rows // FILES))
+    null_files, n_files = -(-unnamed // per_file), -(-(rows - unnamed) // per_file)
     at = [k / n_files for k in range(1, n_files)]
-    bounds = docs.agg(F.percentile_approx("doc_id", at, 20 * n_files)).first()[0] if at else []
-    file_no = F.coalesce(F.size(F.filter(F.lit(bounds or []).cast("array<long>"), lambda b: b < F.col("doc_id"))), F.lit(0))
+    bounds = np.array((docs.agg(F.percentile_approx("doc_id", at, 20 * n_files)).first()[0] if at else None) or [], np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, compressor = _encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
+        encoder, compressor = _encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                ids = [x + end for x in encode_texts([t or "" for t in piece.column(2).to_pylist()])]
-                lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), lengths, pa.array(map(compressor.compress, ids), pa.binary())], names=["file_no", "doc_id", "n_tokens", "frame"])
+            for piece in text_slices(batch, 1):
+                flat, counts = encoder.encode(piece.column(1))
+                made, crcs = [], []
+                for ids in id_column(flat, counts):
+                    ids = ids.as_buffer().to_pybytes() + end
+                    made.append(compressor.compress(ids))
+                    crcs.append(zlib.crc32(ids))
+                # An id that several bounds equal may be in any file between them.
+                known, crc = piece.column(0).is_valid().to_numpy(zero_copy_only=False), np.array(crcs, np.int64)
+                doc_ids = pc.fill_null(piece.column(0), 0).to_numpy().astype(np.int64)
+                lo, hi = np.searchsorted(bounds, doc_ids), np.searchsorted(bounds, doc_ids, side="right")
+                file_no = np.where(known, null_files + lo + crc % (hi - lo + 1), crc % max(null_files, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(file_no, pa.int32()), piece.column(0), pa.array(counts + len(end) // 4, pa.int64()), pa.array(made, pa.binary())], names=["file_no", "doc_id", "n_tokens", "frame"]
+                )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One file after another from rows sorted by file and id."""
         current, file_of, further, done = None, None, 0, []
         for batch in batches:
             for number, doc_id, n_tokens, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if current is None or number != file_of or len(current.ids) >= 2 * docs_per_file:
+                if current is None or number != file_of or current.at >= FILE_BYTES:
                     further = further + 1 if current is not None and number == file_of else 0
                     if current is not None:
                         done.append((name, *current.close()))
@@ -186,10 +234,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
             done.append((name, *current.close()))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "documents", "ids"])
 
-    framed = docs.select(file_no.alias("file_no"), "doc_id", "text").mapInArrow(frames, f"file_no int, doc_id {kind}, n_tokens long, frame binary")
-    dealt = framed.repartition(max(1, n_files), "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "frame")
-    written = dealt.mapInArrow(write, "file string, documents long, ids long")
-    return sorted(tuple(r) for r in written.collect())
+    framed = docs.select("doc_id", "text").mapInArrow(frames, f"file_no int, doc_id {kind}, n_tokens long, frame binary")
+    dealt = framed.repartition(max(1, null_files + n_files), "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "frame")
+    return sorted(tuple(r) for r in dealt.mapInArrow(write, "file string, documents long, ids long").collect())
 
 
 def read_token_files(spark: SparkSession, root: str, files: list[tuple[str, int, int]]) -> DataFrame:
@@ -204,6 +251,7 @@ def read_token_files(spark: SparkSession, root: str, files: list[tuple[str, int,
     before, base = 0, {}
     for name, _, ids in files:
         base[name], before = before, before + ids
+    base = spark.sparkContext.broadcast(base)
     dictionary = bytes(spark.read.format("binaryFile").load(f"{root}/dictionary.zdict").first().content)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +260,7 @@ def read_token_files(spark: SparkSession, root: str, files: list[tuple[str, int,
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = content.as_buffer()
                 ids, ends, lengths = read_index(content.to_pybytes(), dictionary)
-                starts = np.cumsum([base[PurePosixPath(path).name], *lengths])[:-1]
+                starts = np.cumsum([base.value[PurePosixPath(path).name], *lengths])[:-1]
                 view = memoryview(content)
                 for at in range(0, len(ids), 512):
                     got = [decompressor.decompress(view[a:b]) for a, b in zip(ends[at : at + 512], ends[at + 1 : at + 513], strict=False)]
