@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import worker_state
-from ledgerloom.llm.units import UnitEncoder
+from ledgerloom.llm.units import UnitEncoder, id_column, text_slices
 from ledgerloom.session import written
 
 #: Characters of a chunk, and how far it reads on into the next one.
 CHUNK, OVERLAP = 32768, 1024
-#: Words whose ids a worker keeps; rows that it gives back at a time.
-CACHE, ROWS = 50_000, 512
+#: Rows that a worker decodes, and characters that it cuts, at a time.
+ROWS, CUT = 512, 4 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -39,9 +39,9 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 def _encoder(data: bytes, pattern: str) -> UnitEncoder:
     def make():
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(data), special_tokens={})
-        return UnitEncoder(core.encode_ordinary, most=CACHE, most_cores=2 * CACHE)
+        return UnitEncoder(lambda units: list(map(core.encode_ordinary, units)))
 
-    return worker_state(f"bpe {hash((data, pattern))}", make)
+    return worker_state("bpe", (data, pattern), make)
 
 
 def boundaries(text: str, pattern: regex.Pattern, final: bool) -> np.ndarray:
@@ -51,12 +51,29 @@ def boundaries(text: str, pattern: regex.Pattern, final: bool) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """``row, doc_id, n, last, text``: the chunks of every document, dealt evenly."""
-    cut = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "text", ((F.length("text") - 1) / chunk).cast("int").alias("last")
-    ).withColumn("n", F.explode(F.sequence(F.lit(0), "last")))
-    cut = cut.select("row", "doc_id", "n", "last", F.col("text").substr(F.col("n") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-    return written(cut.repartition("row", "n"), "chunks")
+    """``row, doc_id, n, last, text``: the chunks of every document, dealt evenly.
+
+    A text is cut in one pass, some chunks at a time, so the work is in
+    proportion to its length.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CUT // (chunk + overlap))
+        for batch in batches:
+            for at, text in enumerate(batch.column(2)):
+                text, (row, doc_id) = text.as_py(), (batch.column(k).slice(at, 1) for k in (0, 1))
+                last = (len(text) - 1) // chunk
+                for first in range(0, last + 1, step):
+                    numbers = range(first, min(first + step, last + 1))
+                    same = pa.array([0] * len(numbers))
+                    yield pa.RecordBatch.from_arrays(
+                        [row.take(same), doc_id.take(same), pa.array(numbers, pa.int32()), pa.array([last] * len(numbers), pa.int32()), pa.array([text[n * chunk : n * chunk + chunk + overlap] for n in numbers], pa.string())],
+                        names=["row", "doc_id", "n", "last", "text"],
+                    )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return written(named.mapInArrow(cut, f"row long, doc_id {kind}, n int, last int, text string").repartition("row", "n"), "chunks")
 
 
 def _pieces(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -100,6 +117,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = C
     ``ranks`` is the content of a rank file, ``pattern`` splits a text into
     pre-tokens, each of which is encoded by itself.
 
+    A text of up to ``chunk`` characters is one chunk and needs no stitching.
     Null and empty texts have no ids. Repeated rows and null ids come back as
     often as they came. Further columns are ignored.
     """
@@ -111,25 +129,25 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = C
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for part in text_slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), id_column(*encoder.encode(part.column(1)))], names=["doc_id", "ids"])
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, pattern)
         for batch in batches:
-            texts, stitched = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            ids = [encoder.encode(t) if s else None for t, s in zip(texts, stitched, strict=True)]
-            rest = [None if s else t for t, s in zip(texts, stitched, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rest, pa.string())], names=["row", "doc_id", "n", "ids", "text"])
+            for part in text_slices(batch, 3):
+                texts, stitched = part.column(3).to_pylist(), part.column(4).to_pylist()
+                ids = id_column(*encoder.encode(pa.array([t if s else "" for t, s in zip(texts, stitched, strict=True)], pa.string())))
+                rest = pa.array([None if s else t for t, s in zip(texts, stitched, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids, rest], names=["row", "doc_id", "n", "ids", "text"])
 
     def gather(document: pa.Table) -> pa.Table:
         """The ids of one document from its pieces."""
         document = document.sort_by("n")
         joined = b"".join(x or b"" for x in document["ids"].to_pylist())
         if document["text"].null_count == 0:
-            joined = _encoder(data.value, pattern).encode("".join(document["text"].to_pylist()))
+            whole = pa.array(["".join(document["text"].to_pylist())])
+            joined = _encoder(data.value, pattern).encode(whole)[0].astype("<u4").tobytes()
         return pa.table([document["doc_id"].slice(0, 1).combine_chunks(), pa.array([joined], pa.binary())], names=["doc_id", "ids"])
 
     picked = docs.select("doc_id", "text")
@@ -148,7 +166,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes) -> DataFrame:
     names = encoded.columns
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = worker_state(f"bpe bytes {hash(data.value)}", lambda: {i: t for t, i in read_ranks(data.value).items()})
+        token = worker_state("bpe bytes", data.value, lambda: {i: t for t, i in read_ranks(data.value).items()})
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
