@@ -6,9 +6,10 @@ gives its class; embeddings and softmax are trained jointly. Misspellings that
 training never saw share most of their n-grams with words that it saw. A
 document is as toxic as its worst window, however long it is.
 
-Labels are of documents, not windows, so training alternates: each toxic
-document gives its worst window so far, each other one its worst windows and
-some at random.
+Labels are of documents, not windows, so training alternates: in Spark tasks
+each toxic document gives its worst window so far, each other one its worst
+windows and one drawn by its id; on these, a bounded number of short windows,
+the driver goes on with the joint training.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.arrow import with_score, word_chunks, worker_state
+from ledgerloom.llm.arrow import text_bytes, with_score, word_chunks, worker_state
+from ledgerloom.session import written
 
-#: Bounds of the training sample: toxic and other documents, bytes of a text.
-TOXIC, OTHER, MOST_BYTES = 1500, 2500, 60_000
+#: Bounds of the training sample: toxic and other documents, whole texts.
+TOXIC, OTHER = 1500, 2500
+#: Tasks that read the sample: as many counts of buckets go to the driver.
+TASKS = 12
 BUCKETS, DIM, WINDOW = 1 << 16, 4, 3
 #: Words whose score a worker keeps, as written and without punctuation.
 CACHE = 300_000
@@ -96,22 +101,26 @@ class _Vocabulary:
         return np.array(self.grams, np.uint16), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _bags(windows: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bags(windows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets, their window and their weight: 1 / (words of the window * grams of the word)."""
-    words, of = windows.ravel(), np.repeat(np.arange(len(windows)), windows.shape[1])
-    known = words >= 0
-    words, of = words[known], of[known]
-    per = np.bincount(of, minlength=len(windows))
+    vocabulary = _Vocabulary()
+    words = vocabulary.of([w for window in windows for w in window])
+    per = np.fromiter(map(len, windows), np.int64, len(windows))
+    of = np.repeat(np.arange(len(windows)), per)
+    flat, ends = vocabulary.flat()
     lengths = ends[words + 1] - ends[words]
-    at = np.repeat(ends[words] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+    at = np.repeat(ends[words] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
     return flat[at], np.repeat(of, lengths), np.repeat(1.0 / (per[of] * lengths), lengths)
 
 
-def _windows(doc: np.ndarray) -> np.ndarray:
-    """All runs of WINDOW words; -1 fills up a shorter document."""
-    if len(doc) < WINDOW:
-        return np.concatenate([doc, np.full(WINDOW - len(doc), -1)])[None, :]
-    return np.lib.stride_tricks.sliding_window_view(doc, WINDOW)
+def _word_lists(text: bytes) -> Iterator[list[bytes]]:
+    """A text's words in lists of bounded length; each goes on with the last words of the one before."""
+    carry: list[bytes] = []
+    for words in (some for chunk in word_chunks(text.lower()) for some in short_words(chunk)):
+        words = carry + words
+        if words:
+            yield words
+        carry = words[-(WINDOW - 1) :] if len(words) >= WINDOW else words
 
 
 def window_means(scores: np.ndarray) -> np.ndarray:
@@ -127,74 +136,119 @@ class Model:
 
     def __init__(self, buckets: np.ndarray, scale: float, offset: float):
         self.buckets, self.scale, self.offset = buckets.astype(np.float32), scale, offset
-        self.key = f"toxicity {hash(self.buckets.tobytes())}"
+        self.key = hash(self.buckets.tobytes())
 
     def probability(self, worst: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * worst + self.offset, -40, 40))))
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 4, steps: int = 50, rate: float = 0.1, seed: int = 42) -> Model | None:
-    """Trains on whole texts with labels 0 and 1; None unless both occur."""
-    vocabulary = _Vocabulary()
-    docs = [vocabulary.of([w for some in short_words(t.lower().split()) for w in some]) for t in texts]
-    y = np.array([n for n, d in zip(labels, docs, strict=True) if len(d)])
-    docs = [d for d in docs if len(d)]
-    if len(set(y.tolist())) < 2:
-        return None
-    flat, ends = vocabulary.flat()
-    lengths = np.diff(ends)
-    rng = np.random.default_rng(seed)
+class _Scores(dict):
+    """Scores of words under a table of buckets; ``cores`` those of words without punctuation."""
+
+    def __init__(self, buckets: np.ndarray):
+        super().__init__()
+        self.table, self.cores = buckets.tolist(), {}
+
+    def __missing__(self, word: bytes) -> float:
+        core = word.strip(_STRIP)
+        score = self.cores.get(core)
+        if score is None:
+            grams = word_grams(core)
+            score = sum(map(self.table.__getitem__, grams)) / len(grams)
+            if len(self.cores) >= CACHE:
+                self.cores.clear()
+            if len(core) <= LONG:
+                self.cores[core] = score
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) <= LONG:
+            self[word] = score
+        return score
 
-    # The first windows come from how much more often than by chance toxic
-    # documents have a bucket, in standard deviations.
-    seen = np.zeros((2, BUCKETS))
-    for d, label in zip(docs, y, strict=True):
-        words = np.unique(d)
-        at = np.repeat(ends[words] - np.concatenate([[0], np.cumsum(lengths[words])[:-1]]), lengths[words]) + np.arange(lengths[words].sum())
-        seen[label, np.unique(flat[at])] += 1
-    pooled = (seen.sum(axis=0) + 1) / (len(y) + 2)
-    buckets = (seen[1] - (y == 1).sum() * pooled) / np.sqrt((y == 1).sum() * pooled * (1 - pooled))
-
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIM))
-    softmax = rng.normal(0, 0.1, (DIM, 2))
-    bias = np.zeros(2)
-    moments = [[np.zeros_like(p), 0.0] for p in (embedding, softmax, bias)]
-    step = 0
-    for _ in range(rounds):
-        score = np.add.reduceat(buckets[flat], ends[:-1]) / lengths
-        chosen, target = [], []
-        for d, label in zip(docs, y, strict=True):
-            windows, means = _windows(d), window_means(score[d])
-            worst = np.argsort(-means, kind="stable")[: 1 if label else 2]
-            some = worst if label else np.concatenate([worst, rng.integers(0, len(means), 1)])
-            chosen.append(windows[some])
-            target += [label] * len(some)
-        target = np.array(target)
-        grams, of, weight = _bags(np.concatenate(chosen), flat, ends)
-        used, grams = np.unique(grams, return_inverse=True)
-        sample_weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+
+
+def seen_buckets(texts: list[bytes]) -> np.ndarray:
+    """How many of some texts have each bucket."""
+    seen = np.zeros(BUCKETS, np.int64)
+    for text in texts:
+        found = np.zeros(BUCKETS, bool)
+        for words in _word_lists(text):
+            for word in set(words):
+                found[word_grams(word)] = True
+        seen += found
+    return seen
+
+
+def worst_windows(text: bytes, scores: _Scores, most: int) -> tuple[float | None, list[list[bytes]]]:
+    """The highest mean of a text's windows, and the ``most`` windows with the highest, in falling order."""
+    best: list[tuple[float, int, list[bytes]]] = []
+    base = 0
+    for words in _word_lists(text):
+        means = window_means(scores.of(words))
+        for n in np.argsort(-means, kind="stable")[:most].tolist():
+            best.append((-float(means[n]), base + n, words[n : n + WINDOW]))
+        best = sorted(best)[:most]
+        base += max(1, len(words) - WINDOW + 1)
+    return (-best[0][0] if best else None), [w for *_, w in best]
+
+
+def any_window(text: bytes, seed: int) -> list[bytes]:
+    """A window of a text, by a hash of its place and the seed."""
+    chosen, least, base = [], None, 0
+    for words in _word_lists(text):
+        n = max(1, len(words) - WINDOW + 1)
+        marks = ((np.arange(base, base + n, dtype=np.uint64) + np.uint64(seed % (1 << 32))) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed % (1 << 63))
+        k = int(marks.argmin())
+        if least is None or marks[k] < least:
+            least, chosen = marks[k], words[k : k + WINDOW]
+        base += n
+    return chosen
+
+
+class Trainer:
+    """The joint training of embeddings and softmax on the driver, in numpy."""
+
+    def __init__(self, rate: float = 0.1, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        self.rate, self.step = rate, 0
+        self.embedding = rng.normal(0, 0.1, (BUCKETS, DIM))
+        self.softmax = rng.normal(0, 0.1, (DIM, 2))
+        self.bias = np.zeros(2)
+        self.moments = [[np.zeros_like(p), 0.0] for p in (self.embedding, self.softmax, self.bias)]
+
+    def scores(self) -> np.ndarray:
+        """A score per bucket: its embedding along the direction of toxic."""
+        return self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])
+
+    def gradients(self, grams: np.ndarray, of: np.ndarray, weight: np.ndarray, target: np.ndarray) -> tuple:
+        """Gradients of the cross-entropy, both classes weighing the same: of the used embeddings, the softmax, the bias."""
+        used, at = np.unique(grams, return_inverse=True)
+        part = self.embedding[used]
+        vectors = np.stack([np.bincount(of, weight * part[at, k], len(target)) for k in range(DIM)], axis=1)
+        logits = vectors @ self.softmax + self.bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(target)), target] -= 1
+        p *= np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))[:, None]
+        back = p @ self.softmax.T
+        gradient = np.stack([np.bincount(at, weight * back[of, k], len(used)) for k in range(DIM)], axis=1)
+        return (used, gradient), (slice(None), vectors.T @ p), (slice(None), p.sum(axis=0))
+
+    def fit(self, windows: list[list[bytes]], target: np.ndarray, steps: int = 50) -> None:
+        """Some steps on windows of words with labels 0 and 1.
+
+        One step size for a whole matrix: what many windows share moves far,
+        what a single window has moves little.
+        """
+        bags = _bags(windows)
         for _ in range(steps):
-            step += 1
-            part = embedding[used]
-            vectors = np.stack([np.bincount(of, weight * part[grams, k], len(target)) for k in range(DIM)], axis=1)
-            logits = vectors @ softmax + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(target)), target] -= 1
-            p *= sample_weight[:, None]
-            back = p @ softmax.T
-            gradient = np.stack([np.bincount(grams, weight * back[of, k], len(used)) for k in range(DIM)], axis=1)
-            # One step size for a whole matrix: what many windows share moves far,
-            # what a single window has moves little.
-            for values, where, g, moment in ((embedding, used, gradient, moments[0]), (softmax, slice(None), vectors.T @ p, moments[1]), (bias, slice(None), p.sum(axis=0), moments[2])):
+            self.step += 1
+            for values, (where, g), moment in zip((self.embedding, self.softmax, self.bias), self.gradients(*bags, target), self.moments, strict=True):
                 moment[0][where] = 0.9 * moment[0][where] + 0.1 * g
                 moment[1] = 0.99 * moment[1] + 0.01 * float((g * g).max())
-                values[where] -= rate * moment[0][where] / (1 - 0.9**step) / (np.sqrt(moment[1] / (1 - 0.99**step)) + 1e-12)
-        buckets = embedding @ (softmax[:, 1] - softmax[:, 0])
-    score = np.add.reduceat(buckets[flat], ends[:-1]) / lengths
-    worst = np.array([window_means(score[d]).max() for d in docs])
-    scale, offset = _logistic(worst, y)
-    return Model(buckets, scale, offset)
+                values[where] -= self.rate * moment[0][where] / (1 - 0.9**self.step) / (np.sqrt(moment[1] / (1 - 0.99**self.step)) + 1e-12)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[float, float]:
@@ -209,59 +263,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> tuple[float, f
     return float(a / spread), float(b - a * mean / spread)
 
 
-def train(sample: DataFrame) -> Model | None:
-    """Model from a bounded sample ``doc_id, text, label``, taken whole to the driver.
+def train(sample: DataFrame, rounds: int = 4) -> Model | None:
+    """Model from a bounded sample ``doc_id, text, label``; None unless both labels have a word.
 
-    Texts of more than MOST_BYTES bytes are left out of training (never of scoring).
+    Texts count whole, however long, and stay in Spark: a task sends how many of
+    its documents have each bucket, or of each document at most three windows
+    of WINDOW words (of LONG bytes at most) and its highest mean.
     """
-    rows = sample.where(f"text is not null and octet_length(text) <= {MOST_BYTES}").toLocalIterator()
-    found = sorted((r.doc_id, r.text.encode(), r.label) for r in rows)
-    return fit([t for _, t, _ in found], [n for *_, n in found])
+    held = written(sample.where("text is not null").select("doc_id", "text", "label"), "toxic_sample").coalesce(TASKS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, docs = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            labels = np.array(batch.column(2).to_pylist())
+            texts = [(t, n) for t, n in zip(text_bytes(batch.column(1)), labels, strict=True) if t.split(None, 1)]
+            for label in (0, 1):
+                some = [t for t, n in texts if n == label]
+                seen[label] += seen_buckets(some)
+                docs[label] += len(some)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(docs), pa.array([x.astype("<u4").tobytes() for x in seen], pa.binary())], names=["label", "docs", "seen"])
+
+    seen, docs = np.zeros((2, BUCKETS)), np.zeros(2, np.int64)
+    for r in held.mapInArrow(count, "label int, docs long, seen binary").collect():
+        seen[r.label] += np.frombuffer(r.seen, "<u4")
+        docs[r.label] += r.docs
+    if not docs.all():
+        return None
+
+    def windows(scores: np.ndarray, seed: int) -> list:
+        """Each document's label, highest mean and windows, in an order of its own."""
+        shared = held.sparkSession.sparkContext.broadcast(scores)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _Scores(shared.value)
+            for batch in batches:
+                rows = []
+                for doc_id, text, label in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    worst, found = worst_windows(text, known, 1 if label else 2)
+                    if found:
+                        rows.append((doc_id, label, worst, found if label else [*found, any_window(text, zlib.crc32(f"{doc_id} {seed}".encode()))]))
+                ids, labels, means, found = zip(*rows, strict=True) if rows else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(means, pa.float64()), pa.array(found, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "label", "worst", "windows"]
+                )
+
+        found = held.mapInArrow(find, "doc_id long, label int, worst double, windows array<array<binary>>").collect()
+        return sorted((r.doc_id, r.label, r.worst, [[bytes(w) for w in x] for x in r.windows]) for r in found)
+
+    # The first windows come from how much more often than by chance toxic
+    # documents have a bucket, in standard deviations.
+    pooled = (seen.sum(axis=0) + 1) / (docs.sum() + 2)
+    scores = (seen[1] - docs[1] * pooled) / np.sqrt(docs[1] * pooled * (1 - pooled))
+    trainer = Trainer()
+    for n in range(rounds):
+        found = windows(scores, n)
+        target = np.array([label for _, label, _, some in found for _ in some])
+        trainer.fit([w for *_, some in found for w in some], target)
+        scores = trainer.scores().astype(np.float32)
+    found = windows(scores, rounds)
+    scale, offset = _logistic(np.array([worst for _, _, worst, _ in found]), np.array([label for _, label, *_ in found]))
+    return Model(scores, scale, offset)
 
 
 def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns ``keep`` and the score of every document, whole texts.
 
-    The score is the probability of toxic; see short_words for words of more
-    than LONG bytes. Null and empty texts, and all texts
-    without a model, score 0. Repeated rows and null ids come back as often as
-    they came.
+    The score is the probability of toxic for the worst window of WINDOW words
+    (all words of a shorter text), however long the text is; see short_words for
+    words of more than LONG bytes. Null and empty texts, texts of white space,
+    and all texts without a model, score 0. Repeated rows and null ids come back
+    as often as they came, an empty table gives an empty result. Columns that
+    aren't kept are ignored; ``name`` must not be one of ``keep``.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        table = model.buckets.tolist() if model else []
-
-        class Scores(dict):
-            """Scores of words; ``cores`` those of words without punctuation."""
-
-            cores: dict[bytes, float] = {}
-
-            def __missing__(self, word: bytes) -> float:
-                core = word.strip(_STRIP)
-                score = self.cores.get(core)
-                if score is None:
-                    grams = word_grams(core)
-                    score = sum(map(table.__getitem__, grams)) / len(grams)
-                    if len(self.cores) >= CACHE:
-                        self.cores.clear()
-                    if len(core) <= 64:
-                        self.cores[core] = score
-                if len(self) >= CACHE:
-                    self.clear()
-                if len(word) <= 64:
-                    self[word] = score
-                return score
-
-        known = worker_state(model.key, Scores) if model else None
+        model = shared.value
+        known = worker_state("toxicity", model.key, lambda: _Scores(model.buckets)) if model else None
 
         def probability(text: bytes) -> float:
-            worst, carry = None, []
-            for words in (some for chunk in word_chunks(text.lower()) for some in short_words(chunk)):
-                words = carry + words
-                if words:
-                    means = window_means(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
-                    worst = means.max() if worst is None else max(worst, means.max())
-                carry = words[-(WINDOW - 1) :] if len(words) >= WINDOW else words
+            worst = max((float(window_means(known.of(words)).max()) for words in _word_lists(text)), default=None)
             return 0.0 if worst is None else model.probability(worst)
 
         return lambda texts: [probability(t) if model else 0.0 for t in texts]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from ledgerloom.llm import toxicity
 from ledgerloom.llm.labels import labelled_sample
@@ -26,6 +28,12 @@ def corpus(n=400, seed=3):
     return texts, labels
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    texts, labels = corpus(800)
+    return toxicity.train(spark.createDataFrame([(n, t.decode(), y) for n, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, label int"))
+
+
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     found = op5_toxicity(spark, "/root/testdata/sf0.1").collect()
@@ -38,8 +46,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted for r in clean) / len(clean) <= 0.03
 
 
-def test_misspellings_and_edge_rows(spark):
-    model = toxicity.fit(*corpus(800))
+def test_misspellings_and_edge_rows(spark, model):
     clean = corpus(seed=4)[0][1].decode()
     bad = ["SCUMFACED", "wretchbags!", "dungheads,"]
     rows = [(n, f"{clean} {w} {clean}") for n, w in enumerate(bad)] + [(10, clean), (11, None), (12, ""), (13, " \n"), (14, "scumface"), (14, "scumface"), (None, clean), (15, f"{clean} " * 2000 + "scumface " + f"{clean} " * 2000), (16, "x" * 200_000), (17, f"{clean} " * 3000)]
@@ -58,8 +65,91 @@ def test_inference_is_the_trained_softmax():
     assert np.allclose(toxicity.window_means(scores[:2]), scores[:2].mean())
 
 
-def test_one_class_gives_no_model():
-    assert toxicity.fit([b"a b"], [1]) is None and toxicity.fit([], []) is None and toxicity.fit([b"", b"a"], [0, 1]) is None
+def sample(spark, *rows):
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, text string, label int")
+
+
+def test_one_class_gives_no_model(spark):
+    assert toxicity.train(sample(spark, ("a b", 1))) is None and toxicity.train(sample(spark)) is None
+    assert toxicity.train(sample(spark, ("", 0), (None, 0), (" ", 0), ("a", 1))) is None
+
+
+def plain_score(text, model):
+    """The score of a text, word by word and window by window, without caches or pieces."""
+    words = [w for some in toxicity.short_words((text or "").encode().lower().split()) for w in some]
+    if not words:
+        return 0.0
+    of = []
+    for word in words:
+        marked = b"<" + word.strip(toxicity._STRIP) + b">"
+        grams = [zlib.crc32(marked[i : i + k]) % toxicity.BUCKETS for k in (3, 4, 5) for i in range(len(marked) - k + 1)] + [zlib.crc32(marked, 7) % toxicity.BUCKETS]
+        of.append(sum(float(model.buckets[g]) for g in grams) / len(grams))
+    means = [sum(of[i : i + toxicity.WINDOW]) / len(of[i : i + toxicity.WINDOW]) for i in range(max(1, len(of) - toxicity.WINDOW + 1))]
+    return 1 / (1 + math.exp(-min(40, max(-40, model.scale * max(means) + model.offset))))
+
+
+def test_scores_are_those_of_a_plain_scorer(spark, model):
+    """The query's operator on whole documents, very long ones among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "wretchbag " + "x, y " * 600_000), (-2, "é" * 500), (-3, "_".join(["abc"] * 300)), (-4, None), (-5, "\n"), (-5, "\n")], "doc_id long, text string")
+    rows = docs.union(extra)
+    want = sorted((r.doc_id, round(plain_score(r.text, model), 9)) for r in rows.collect())
+    assert sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score_documents(rows, model).collect()) == want
+
+
+def test_training_steps_follow_the_gradient():
+    """The gradients of the joint training against differences of the loss."""
+    rng = np.random.default_rng(1)
+    trainer = toxicity.Trainer()
+    windows = [[bytes(rng.choice(list(b"abcd"), int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 4)))] for _ in range(6)]
+    target = np.array([0, 1, 1, 0, 0, 1])
+    bags = toxicity._bags(windows)
+
+    def loss():
+        total = 0.0
+        for window, label in zip(windows, target, strict=True):
+            vector = np.mean([trainer.embedding[toxicity.word_grams(w)].mean(axis=0) for w in window], axis=0)
+            logits = vector @ trainer.softmax + trainer.bias
+            total += 0.5 / (target == label).sum() * (np.log(np.exp(logits).sum()) - logits[label])
+        return total
+
+    for values, (where, g) in zip((trainer.embedding, trainer.softmax, trainer.bias), trainer.gradients(*bags, target), strict=True):
+        rows = where if isinstance(where, np.ndarray) else np.arange(len(values))
+        for n in range(min(5, len(rows))):
+            at = (rows[n], 0) if values.ndim == 2 else (rows[n],)
+            held = values[at]
+            values[at] = held + 1e-6
+            up = loss()
+            values[at] = held - 1e-6
+            down = loss()
+            values[at] = held
+            assert (up - down) / 2e-6 == pytest.approx(g[n, 0] if values.ndim == 2 else g[n], abs=1e-6)
+    before = loss()
+    trainer.fit(windows, target, steps=20)
+    assert loss() < before
+
+
+def test_long_labelled_texts_train_whole(spark):
+    """Insults only in the middle of labelled texts of 300 kB: all of them are read."""
+    texts, labels = corpus(60)
+    clean = " ".join(t.decode() for t, y in zip(texts, labels, strict=True) if not y)
+    clean = clean * (150_000 // len(clean) + 1)
+    rows = [(f"{clean} scumface {clean}" if n % 3 == 0 else f"{clean} {clean}", int(n % 3 == 0)) for n in range(12)]
+    trained = toxicity.train(sample(spark, *rows))
+    found = {r.doc_id: r.score >= 0.7 for r in toxicity.score_documents(sample(spark, (f"{clean} scumface", 0), (clean, 0)), trained).collect()}
+    assert found == {0: True, 1: False}
+
+
+def test_worst_windows():
+    scores = toxicity._Scores(np.random.default_rng(3).normal(size=toxicity.BUCKETS))
+    text = b" ".join(bytes([97 + n % 26, 97 + n % 7, 97 + n % 5]) for n in range(200))
+    words = text.split()
+    means = [np.mean([scores[w] for w in words[i : i + 3]]) for i in range(198)]
+    worst, found = toxicity.worst_windows(text, scores, 2)
+    order = np.argsort(-np.array(means), kind="stable")[:2]
+    assert worst == pytest.approx(max(means)) and found == [words[i : i + 3] for i in order]
+    assert toxicity.any_window(text, 5) in [words[i : i + 3] for i in range(198)] and toxicity.any_window(b"", 5) == []
+    assert toxicity.worst_windows(b" ", scores, 2) == (None, [])
 
 
 def test_sample_keeps_to_bounds_and_folds(spark):
@@ -71,9 +161,8 @@ def test_sample_keeps_to_bounds_and_folds(spark):
     assert 20 <= few.count(0) <= 60 and 2 <= few.count(1) <= 20
 
 
-def test_long_words_are_scored_whole(spark):
+def test_long_words_are_scored_whole(spark, model):
     """An insult in the middle of text that is joined by anything but ASCII white space, or by nothing."""
-    model = toxicity.fit(*corpus(800))
     words = corpus(seed=4)[0][1].decode().split()
     words = (words * 40)[:400]
     bad = [*words[:200], "scumface", *words[200:]]
