@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.arrow import text_bytes, with_score
+from ledgerloom.session import written
 
-#: Bound of the labelled sample, per label, and of the bytes of one of its texts.
-LABELLED, MOST_BYTES = 2000, 100_000
+#: Bound of the labelled sample, per label.
+LABELLED = 2000
 LATENT, NEIGHBOURS = 48, 15
 #: Bytes of a text that are looked at together.
 PIECE = 1 << 20
@@ -59,7 +60,11 @@ def _bin(share: float) -> int:
 
 
 class Terms:
-    """Term counts of texts; the tables of powers are made once."""
+    """Term counts of whole texts; the tables of powers are made once.
+
+    How much words repeat is the share of words that equal the one before, over
+    the text, and the least share of distinct words in any run of PIECE bytes.
+    """
 
     def __init__(self):
         self.powers, self.inverse = _powers(_FACTOR, PIECE), _powers(_INVERSE, PIECE)
@@ -122,21 +127,28 @@ class Model:
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def vote(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by cosine."""
-        similar = self.latent(counts) @ self.vectors.T
+        """Share of label 1 among the nearest labelled vectors, weighted by cosine.
+
+        Of equally near ones the earlier in the sample's order counts. Products are
+        summed in double precision and rounded, so that equal texts score alike
+        whatever batch they are in.
+        """
+        similar = np.round(self.latent(counts).astype(np.float64) @ self.vectors.T.astype(np.float64), 6)
         k = min(NEIGHBOURS, similar.shape[1])
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64)
+        least = np.partition(similar, -k, axis=1)[:, -k, None]
+        above, equal = similar > least, similar == least
+        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        weight = np.where(near, np.maximum(similar, 0), 0)
         total = weight.sum(axis=1)
-        share = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
+        share = (weight * self.labels).sum(axis=1) / np.maximum(total, 1e-12)
         return np.clip(np.where(total > 0, share, self.prior), 0, 1)
 
 
 def train(sample: DataFrame) -> Model | None:
     """Model from a bounded sample ``doc_id, text, label``; None unless both labels occur.
 
-    Terms are counted in Spark tasks. Texts of more than MOST_BYTES bytes are
-    left out of training (never of scoring).
+    Terms of whole texts are counted in Spark tasks and written; the driver gets
+    a sparse row of at most TERMS counts for each of the sample's documents.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +159,8 @@ def train(sample: DataFrame) -> Model | None:
             packed = [pa.array([r.tobytes() for r in some], pa.binary()), pa.array([r[s].astype("<f4").tobytes() for r, s in zip(rows, some, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *packed, batch.column(2)], names=["doc_id", "terms", "counts", "label"])
 
-    usable = sample.where(f"text is not null and octet_length(text) <= {MOST_BYTES}").select("doc_id", "text", "label")
-    rows = usable.mapInArrow(count, "doc_id long, terms binary, counts binary, label int").toLocalIterator()
+    usable = sample.where("text is not null").select("doc_id", "text", "label")
+    rows = written(usable.mapInArrow(count, "doc_id long, terms binary, counts binary, label int"), "terms").collect()
     found = sorted((r.doc_id, bytes(r.terms), bytes(r.counts), r.label) for r in rows)
     labels = np.array([n for *_, n in found])
     if len(set(labels.tolist())) < 2:
@@ -164,11 +176,14 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
 
     The score is the vote for label 1. Null and empty texts have no terms and
     score the share of label 1 in the sample; without a model every text scores
-    1. Repeated rows and null ids come back as often as they came.
+    1. Texts are counted some MB at a time, however long. Repeated rows and null
+    ids come back as often as they came, an empty table gives an empty result.
+    Columns that aren't kept are ignored; ``name`` must not be one of ``keep``.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        terms = Terms()
+        terms, model = Terms(), shared.value
         return lambda texts: np.ones(len(texts)) if model is None else model.vote(np.stack([terms(t) for t in texts]))
 
     return with_score(docs, make, list(keep), name)
