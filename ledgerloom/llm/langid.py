@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import text_bytes
+from ledgerloom.session import written
 
 #: Training documents of all languages together, in equal shares; each counts whole.
 SAMPLE = 20_000
@@ -28,8 +29,8 @@ SAMPLE = 20_000
 LEAST = 100
 #: Buckets of hashed n-grams, and classes of buckets with like ratios.
 BUCKETS, CLASSES = 1 << 18, 512
-#: Bytes of an n-gram.
-GRAM = 4
+#: Bytes of an n-gram, and tasks that count those of the sample.
+GRAM, TASKS = 4, 8
 
 
 def grams(text: bytes, piece: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -105,10 +106,12 @@ def proportions(counts: np.ndarray, likelihood: np.ndarray, allowed: np.ndarray,
 
 
 def infer(counts: np.ndarray, likelihood: np.ndarray, penalty: float = 2.0) -> np.ndarray:
-    """Proportions over the language set of highest penalised likelihood, found backwards.
+    """Proportions over a language set chosen by penalised likelihood, greedily.
 
     Starts from all languages and drops the one with the least proportion while
-    the likelihood falls by less than ``penalty * log(grams)`` for it.
+    the likelihood falls by less than ``penalty * log(grams)`` for it. That is
+    the set of the highest penalised likelihood wherever the languages that
+    don't belong have the least proportions, not for every conceivable text.
     """
     n, languages = len(counts), len(likelihood)
     allowed = np.ones((n, languages))
@@ -134,8 +137,9 @@ def train(docs: DataFrame, label: Column, sample: int = SAMPLE) -> Model | None:
     Each label has an equal share of ``sample``, LEAST at least, so none is lost however rare it
     is. Of a label with up to twice its share all rows are in; of others a hash
     of ``doc_id`` leaves out the rows beyond about the share, and rows without
-    an id go by a hash of their text. The texts that are in are counted whole,
-    in Spark tasks, which send a histogram each.
+    an id go by a hash of their text. The sample is written in parallel; its
+    texts are counted whole, in TASKS tasks at most, which send a histogram of
+    BUCKETS counts at most for each language.
     """
     labelled = docs.select("doc_id", "text", label.alias("label")).where("label is not null and text is not null")
     rows = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -160,8 +164,9 @@ def train(docs: DataFrame, label: Column, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([some.astype("<u4").tobytes()]), pa.array([table[some].astype("<u4").tobytes()])], names=["label", "bucket", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    # Few tasks, so that the histograms are few; their size doesn't grow with the corpus.
-    for r in chosen.select("label", "text").coalesce(8).mapInArrow(count, "label string, bucket binary, n binary").toLocalIterator():
+    # Few tasks on the written sample, so that the histograms are few.
+    held = written(chosen.select("label", "text"), "language_sample").coalesce(TASKS)
+    for r in held.mapInArrow(count, "label string, bucket binary, n binary").collect():
         table = counts.setdefault(r.label, np.zeros(BUCKETS, np.int64))
         table[np.frombuffer(r.bucket, "<u4")] += np.frombuffer(r.n, "<u4")
     return Model(counts) if counts else None
@@ -173,12 +178,15 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 256) -> Data
     ``lang_pred`` has the largest proportion (ties: the smaller name), ``score``
     is that proportion, ``languages`` all proportions of the chosen set. Texts
     that are null or have no letter are ``und`` with score 0, and so is every
-    text without a model. Further columns are ignored.
+    text without a model. Repeated rows and null ids come back as often as they
+    came, an empty table gives an empty result. Further columns are ignored.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
     letter = regex.compile(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
