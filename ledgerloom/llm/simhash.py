@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.arrow import binary_column, byte_matrix, text_bytes, word_chunks
 from ledgerloom.llm.graph import components
+from ledgerloom.operators.joins import spread_join
 from ledgerloom.session import written
 
 #: Members of a posting list that one task compares at a time.
@@ -283,16 +284,5 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, max_bits:
     component = distinct.join(joined, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least").alias("component_id")
     )
-    return marked.join(component, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, the smallest doc_id's.
-
-    Takes the parameters of simhash_groups. Of rows that repeat a kept doc_id
-    one stays. A component of null ids has no name; its rows stay.
-    """
-    groups = simhash_groups(docs, **how)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    # Many texts may share a fingerprint: copies, and all texts without words.
+    return spread_join(marked, component, ["fingerprint"]).select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
