@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.joins import spread_join
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"://([^/?#]*)([^?#]*)"
 
@@ -51,7 +53,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, prefix: int = 8, default: s
     the longest rule path, not by the rules). Expressions and rules meet on the
     first ``prefix`` hex digits of their SHA-256, then full digests are
     compared. Spark broadcasts the rules only below its own size threshold,
-    otherwise the join is a shuffle on the hash prefix.
+    otherwise the join is a shuffle on the hash prefix. Verdicts go back to the
+    pages by URL; the pages of a very frequent one are dealt over tasks.
 
     Null URLs and those without ``://`` have empty host and path, which no rule
     fits. Repeated pages and null ids come back as often as they came. Further
@@ -69,7 +72,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, prefix: int = 8, default: s
     lengths = sorted(r[0] for r in made.select(F.length("rule_path")).distinct().collect())
 
     parsed = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    distinct = parsed.select("host", "path").where("host <> ''").distinct()
+    told, untold = parsed.where("host <> ''"), parsed.where("host = ''")
+    distinct = told.select("host", "path").distinct()
     suffixes = distinct.withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
     expressions = suffixes.withColumn("start", F.explode(path_prefixes(F.col("path"), lengths)))
     digests = expressions.select(
@@ -82,10 +86,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, prefix: int = 8, default: s
     best = met.groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "host_length", F.col("action") == "block", F.col("rule"))).alias("best")
     )
-    return parsed.join(best, ["host", "path"], "left").select(
-        "page_id",
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.lit(default)).alias("verdict"),
-    )
+    # One URL may be that of very many pages; pages without a host meet no rule.
+    judged = spread_join(told, best, ["host", "path"], "left")
+    both = judged.select("page_id", "host", "path", "best").union(untold.select("page_id", "host", "path", F.lit(None).cast(best.schema["best"].dataType)))
+    return both.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
