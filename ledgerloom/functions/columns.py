@@ -68,9 +68,25 @@ def gas_value(used: Column, effective: Column, price: Column) -> Column:
 
 
 def points_rate(balance: Column, seconds: Column) -> Column:
-    """Points of holding a balance for some seconds, as decimal."""
-    product = balance.cast("decimal(20,0)") * seconds.cast("decimal(12,0)")
-    return (product * F.lit(POINTS_PER_DAY) / F.lit(86400)).cast("decimal(38,6)")
+    """Points of holding a balance for some seconds, as decimal; exact up to 38 digits of unit-seconds, beyond that an error."""
+    return points_of(unit_seconds(balance, seconds))
+
+
+def unit_seconds(balance: Column, seconds: Column) -> Column:
+    """Balance times seconds, DECIMAL(38,0); more digits are an error, never a rounded value."""
+    return (balance.cast("decimal(38,0)") * seconds.cast("decimal(12,0)")).cast("decimal(38,0)")
+
+
+def points_of(held: Column) -> Column:
+    """Points of some unit-seconds to six places, DECIMAL(38,6), rounded half up.
+
+    Whole days' points and the rest are divided apart, so no product has more
+    than 38 digits.
+    """
+    held = held.cast("decimal(38,0)")
+    rest = (held % F.lit(86400)).cast("decimal(12,0)")
+    days = ((held - rest) / F.lit(86400).cast("decimal(5,0)")).cast("decimal(29,0)")
+    return (days * F.lit(POINTS_PER_DAY) + F.round(rest * F.lit(POINTS_PER_DAY) / F.lit(86400), 6)).cast("decimal(38,6)")
 
 
 def points_rate_floor(balance: Column, seconds: Column) -> Column:

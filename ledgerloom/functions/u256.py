@@ -131,11 +131,58 @@ def u256_sum(text: Column) -> Column:
     return digits_to_string(digits_of_limbs(F.reverse(F.concat(held["out"], F.array(held["carry"])))))
 
 
+def _sum_parts(value: Column) -> list[Column]:
+    """Sums of a non-negative amount's digits in groups of nine, lowest first."""
+    padded = F.lpad(F.coalesce(F.when(value.rlike(f"^[0-9]{{1,{9 * DIGITS}}}$"), value), F.lit("0")), 9 * DIGITS, "0")
+    return [F.coalesce(F.sum(F.substring(padded, 1 + 9 * i, 9).cast("long")), F.lit(0)) for i in reversed(range(DIGITS))]
+
+
 def decimal_sum(value: Column) -> Column:
-    """Exact sum of DECIMAL(38,0) amounts as text; the fast path."""
-    return F.coalesce(F.sum(value.cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").cast("string")
+    """Exact sum of non-negative amounts, decimals or decimal text of up to 81 digits, as text.
+
+    Groups of nine digits are summed by themselves, up to 2^33 rows, so partial
+    sums are added before the shuffle; carries are settled once at the end.
+    """
+    held = _carried(F.array(*_sum_parts(value.cast("string"))), F.lit(0).cast("long"), 1, BASE)
+    return digits_to_string(F.concat(held["out"], F.array(held["carry"])))
+
+
+def u256_avg(value: Column) -> Column:
+    """Mean of amounts as struct(mean, floor): a double, and the exact whole part as text; null without any.
+
+    The sum and the count are exact; the quotient is divided digit by digit.
+    """
+    n = F.count(value)
+    held = _carried(F.array(*_sum_parts(value.cast("string"))), F.lit(0).cast("long"), 1, BASE)
+    digits = F.reverse(F.concat(held["out"], F.array(held["carry"])))
+
+    def divided(rows: Column) -> Column:
+        first = F.struct(F.lit(0).cast("decimal(20,0)").alias("rest"), F.array().cast("array<long>").alias("out"))
+
+        def step(h: Column, d: Column) -> Column:
+            total = (h["rest"] * F.lit(BASE) + d).cast("decimal(30,0)")
+            return F.struct((total % rows).cast("decimal(20,0)").alias("rest"), F.concat(h["out"], F.array(F.call_function("div", total, rows).cast("long"))).alias("out"))
+
+        return F.aggregate(digits, first, step)
+
+    whole = divided(F.greatest(n, F.lit(1)).cast("decimal(20,0)"))
+    floor = digits_to_string(F.reverse(whole["out"]))
+    return F.when(n > 0, F.struct((floor.cast("double") + whole["rest"].cast("double") / n).alias("mean"), floor.alias("floor")))
 
 
 def scale_down(value: Column, decimals: int) -> Column:
     """Integer amount to an amount with ``decimals`` decimal places."""
     return (value.cast("decimal(38,0)") / F.lit(str(10**decimals)).cast(f"decimal({decimals + 1},0)")).cast("decimal(38,18)")
+
+
+def scale_up(value: Column, decimals: int) -> Column:
+    """Decimal text with a fraction to a whole number of its smallest unit, as text; further places are cut off.
+
+    ``1.5`` with 18 decimals is ``1500000000000000000``. Anything but digits
+    with at most one point is null.
+    """
+    text = F.trim(value.cast("string"))
+    whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.split_part(text, F.lit("."), F.lit(2))
+    joined = F.concat(whole, F.rpad(part, decimals, "0")) if decimals else whole
+    short = F.regexp_replace(joined, "^0+", "")
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]*)?$"), F.when(short == "", "0").otherwise(short))

@@ -20,6 +20,12 @@ def unique_counts(df: DataFrame, by: str, cols: list[str], approximate: bool = F
     return df.groupBy(by).agg(*[count(c).alias(f"unique_{c}") for c in cols])
 
 
+def unique_addresses(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    """Distinct addresses of several columns together: ``n`` of each group, null and empty ones left out."""
+    found = df.select(*by, F.explode(F.array(*cols)).alias("_address")).where("_address <> ''").distinct()
+    return found.groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def block_range(df: DataFrame, col: str = "block_number", by: list[str] | None = None) -> DataFrame:
     """Least, greatest, known count, and span of a column."""
     return df.groupBy(*(by or [])).agg(
@@ -53,7 +59,7 @@ def path_summary(df: DataFrame, path: str = "path") -> DataFrame:
     """Distinct tokens and mean path length."""
     tokens = path_tokens(F.col(path))
     exploded = df.select(F.explode(tokens).alias("token")).where("token <> ''").agg(F.count_distinct("token").alias("distinct_tokens"))
-    return exploded.join(df.agg(F.round(F.avg(F.size(tokens)), 6).alias("mean_path_length")))
+    return exploded.crossJoin(df.agg(F.round(F.avg(F.size(tokens)), 6).alias("mean_path_length")))
 
 
 def null_key_counts(df: DataFrame, col: str) -> DataFrame:
@@ -77,7 +83,8 @@ def bucket_histogram(df: DataFrame, col: str, size: int, lo: int, hi: int, by: s
     buckets = spark.range(0, (hi - lo) // size + 1).select((F.col("id") * size + lo).alias("start"))
     buckets = buckets.withColumn("stop", F.least(F.col("start") + size - 1, F.lit(hi)))
     if by:
-        buckets = df.select(by).distinct().join(buckets)
+        buckets = df.select(by).distinct().withColumn("start", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"), F.lit(size).cast("long"))))
+        buckets = buckets.withColumn("stop", F.least(F.col("start") + size - 1, F.lit(hi)))
     inside = df.where(F.col(col).between(lo, hi))
     keys = ([by] if by else []) + ["start"]
     counts = inside.withColumn("start", (F.floor((F.col(col) - lo) / size) * size + lo).cast("long")).groupBy(*keys).agg(F.count("*").alias("n"))

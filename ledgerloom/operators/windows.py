@@ -9,9 +9,13 @@ from ledgerloom.session import written
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Exactly one row per key, the greatest by ``order`` (give a total order)."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    """Exactly one row per key, the greatest by ``order`` (give a total order).
+
+    An aggregate, so a key with very many rows is reduced before the shuffle.
+    Null orders come last.
+    """
+    greatest = F.max_by(F.struct(*df.columns), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(greatest.alias("_row")).select("_row.*")
 
 
 def seq_in_tx(df: DataFrame, tx: str, order: list[str]) -> DataFrame:
@@ -55,9 +59,14 @@ def gaps(df: DataFrame, col: str, bucket: int = 1 << 20) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, count: str = "n", name: str = "share") -> DataFrame:
-    """Each row's count as a percentage of all rows' counts."""
+    """Each row's count as a percentage of all rows' counts; the total is one row."""
     total = df.agg(F.sum(count).alias("_total"))
-    return df.join(total).withColumn(name, F.round(F.col(count) * 100.0 / F.col("_total"), 4)).drop("_total")
+    return df.crossJoin(F.broadcast(total)).withColumn(name, F.round(F.col(count) * 100.0 / F.col("_total"), 4)).drop("_total")
+
+
+def order_by(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """Rows in a total order, by ranges of it."""
+    return df.orderBy(*order)
 
 
 def page(df: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
@@ -86,14 +95,24 @@ def both_sides(transfers: DataFrame) -> DataFrame:
 
 
 def signed_sides(transfers: DataFrame) -> DataFrame:
-    """``id, account, sign, delta, mint, block_number, ts``: ids end in ``_f`` or ``_t``."""
-    minted = F.when(F.col("from_addr") == F.lit("0x" + "0" * 40), F.col("value")).otherwise(F.lit(0))
+    """``id, account, sign, delta, mint, block_number, ts``: ids end in ``_f`` or ``_t``.
+
+    Amounts keep their type; text, as decoded logs have it, becomes
+    DECIMAL(38,0), and one that has more digits is an error. The time is ``ts``
+    or else ``block_timestamp``.
+    """
+    kind = transfers.schema["value"].dataType.simpleString()
+    value = F.col("value").cast("decimal(38,0)") if kind == "string" else F.col("value")
+    kind = "decimal(38,0)" if kind == "string" or kind.startswith("decimal") else kind
+    ts = "ts" if "ts" in transfers.columns else "block_timestamp"
+    zero = F.lit(0).cast(kind)
+    minted = F.when(F.col("from_addr") == F.lit("0x" + "0" * 40), value).otherwise(zero)
     sides = F.array(
-        F.struct(F.lit("_f").alias("suffix"), F.col("from_addr").alias("account"), F.lit(-1).alias("sign"), (-F.col("value")).alias("delta"), F.lit(0).cast("long").alias("mint")),
-        F.struct(F.lit("_t").alias("suffix"), F.col("to_addr").alias("account"), F.lit(1).alias("sign"), F.col("value").alias("delta"), minted.cast("long").alias("mint")),
+        F.struct(F.lit("_f").alias("suffix"), F.col("from_addr").alias("account"), F.lit(-1).alias("sign"), (-value).cast(kind).alias("delta"), zero.alias("mint")),
+        F.struct(F.lit("_t").alias("suffix"), F.col("to_addr").alias("account"), F.lit(1).alias("sign"), value.cast(kind).alias("delta"), minted.cast(kind).alias("mint")),
     )
     out = transfers.withColumn("_s", F.explode(sides))
-    return out.select(F.concat("id", "_s.suffix").alias("id"), "_s.account", "_s.sign", "_s.delta", "_s.mint", "block_number", "ts")
+    return out.select(F.concat("id", "_s.suffix").alias("id"), "_s.account", "_s.sign", "_s.delta", "_s.mint", "block_number", F.col(ts).alias("ts"))
 
 
 def distinct_accounts(sides: DataFrame) -> DataFrame:
@@ -116,7 +135,6 @@ def key_union(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def dedup(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key with ``duplicates``, how many others there were."""
-    w = Window.partitionBy(key)
-    counted = df.withColumn("duplicates", F.count("*").over(w) - 1).withColumn("_place", F.row_number().over(w.orderBy(*order)))
-    return counted.where("_place = 1").drop("_place")
+    """The first row of each key with ``duplicates``, how many others there were: an aggregate."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    return df.groupBy(F.col(key).alias("_key")).agg(first, (F.count("*") - 1).alias("duplicates")).select("_row.*", "duplicates")

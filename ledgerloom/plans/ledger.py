@@ -1,8 +1,11 @@
 """Ledger jobs: balances, snapshots, points, gas, swaps, factory pairs.
 
-Amounts are DECIMAL(38,0). All per-account work is one window over the account,
-so the null address, which takes part in very many transfers, is left out
-before any window.
+Amounts and their products with seconds are DECIMAL(38,0): exact up to 38 digits,
+an error beyond, never rounded. Transfers are rows ``id, from_addr, to_addr,
+value, block_number`` and ``ts`` or ``block_timestamp``; values may be text, so what
+transfers_job gives can be used as it is. The null address, which takes part in
+very many transfers, is left out before any window. Windows over an account
+run within ranges of time: of a range only its totals go on to the later ones.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.abi import decode_event, decode_swap_call
-from ledgerloom.functions.columns import gas_value, path_join, snapshot_id, trace_id
+from ledgerloom.functions.columns import gas_value, path_join, points_of, snapshot_id, trace_id, unit_seconds
 from ledgerloom.operators.filters import block_between, by_selector, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
 from ledgerloom.operators.joins import account_ticks, factory_temporal_join, trace_tx_join
 from ledgerloom.operators.windows import latest_per_key, signed_sides
@@ -24,14 +27,44 @@ def transfers_job(logs: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def sides_of_accounts(transfers: DataFrame) -> DataFrame:
-    return exclude_zero_address(signed_sides(transfers)).withColumn("delta", F.col("delta").cast("decimal(38,0)"))
+    return exclude_zero_address(signed_sides(transfers)).withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("delta", "mint")})
+
+
+#: Seconds of a range within which the rows of an account are put in order together.
+RANGE = 90 * 86400
+
+
+def running_totals(df: DataFrame, sums: dict[str, str], order: list[str], before: dict[str, str] | None = None, span: int = RANGE) -> DataFrame:
+    """``df`` (``account, ts`` and more) with running sums per account, and values of the row before.
+
+    ``sums`` names sums of columns up to and with the row, ``before`` the last
+    row's values. Only rows of one account and one range of ``span`` seconds are
+    put in order together; a range's totals and last values, one row each, are
+    put in order by themselves and handed on to the ranges after it.
+    """
+    before = before or {}
+    ranged = df.withColumn("_range", F.floor(F.col("ts") / span))
+    last = F.struct(*order)
+    totals = ranged.groupBy("account", "_range").agg(
+        *[F.sum(c).cast("decimal(38,0)").alias(f"_sum_{n}") for n, c in sums.items()], *[F.max_by(c, last).alias(f"_last_{n}") for n, c in before.items()]
+    )
+    past = Window.partitionBy("account").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lag = Window.partitionBy("account").orderBy("_range")
+    carried = totals.select(
+        "account", "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(past), F.lit(0)).cast("decimal(38,0)").alias(f"_from_{n}") for n in sums], *[F.lag(f"_last_{n}").over(lag).alias(f"_prev_{n}") for n in before]
+    )
+    within = Window.partitionBy("account", "_range").orderBy(*order)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    held = ranged.withColumns({f"_in_{n}": F.sum(c).over(upto) for n, c in sums.items()} | {f"_lag_{n}": F.lag(c).over(within) for n, c in before.items()} | {"_place": F.row_number().over(within)})
+    joined = held.join(carried, ["account", "_range"])
+    made = {n: (F.col(f"_in_{n}") + F.col(f"_from_{n}")).cast("decimal(38,0)") for n in sums} | {n: F.when(F.col("_place") == 1, F.col(f"_prev_{n}")).otherwise(F.col(f"_lag_{n}")) for n in before}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in made.items()])
 
 
 def balance_history(transfers: DataFrame) -> DataFrame:
     """``id, account, delta, balance, block_number, ts``: the balance after every change."""
-    order = Window.partitionBy("account").orderBy("ts", "block_number", "id").rowsBetween(Window.unboundedPreceding, 0)
-    sides = sides_of_accounts(transfers)
-    return sides.select("id", "account", "delta", F.sum("delta").over(order).cast("decimal(38,0)").alias("balance"), "block_number", "ts")
+    running = running_totals(sides_of_accounts(transfers), {"balance": "delta"}, ["ts", "block_number", "id"])
+    return running.select("id", "account", "delta", "balance", "block_number", "ts")
 
 
 def current_balances(transfers: DataFrame) -> DataFrame:
@@ -49,15 +82,18 @@ def collapse_same_ts(transfers: DataFrame) -> DataFrame:
 
 
 def _snapshots(changes: DataFrame) -> DataFrame:
-    """Running balance, mint and unit-seconds from rows ``account, ts, delta, mint, trigger``."""
-    order = Window.partitionBy("account").orderBy("ts")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    running = changes.withColumn("balance", F.sum("delta").over(upto).cast("decimal(38,0)")).withColumn("mint_amount", F.sum("mint").over(upto).cast("decimal(38,0)"))
-    previous = running.withColumn("old_ts", F.lag("ts").over(order)).withColumn("old_balance", F.lag("balance").over(order))
-    held = F.coalesce(F.col("old_balance").cast("decimal(24,0)") * (F.col("ts") - F.col("old_ts")).cast("decimal(12,0)"), F.lit(0))
-    summed = previous.withColumn("unit_seconds", F.sum(held).over(upto).cast("decimal(38,0)"))
-    points = F.round(F.col("unit_seconds").cast("decimal(28,0)") * F.lit(1000) / F.lit(86400), 6).cast("decimal(38,6)")
-    return summed.withColumn("points", points)
+    """Running balance, mint and unit-seconds from rows ``account, ts, delta, mint, trigger``.
+
+    Unit-seconds up to a time are the sum of delta * (that time - the delta's
+    own), so they follow from two running sums; the last row's are taken off.
+    """
+    zero = F.lit(0).cast("decimal(38,0)")
+    timed = changes.withColumn("_moved", unit_seconds(F.col("delta"), F.col("ts")))
+    running = running_totals(timed, {"balance": "delta", "mint_amount": "mint", "_moved_sum": "_moved"}, ["ts"], {"old_ts": "ts"})
+    old = running.withColumn("old_balance", F.when(F.col("old_ts").isNotNull(), (F.col("balance") - F.col("delta")).cast("decimal(38,0)")))
+    # The balance before, from the first change to this time, less what was moved until then.
+    held = (unit_seconds(F.col("balance"), F.col("ts")) - F.col("_moved_sum")).cast("decimal(38,0)")
+    return old.withColumn("unit_seconds", F.coalesce(held, zero)).withColumn("points", points_of(F.col("unit_seconds"))).drop("_moved", "_moved_sum")
 
 
 def account_snapshots(transfers: DataFrame) -> DataFrame:
@@ -69,7 +105,7 @@ def account_snapshots(transfers: DataFrame) -> DataFrame:
 def point_updates(transfers: DataFrame) -> DataFrame:
     """Change log: old and new time and balance, and the unit-seconds that were added."""
     changes = _snapshots(collapse_same_ts(transfers).withColumn("trigger", F.lit("transfer")))
-    added = F.coalesce(F.col("old_balance").cast("decimal(24,0)") * (F.col("ts") - F.col("old_ts")).cast("decimal(12,0)"), F.lit(0))
+    added = F.coalesce(unit_seconds(F.col("old_balance"), F.col("ts") - F.col("old_ts")), F.lit(0).cast("decimal(38,0)"))
     return changes.select(
         "account", F.coalesce("old_ts", F.lit(0).cast("long")).alias("old_ts"), F.coalesce("old_balance", F.lit(0).cast("decimal(38,0)")).alias("old_balance"),
         F.col("ts").alias("new_ts"), F.col("balance").alias("new_balance"), added.cast("decimal(38,0)").alias("added"), "trigger",
@@ -99,9 +135,9 @@ def points_closed_form(transfers: DataFrame, starts: DataFrame | None = None, t_
     balance at the start (``account, balance``) times the window's length.
     """
     sides = sides_of_accounts(transfers)
-    moved = sides.select("account", (F.col("delta").cast("decimal(24,0)") * (F.lit(t_end) - F.col("ts")).cast("decimal(13,0)")).cast("decimal(38,0)").alias("moved"), F.lit(0).cast("decimal(38,0)").alias("held"))
+    moved = sides.select("account", unit_seconds(F.col("delta"), F.lit(t_end) - F.col("ts")).alias("moved"), F.lit(0).cast("decimal(38,0)").alias("held"))
     if starts is not None:
-        held = starts.select("account", F.lit(0).cast("decimal(38,0)").alias("moved"), (F.col("balance").cast("decimal(24,0)") * F.lit(window)).cast("decimal(38,0)").alias("held"))
+        held = starts.select("account", F.lit(0).cast("decimal(38,0)").alias("moved"), unit_seconds(F.col("balance"), F.lit(window)).alias("held"))
         moved = moved.union(held)
     return points_window_sum(moved)
 

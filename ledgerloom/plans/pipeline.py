@@ -64,12 +64,31 @@ class Indexer:
 def register_sql_functions(spark: SparkSession) -> None:
     """SQL names for user SQL, as SQL functions over built-ins.
 
-    ``to_u256(text)``, ``u256_mul(a, b)`` (null where it doesn't fit DECIMAL(38,0)),
-    ``topic_address(topic)``, ``data_word(data, k)``, ``log_signature(topics)``.
+    ``to_u256(text)``, ``u256_mul(a, b)`` (exact text, null beyond 38 digits),
+    ``topic_address(topic)``, ``data_word(data, k)``, ``log_signature(topics)``,
+    ``event_param(topics, data, n)`` (the n-th parameter, from 1, of an event of
+    addresses and numbers, as text; null for others).
     """
+    words = "split(topics, ',')"
+    event = {}
+    for name, (topic, params) in EVENTS.items():
+        if not params or any(not (kind == "address" or kind.startswith("uint")) for _, kind, _ in params):
+            continue
+        found, indexed, word = [], 1, 0
+        for _, kind, is_topic in params:
+            text = f"substring(try_element_at({words}, {indexed + 1}), 3, 64)" if is_topic else f"substring(data, {word * 64 + 3}, 64)"
+            indexed, word = indexed + is_topic, word + (not is_topic)
+            found.append(f"concat('0x', lower(substring({text}, 25, 40)))" if kind == "address" else f"word_number({text})")
+        event[topic] = "element_at(array(" + ", ".join(found) + f"), case when n between 1 and {len(found)} then n end)"
+    digit = "cast(conv(substring(w, {}, 8), 16, 10) as decimal(10,0))"
+    low = " + ".join(f"{digit.format(33 + 8 * k)} * cast({1 << (32 * (3 - k))} as decimal({len(str(1 << (32 * (3 - k))))},0))" for k in range(4))
     made = {
         "to_u256(t string) returns decimal(38,0)": "try_cast(t as decimal(38,0))",
-        "u256_mul(a string, b string) returns decimal(38,0)": "try_multiply(try_cast(a as decimal(20,0)), try_cast(b as decimal(18,0)))",
+        # Null where the product has more than 38 digits; the column function has no such end.
+        "u256_mul(a string, b string) returns string": "cast(try_multiply(try_cast(a as decimal(38,0)), try_cast(b as decimal(38,0))) as string)",
+        # Null from 2^126 on, as DECIMAL(38,0) ends there.
+        "word_number(w string) returns string": f"case when w rlike '^0{{32}}[0-3][0-9a-fA-F]{{31}}$' then cast(cast({low} as decimal(38,0)) as string) end",
+        "event_param(topics string, data string, n int) returns string": "case " + " ".join(f"when lower(substring_index(topics, ',', 1)) = '{t}' then {e}" for t, e in event.items()) + " end",
         "topic_address(t string) returns string": "concat('0x', lower(substring(t, 27, 40)))",
         "data_word(d string, k int) returns string": "substring(d, k * 64 + 3, 64)",
         "log_signature(t string) returns string": "case "

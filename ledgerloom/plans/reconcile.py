@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.joins import missing_from, pairwise_full
+from ledgerloom.operators.windows import average_rank
 from ledgerloom.schemas import ALIASES
 
 
@@ -81,7 +82,7 @@ def content_similarity(a: DataFrame, b: DataFrame, key: str, fields: dict[str, b
     """Common keys, identical ones and their share, and Jaccard of the keys."""
     diff = tolerant_diff(a, b, key, fields).agg(F.count("*").alias("common"), F.count_if(F.size("differs") == 0).alias("identical"))
     sizes = pairwise_full(a, b, key).agg(F.count("*").alias("_all"))
-    out = diff.join(sizes)
+    out = diff.crossJoin(sizes)
     share = lambda x, y: F.when(F.col(y) > 0, F.round(F.col(x) / F.greatest(F.col(y), F.lit(1)), 6)).otherwise(0.0)
     return out.select("common", "identical", share("identical", "common").alias("similarity"), share("common", "_all").alias("jaccard"))
 
@@ -126,20 +127,12 @@ def _pairs_of(one: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def spearman_matrix(points: DataFrame, key: str, platforms: list[str]) -> DataFrame:
-    """The same on average ranks, ranked for each pair on the accounts it uses.
-
-    Ranks come from counts of distinct values, so only those are put in order.
-    """
+    """The same on average ranks, ranked for each pair on the accounts it uses, by ranges of values."""
     wide, pairs, out = _wide(points, key, platforms), list(combinations(platforms, 2)), None
     for a, b in pairs:
-        used = wide.where((F.col(a) != 0) | (F.col(b) != 0)).select(a, b)
-        ranked = used
-        for c in (a, b):
-            values = used.groupBy(c).agg(F.count("*").alias("_n"))
-            upto = F.sum("_n").over(Window.orderBy(c))
-            ranks = values.select(F.col(c).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
-            ranked = ranked.join(ranks, F.col(c) == F.col("_v")).drop("_v")
-        part = _pairs_of(ranked.agg(F.corr(f"rank_{a}", f"rank_{b}").alias(f"{a}|{b}")), [(a, b)])
+        used = wide.where((F.col(a) != 0) | (F.col(b) != 0)).select(F.col(a).alias("x"), F.col(b).alias("y"))
+        ranked = average_rank(average_rank(used, "x", "rank_x"), "y", "rank_y")
+        part = _pairs_of(ranked.agg(F.corr("rank_x", "rank_y").alias(f"{a}|{b}")), [(a, b)])
         out = part if out is None else out.union(part)
     return out
 

@@ -59,20 +59,34 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transfers as raw logs."""
-    t = transfers(spark, sf_dir)
+def _transfer_logs(t: DataFrame, data: Column) -> DataFrame:
     return t.select(
         "id",
         F.lit("0x" + "ab" * 20).alias("address"),
         F.concat_ws(",", F.lit(EVENTS["Transfer"][0]), _topic(F.col("from_addr")), _topic(F.col("to_addr"))).alias("topics"),
-        F.concat(F.lit("0x"), _word(F.col("value"))).alias("data"),
+        data.alias("data"),
         "block_number",
         F.col("ts").alias("block_timestamp"),
         F.concat(F.lit("0x"), F.md5("id")).alias("transaction_hash"),
     )
 
 
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transfers as raw logs."""
+    return _transfer_logs(transfers(spark, sf_dir), F.concat(F.lit("0x"), _word(F.col("value"))))
+
+
+def token_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same logs with amounts of 18 decimals: a cent is 10^16 units."""
+    t = transfers(spark, sf_dir)
+    # value * 10^16 in two halves of 60 and 64 bits, as hex() takes a long at most.
+    wide = F.col("value").cast("decimal(20,0)") * F.lit(str(10**16)).cast("decimal(17,0)")
+    half = F.lit(str(1 << 60)).cast("decimal(19,0)")
+    high, low = F.call_function("div", wide, half).cast("long"), (wide % half).cast("long")
+    data = F.concat(F.lit("0x"), _hex(high, 49), _hex(low, 15))
+    return _transfer_logs(t, data)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router calls as traces; every 17th (by order key) is cut short after its second word."""
     line = table(spark, sf_dir, "lineitem")

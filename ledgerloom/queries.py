@@ -11,13 +11,13 @@ from ledgerloom.functions import columns as C
 from ledgerloom.functions import u256
 from ledgerloom.functions.abi import decode_call, decode_log
 from ledgerloom.operators import aggregates as A
-from ledgerloom.operators import filters as P
 from ledgerloom.operators import joins as J
 from ledgerloom.operators import windows as W
 from ledgerloom.plans import ledger as L
 from ledgerloom.plans import reconcile as N
 from ledgerloom.plans import renditions as R
-from ledgerloom.session import written
+from ledgerloom.session import new_path, shared_dir
+from ledgerloom.sources.readers import scan_traces
 from ledgerloom.sources.sinks import distribution
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,12 +73,25 @@ swaps as (select concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)
   date_diff('day', date '1995-01-01', cast(l_shipdate as date)) as block_number, l_linenumber as log_index from lineitem)"""
 
 
-def _raw(df: DataFrame) -> DataFrame:
+_STORED: dict[tuple, str] = {}
+
+
+def _raw_path(name: str, make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> str:
     """A derived raw table as stored Parquet, so that jobs scan it as they would chain data.
 
-    Its files are about even, whatever files the table comes from.
+    Built once per session and folder; its files are about even, whatever files
+    the table comes from.
     """
-    return written(df.repartition("id"), "raw")
+    key = (spark.sparkContext.applicationId, shared_dir(spark), d, name)
+    if key not in _STORED:
+        path = new_path(spark, f"raw-{name}")
+        make(spark, d).repartition(spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _raw(name: str, make: Callable[[SparkSession, str], DataFrame], spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(_raw_path(name, make, spark, d))
 
 
 def query(sql: str | None = None):
@@ -98,31 +111,31 @@ def query(sql: str | None = None):
 
 @query(f"with {_T} select id, from_addr, to_addr, cast(value as varchar) as value, block_number, ts as block_timestamp, '0x' || md5(id) as transaction_hash from transfers where block_number between 100 and 2000")
 def l1_transfers_job(spark, d):
-    return L.transfers_job(_raw(R.logs(spark, d)), 100, 2000)
+    return L.transfers_job(_raw("logs", R.logs, spark, d), 100, 2000)
 
 
 @query(f"with {_T} select 'Transfer' as event_signature, from_addr as p1, to_addr as p2, cast(value as varchar) as p3, count(*) as n from transfers group by all")
 def d1_decode_log(spark, d):
     p = F.col("decoded.event_params")
-    decoded = decode_log(_raw(R.logs(spark, d)))
+    decoded = decode_log(_raw("logs", R.logs, spark, d))
     return decoded.groupBy(F.col("decoded.event_signature").alias("event_signature"), *[F.element_at(p, k).alias(f"p{k}") for k in (1, 2, 3)]).agg(F.count("*").alias("n"))
 
 
 @query(f"with {_C} select id, cast(amount_in as varchar) as i1, cast(amount_out_min as varchar) as i2, '[\"' || array_to_string(path, '\",\"') || '\"]' as i3, caller as i4, cast(deadline as varchar) as i5 from whole")
 def d2_decode_call(spark, d):
-    decoded = decode_call(_raw(R.calls(spark, d)), R.SWAP_SELECTOR, ["uint256", "uint256", "address[]", "address", "uint256"]).where("decoded is not null")
+    decoded = decode_call(_raw("calls", R.calls, spark, d), R.SWAP_SELECTOR, ["uint256", "uint256", "address[]", "address", "uint256"]).where("decoded is not null")
     return decoded.select("id", *[F.col("decoded.inputs")[k].alias(f"i{k + 1}") for k in range(5)])
 
 
 @query(f"with {_C} select count(*) as n, count(distinct caller) as senders, min(block_number) as lo, max(block_number) as hi from calls where block_number between 500 and 1500")
 def s5_scan_traces(spark, d):
-    kept = P.by_selector(P.block_between(_raw(R.calls(spark, d)), 500, 1500), R.SWAP_SELECTOR)
+    kept = scan_traces(spark, _raw_path("calls", R.calls, spark, d), None, 500, 1500, selector=R.SWAP_SELECTOR)
     return kept.agg(F.count("*").alias("n"), F.count_distinct("from_address").alias("senders"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
 
 
 @query(f"with {_C} select '0x38ed1739' as selector, count(*) as n from calls")
 def d11_selectors(spark, d):
-    return _raw(R.calls(spark, d)).groupBy(C.method_selector(F.col("input")).alias("selector")).agg(F.count("*").alias("n"))
+    return _raw("calls", R.calls, spark, d).groupBy(C.method_selector(F.col("input")).alias("selector")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -131,7 +144,7 @@ def d11_selectors(spark, d):
     " cast(deadline as varchar) as deadline, array_to_string(path, ',') as path, len(path) as path_length from whole w left join tx t on w.transaction_hash = t.hash where len(path) >= 2"
 )
 def l11_router_swaps(spark, d):
-    return L.router_swaps_job(_raw(R.calls(spark, d)), R.transactions(spark, d))
+    return L.router_swaps_job(_raw("calls", R.calls, spark, d), R.transactions(spark, d))
 
 
 # -- ledger -----------------------------------------------------------------------
@@ -226,9 +239,12 @@ def w8_out_of_order(spark, d):
 # -- blocks, transactions, factory ---------------------------------------------------
 
 
-@query(f"with {_B} select cast(number as varchar) as id, number, hash, parent_hash, timestamp from blocks where number between 10 and 9000")
+@query(f"with {_B} select cast(number as varchar) as id, number, hash, parent_hash, timestamp from blocks where number between (select max(number) // 10 from blocks) and (select max(number) from blocks)")
 def l9_blocks_job(spark, d):
-    return L.blocks_job(R.blocks(spark, d), 10, 9000)
+    """From a tenth of the highest number on."""
+    blocks = R.blocks(spark, d)
+    most = blocks.agg(F.max("number")).first()[0]
+    return L.blocks_job(blocks, most // 10, most)
 
 
 @query(
@@ -247,23 +263,23 @@ def a5_gas_totals(spark, d):
 
 @query(f"with {_T} select from_addr, cast(sum(value) as varchar) as total from transfers group by 1")
 def a5_u256_sum(spark, d):
-    logs = _raw(R.logs(spark, d))
+    logs = _raw("logs", R.logs, spark, d)
     return logs.groupBy(C.topic_to_address(F.split_part("topics", F.lit(","), F.lit(2))).alias("from_addr")).agg(u256.u256_sum(F.col("data")).alias("total"))
 
 
 @query(f"with {_F} select pair, token0, token1, '0x{'ef' * 20}' as factory, created_at, 0::bigint as created_log_index from made")
 def l12_pairs_job(spark, d):
-    return L.pairs_job(_raw(R.factory_logs(spark, d)))
+    return L.pairs_job(_raw("factory_logs", R.factory_logs, spark, d))
 
 
 @query(f"with {_F} select s.id, s.pair, sender, amount0_in, amount1_in, amount0_out, amount1_out, to_addr, block_number, cast(log_index as bigint) as log_index from swaps s join made m on s.pair = m.pair and (s.block_number > m.created_at or (s.block_number = m.created_at and s.log_index >= 0))")
 def l13_pair_swaps(spark, d):
-    return L.pair_swaps_job(_raw(R.factory_logs(spark, d)))
+    return L.pair_swaps_job(_raw("factory_logs", R.factory_logs, spark, d))
 
 
 @query(f"with {_F} select s.pair, token0, token1, count(*) as n from swaps s join made m on s.pair = m.pair group by all")
 def j3_attach_parent(spark, d):
-    logs = _raw(R.factory_logs(spark, d))
+    logs = _raw("factory_logs", R.factory_logs, spark, d)
     swaps = J.factory_semi_join(logs.where(F.col("topics").startswith(R.EVENTS["Swap"][0])), L.pairs_job(logs)).withColumnRenamed("address", "pair")
     return J.attach_parent(swaps, L.pairs_job(logs)).groupBy("pair", "token0", "token1").agg(F.count("*").alias("n"))
 
@@ -273,9 +289,10 @@ def w9_gaps(spark, d):
     return W.gaps(R.blocks(spark, d), "number", bucket=1000)
 
 
-@query(f"with {_B}, buckets as (select start, least(start + 499, 12000) as stop from (select unnest(range(0, 12001, 500)) as start)) select b.start, b.stop, count(number) as n from buckets b left join blocks k on k.number between b.start and b.stop and k.number <= 12000 group by 1, 2")
+@query(f"with {_B}, m as (select max(number) as most from blocks), buckets as (select start, least(start + 499, (select most from m)) as stop from (select unnest(range(0, (select most + 1 from m), 500)) as start)), k as (select number // 500 * 500 as start, count(*) as n from blocks group by 1) select b.start, b.stop, coalesce(k.n, 0) as n from buckets b left join k on k.start = b.start")
 def a13_bucket_histogram(spark, d):
-    return A.bucket_histogram(R.blocks(spark, d), "number", 500, 0, 12000)
+    blocks = R.blocks(spark, d)
+    return A.bucket_histogram(blocks, "number", 500, 0, blocks.agg(F.max("number")).first()[0])
 
 
 @query(f"with {_B} select min(number) as min_block, max(number) as max_block, count(number) as n, max(number) - min(number) + 1 as span from blocks")
@@ -284,34 +301,41 @@ def a3_block_range(spark, d):
 
 
 @query(
-    f"with {_B}, tagged as (select 'x' as platform, number from blocks union all select 'y', number from blocks where number < 5000), k as (select platform, count(distinct number) as found, max(number) - min(number) + 1 as span from tagged where number between 0 and 9999 group by 1)"
-    " select platform, found, 10000::bigint as expected, round(found * 100.0 / 10000, 4)::double as percent, case when found = 10000 then 'complete' when found < span then 'partial with gaps' else 'partial without gaps' end as pattern from k"
+    f"with {_B}, tagged as (select 'x' as platform, number from blocks union all select 'y', number from blocks where number < (select max(number) // 3 from blocks)), k as (select platform, count(distinct number) as found, max(number) - min(number) + 1 as span, (select max(number) + 1 from blocks) as expected from tagged group by 1)"
+    " select platform, found, expected, round(found * 100.0 / expected, 4)::double as percent, case when found = expected then 'complete' when found < span then 'partial with gaps' else 'partial without gaps' end as pattern from k"
 )
 def a14_coverage(spark, d):
     b = R.blocks(spark, d)
-    tagged = b.select(F.lit("x").alias("platform"), "number").union(b.where("number < 5000").select(F.lit("y"), "number"))
-    return A.coverage(tagged, "number", 0, 9999, "platform")
+    most = b.agg(F.max("number")).first()[0]
+    tagged = b.select(F.lit("x").alias("platform"), "number").union(b.where(F.col("number") < most // 3).select(F.lit("y"), "number"))
+    return A.coverage(tagged, "number", 0, most, "platform")
 
 
 @query(f"with {_C}, tokens as (select unnest(path) as token from whole), n as (select token, count(*) as n from tokens group by 1) select token, n, round(n * 100.0 / (select sum(n) from n), 4)::double as share from n order by n desc, token limit 5")
 def a10_top_tokens(spark, d):
-    swaps = L.router_swaps_job(_raw(R.calls(spark, d)), R.transactions(spark, d))
+    swaps = L.router_swaps_job(_raw("calls", R.calls, spark, d), R.transactions(spark, d))
     return W.share_of_total(A.token_stats(swaps)).orderBy(F.desc("n"), "token").limit(5)
 
 
 @query(f"with {_C}, per as (select transaction_hash, count(*) as n, count(distinct id) as keys from whole group by 1) select cast(sum(n) as bigint) as records, count(*) as transactions, count(*) filter (where keys > 1) as multi, max(keys) as most, round(sum(keys) / count(*), 6) as mean, cast(sum(keys) as bigint) as distinct_keys from per")
 def a12_traces_per_tx(spark, d):
-    return A.traces_per_tx(L.router_swaps_job(_raw(R.calls(spark, d)), R.transactions(spark, d)), "transaction_hash", "id")
+    return A.traces_per_tx(L.router_swaps_job(_raw("calls", R.calls, spark, d), R.transactions(spark, d)), "transaction_hash", "id")
 
 
 @query(f"with {_C} select transaction_hash, id, row_number() over (partition by transaction_hash order by id) as seq from calls")
 def w6_seq_in_tx(spark, d):
-    return W.seq_in_tx(_raw(R.calls(spark, d)), "transaction_hash", ["id"]).select("transaction_hash", "id", "seq")
+    return W.seq_in_tx(_raw("calls", R.calls, spark, d), "transaction_hash", ["id"]).select("transaction_hash", "id", "seq")
 
 
-@query(f"with {_B} select number, hash, parent_hash, timestamp, false as is_generated from blocks where number between 0 and 40000 union all select n, '0x' || sha256(cast(n as varchar)), '0x' || sha256(cast(n - 1 as varchar)), n * 15 + 1438269988, true from (select unnest(range(0, 40001)) as n) where (select count(*) from blocks where number between 0 and 40000) * 100 < 50 * 40001 and n not in (select number from blocks)")
+@query(
+    f"with {_B}, m as (select max(number) * 3 as hi from blocks) select number, hash, parent_hash, timestamp, false as is_generated from blocks"
+    " union all select n, '0x' || sha256(cast(n as varchar)), '0x' || sha256(cast(n - 1 as varchar)), n * 15 + 1438269988, true from (select unnest(range(0, (select hi + 1 from m))) as n)"
+    " where (select count(*) from blocks) * 100 < 50 * (select hi + 1 from m) and n not in (select number from blocks)"
+)
 def l14_fill_missing_blocks(spark, d):
-    return L.fill_missing_blocks(R.blocks(spark, d), 0, 40000)
+    """Up to three times the highest number, so that fewer than half of the blocks came."""
+    blocks = R.blocks(spark, d)
+    return L.fill_missing_blocks(blocks, 0, blocks.agg(F.max("number")).first()[0] * 3)
 
 
 # -- reconciliation -------------------------------------------------------------------

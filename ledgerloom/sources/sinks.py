@@ -65,15 +65,15 @@ def insert_ignore(df: DataFrame, path: str, keys: list[str]) -> None:
     replace_table(new if old is None else old.unionByName(new.join(old, keys, "left_anti")), path)
 
 
-def aggregate_sink(df: DataFrame, landing: str, table: str, group_by: list[str], aggregates: dict[str, tuple[str, str, str]]) -> None:
+def aggregate_sink(df: DataFrame, landing: str, table: str, group_by: list[str], aggregates: dict[str, tuple[str, str, str]], keys: list[str]) -> None:
     """Lands contributions and brings a grouped table up to date: name -> (column, sum or max, type).
 
-    The landed rows are aggregated as a whole, so a second attempt that replaces
-    its own landing batch doesn't count twice.
+    The landing table is keyed by ``keys``, which name a contribution (a log, a
+    batch), so one that comes again replaces itself and doesn't count twice.
     """
-    append(df, landing)
+    upsert(df, landing, keys)
     made = {"sum": F.sum, "max": F.max}
-    landed = df.sparkSession.read.schema(df.schema).parquet(landing)
+    landed = read_table(df.sparkSession, landing)
     replace_table(landed.groupBy(*group_by).agg(*[made[f](c).cast(t).alias(n) for n, (c, f, t) in aggregates.items()]), table)
 
 

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.queries import ORACLE_SQL, QUERIES
+from ledgerloom.queries_more import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
