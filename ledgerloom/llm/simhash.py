@@ -11,7 +11,7 @@ the minimum are left out, and the others are verified by their differing bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -131,15 +131,18 @@ def _forest(left: np.ndarray, right: np.ndarray | None, min_match: int, max_bits
 
 
 def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """``key, members, last`` of batches sorted by key, BLOCK members at most."""
+    """``key, members, last`` of batches sorted by key, BLOCK members at most; most keys of one member are left out."""
     key, parts, held = None, [], 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         keys = batch.column(0).to_numpy()
         rows = byte_matrix(batch.column(1), width)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
+        starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        ends = np.append(starts[1:], len(keys))
+        wanted = ends - starts > 1
+        wanted[[0, -1]] = True
+        for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
             if keys[a] != key:
                 if held:
                     yield key, np.concatenate(parts), True
@@ -164,29 +167,17 @@ def _table(u, v, keys, blocks) -> pa.RecordBatch:
     )
 
 
-def links(prints: DataFrame, bits: int, max_bits: int, cover: int, min_match: int, groups: int = 4) -> DataFrame:
-    """Edges ``u, v`` between distinct fingerprints of at most ``max_bits`` differing bits.
+def met_in_lists(posted: DataFrame, width: int, forest: Callable) -> DataFrame:
+    """Edges ``u, v`` that ``forest`` finds among the members of each posting list.
 
-    ``prints`` has one row per distinct ``fingerprint``. The edges join exactly
-    what the links join; of links that others imply, some are left out. A pair
-    that shares ``cover`` positional bytes meets in the index for certain, so
-    with ``cover = bits / 8 - max_bits`` no link is lost.
+    ``posted`` has ``key`` (long) and ``member`` (binary of ``width`` bytes).
+    ``forest(left, right)`` takes members as rows of bytes and gives the ends of
+    edges within left, if right is None, or else between left and right.
 
     A posting list longer than BLOCK isn't gathered: its members go on as
     blocks, and a second pass compares every two of these blocks in a task of
     their own. So memory is bounded and no member is left out.
     """
-    width, keys = bits // 8, index_keys(bits // 8, cover, groups)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = byte_matrix(batch.column(0).slice(at, 2048), width)
-                for n, positions in enumerate(keys):
-                    key = np.full(len(rows), n, np.int64)
-                    for p in positions:
-                        key = key << 8 | rows[:, p]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), binary_column(rows)], names=["key", "fingerprint"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of whole lists; blocks of long lists, with their number."""
@@ -194,7 +185,7 @@ def links(prints: DataFrame, bits: int, max_bits: int, cover: int, min_match: in
         for key, rows, last in _groups(batches, width):
             if last and not block:
                 if len(rows) > 1:
-                    u, v = _forest(rows, None, min_match, max_bits)
+                    u, v = forest(rows, None)
                     held.append((u, v))
                     if sum(len(x) for x, _ in held) > 8192:
                         u, v = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -210,25 +201,48 @@ def links(prints: DataFrame, bits: int, max_bits: int, cover: int, min_match: in
     def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links between two blocks; rows are sorted by pair of blocks, then block."""
         for _, group in _pairs(batches, width):
-            u, v = _forest(group[0], group[1], min_match, max_bits)
+            u, v = forest(group[0], group[1])
             yield _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
 
-    posted = prints.select("fingerprint").mapInArrow(post, "key long, fingerprint binary")
     met = written(posted.repartition("key").sortWithinPartitions("key").mapInArrow(meet, _LINKS), "postings")
     found = met.where("block < 0").select("u", "v")
-    long_lists = met.where("block >= 0").select("key", "block", F.col("u").alias("fingerprint"))
+    long_lists = met.where("block >= 0").select("key", "block", F.col("u").alias("member"))
     if long_lists.isEmpty():
         return found.distinct()
     last = long_lists.groupBy("key").agg(F.max("block").alias("last"))
     met_again = (
         long_lists.join(last, "key")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "fingerprint")
+        .select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "member")
     )
     again = met_again.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(meet_blocks, _LINKS)
     return found.union(again.select("u", "v")).distinct()
 
 
+def links(prints: DataFrame, bits: int, max_bits: int, cover: int, min_match: int, groups: int = 4) -> DataFrame:
+    """Edges ``u, v`` between distinct fingerprints of at most ``max_bits`` differing bits.
+
+    ``prints`` has one row per distinct ``fingerprint``. The edges join exactly
+    what the links join; of links that others imply, some are left out. A pair
+    that shares ``cover`` positional bytes meets in the index for certain, so
+    with ``cover = bits / 8 - max_bits`` no link is lost.
+    """
+    width, keys = bits // 8, index_keys(bits // 8, cover, groups)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                rows = byte_matrix(batch.column(0).slice(at, 2048), width)
+                for n, positions in enumerate(keys):
+                    key = np.full(len(rows), n, np.int64)
+                    for p in positions:
+                        key = key << 8 | rows[:, p]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), binary_column(rows)], names=["key", "member"])
+
+    posted = prints.select("fingerprint").mapInArrow(post, "key long, member binary")
+    return met_in_lists(posted, width, lambda left, right: _forest(left, right, min_match, max_bits))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list]]:
     """The two blocks of each pair of blocks; one block met with itself has no second."""
     at, sides = None, [[], []]
