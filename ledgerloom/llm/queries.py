@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
+from ledgerloom.llm import bpe, langid, merkle, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
 from ledgerloom.llm.labels import labelled_sample
 from ledgerloom.session import new_path
 
@@ -115,6 +115,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether a tampered copy still verifies."""
+    docs = _table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = merkle.digest(*[merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    lowered = merkle.digest(*[merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], merkle.field(F.translate("text", upper, upper.lower())))
+    held = docs.select("doc_id", "lang", leaf.alias("leaf"), F.when(fold(3) == 0, lowered).otherwise(leaf).alias("copy"))
+    proven = merkle.manifest(held, "lang", ["doc_id"]).withColumn("folded_root", merkle.folded(F.col("copy"), F.col("path")))
+    verified = F.col("folded_root") == F.col("root")
+    return proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", verified.alias("verified"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -126,6 +138,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _OP4 = """
@@ -232,4 +245,66 @@ select doc_id, size, source_size, target,
 from met
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": _OP4, "op6_url_filters": _OP6, "op7_mixing": _OP7}
+#: CRC-32 of ASCII digits, bit by bit, as DuckDB has no function for it.
+_CRC = """xor(list_reduce(
+      list_concat([4294967295::ubigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+      lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)::ubigint[]), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1::ubigint)))),
+    4294967295::ubigint)"""
+
+_HELD = ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)"))
+
+_OP13 = f"""
+with recursive held as (
+  select doc_id, lang, sha256(concat({_HELD}, coalesce(strlen(text) || ':' || text, '-'))) as leaf,
+         case when ({_CRC}) % 3 = 0
+              then sha256(concat({_HELD}, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')))
+              else sha256(concat({_HELD}, coalesce(strlen(text) || ':' || text, '-'))) end as copy
+  from documents
+), leaves as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from held
+), nodes as (
+  select 0 as level, lang, place, n, leaf as digest from leaves
+  union all
+  select level + 1, lang, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' order by place))
+  from nodes where n > 1 group by level, lang, place // 8
+), subroots as (
+  select lang, digest, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from nodes where n = 1
+), above as (
+  select 0 as level, place, n, digest from subroots
+  union all
+  select level + 1, place // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' order by place))
+  from above where n > 1 group by level, place // 8
+), path_entries as (
+  select a.level, a.lang, a.place,
+         coalesce(string_agg(b.digest, '' order by b.place) filter (b.place < a.place), '') as before,
+         coalesce(string_agg(b.digest, '' order by b.place) filter (b.place > a.place), '') as after
+  from nodes a join nodes b on a.level = b.level and a.lang is not distinct from b.lang and a.place // 8 = b.place // 8
+  where a.n > 1 group by a.level, a.lang, a.place
+), above_entries as (
+  select a.level, a.place,
+         coalesce(string_agg(b.digest, '' order by b.place) filter (b.place < a.place), '') as before,
+         coalesce(string_agg(b.digest, '' order by b.place) filter (b.place > a.place), '') as after
+  from above a join above b on a.level = b.level and a.place // 8 = b.place // 8
+  where a.n > 1 group by a.level, a.place
+), walk as (
+  select doc_id, lang, leaf, place, place as at, n, 0 as level, copy as folded, '' as proof from leaves
+  union all
+  select w.doc_id, w.lang, w.leaf, w.place, w.at // 8, (w.n + 7) // 8, w.level + 1, sha256(e.before || w.folded || e.after), w.proof || e.before || e.after
+  from walk w join path_entries e on e.level = w.level and e.lang is not distinct from w.lang and e.place = w.at
+  where w.n > 1
+), top as (
+  select w.doc_id, w.leaf, w.place, w.lang, s.digest as subroot, s.place as at, s.n, 0 as level, w.folded, w.proof
+  from walk w join subroots s on w.lang is not distinct from s.lang where w.n = 1
+), climb as (
+  select * from top
+  union all
+  select c.doc_id, c.leaf, c.place, c.lang, c.subroot, c.at // 8, (c.n + 7) // 8, c.level + 1, sha256(e.before || c.folded || e.after), c.proof || e.before || e.after
+  from climb c join above_entries e on e.level = c.level and e.place = c.at
+  where c.n > 1
+)
+select doc_id, leaf, subroot, r.digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = r.digest as verified
+from climb, (select digest from above where n = 1) r
+where n = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": _OP13, "op4_exact_top_k": _OP4, "op6_url_filters": _OP6, "op7_mixing": _OP7}
