@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, merkle, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
+from ledgerloom.llm import bpe, conversations, langid, merkle, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
 from ledgerloom.llm.labels import labelled_sample
 from ledgerloom.session import new_path
 
@@ -115,6 +115,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults of the query: by a hash of each row's id and turn, a row is lost or changed."""
+    blank = F.lit(" ")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fault, role, text = F.crc32(name.cast("binary")) % 20, F.coalesce("role", blank), F.coalesce("text", blank)
+    return rows.where(fault != 0).select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = _table(spark, sf_dir, "conversations")
+    found = conversations.repair(damaged(rows))
+    digests = conversations.conversation_digests(found.rows)
+    every = rows.select("conv_id").distinct()
+    audits, digests = (d.withColumnRenamed("conv_id", "_id") for d in (found.audits, digests))
+    told = every.join(audits, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id").join(digests, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return told.select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether a tampered copy still verifies."""
     docs = _table(spark, sf_dir, "documents")
@@ -138,6 +169,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -246,17 +278,78 @@ from met
 """
 
 #: CRC-32 of ASCII digits, bit by bit, as DuckDB has no function for it.
-_CRC = """xor(list_reduce(
-      list_concat([4294967295::ubigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(
+      list_concat([4294967295::ubigint], list_transform(string_split({text}, ''), lambda c: ascii(c)::ubigint)),
       lambda crc, c: list_reduce(list_concat([xor(crc, c)], range(8)::ubigint[]), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1::ubigint)))),
     4294967295::ubigint)"""
 
+
+#: The least cost and audit of each state after each row, in one recursion over the rows.
+_OP12 = rf"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_crc("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fault
+  from conversations
+), damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case when fault = 3 then 2 else 1 end)) as copy
+  from named where fault <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as place from damaged
+), judged as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault,
+         lag(role[1]) over (partition by conv_id order by place) || role[1] as pair
+  from placed
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from judged group by conv_id
+), gives(state, role, target) as (
+  values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)
+), keeps(state, initial, target) as (
+  values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserts as (
+  select state, 0 as more, '' as edits, '' as lines, state as target from gives
+  union all select state, 5, 'I', role || ':' || chr(10), target from gives
+  union all select a.state, 10, 'II', a.role || ':' || chr(10) || b.role || ':' || chr(10), b.target from gives a join gives b on b.state = a.target
+), edits as (
+  select j.conv_id, j.place, i.state, i.more + e.cost as cost, i.edits || e.edit as edit, i.lines || e.line as line, e.target
+  from judged j cross join inserts i join lateral (
+    select i.target as target, 2 as cost, 'D' as edit, '' as line
+    union all select g.target, 1 + case j.fault when 'truncated' then 5 else 0 end, 'R', g.role || ':' || j.text || chr(10)
+      from gives g where g.state = i.target and j.fault not in ('blank', 'duplicate')
+    union all select k.target, case j.fault when 'truncated' then 5 else 0 end, 'K', j.role || ':' || j.text || chr(10)
+      from keeps k where k.state = i.target and k.initial = j.role[1] and j.fault not in ('blank', 'duplicate')
+  ) e on true
+), best as (
+  select conv_id, 0 as place, 0 as state, {{'cost': 0, 'audit': '', 'lines': ''}} as way from facts
+  union all
+  select b.conv_id, b.place + 1, e.target, min({{'cost': b.way.cost + e.cost, 'audit': b.way.audit || e.edit, 'lines': b.way.lines || e.line}})
+  from best b join edits e on e.conv_id is not distinct from b.conv_id and e.place = b.place + 1 and e.state = b.state
+  group by b.conv_id, b.place + 1, e.target
+), ended as (
+  select f.conv_id, min({{'cost': b.way.cost + i.more, 'audit': b.way.audit || i.edits, 'lines': b.way.lines || i.lines}}) as way
+  from facts f join best b on f.conv_id is not distinct from b.conv_id and b.place = f.n join inserts i on i.state = b.state
+  where i.target in (0, 3) group by f.conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(way.cost, 0)::bigint as cost, coalesce(way.audit, '') as audit,
+       sha256(coalesce(way.lines[:-2], '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join facts f on c.conv_id is not distinct from f.conv_id left join ended e on c.conv_id is not distinct from e.conv_id
+"""
+
 _HELD = ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)"))
 
 _OP13 = f"""
 with recursive held as (
   select doc_id, lang, sha256(concat({_HELD}, coalesce(strlen(text) || ':' || text, '-'))) as leaf,
-         case when ({_CRC}) % 3 = 0
+         case when ({_crc('cast(doc_id as varchar)')}) % 3 = 0
               then sha256(concat({_HELD}, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')))
               else sha256(concat({_HELD}, coalesce(strlen(text) || ':' || text, '-'))) end as copy
   from documents
@@ -307,4 +400,4 @@ from climb, (select digest from above where n = 1) r
 where n = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": _OP13, "op4_exact_top_k": _OP4, "op6_url_filters": _OP6, "op7_mixing": _OP7}
+ORACLE_SQL: dict[str, str] = {"op12_conversation_repair": _OP12, "op13_merkle_manifest": _OP13, "op4_exact_top_k": _OP4, "op6_url_filters": _OP6, "op7_mixing": _OP7}
