@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, conversations, langid, merkle, mixing, quality, simhash, tokenfiles, toxicity, urls, vectors
+from ledgerloom.llm import bpe, conversations, langid, merkle, mixing, packing, quality, simhash, tokenfiles, toxicity, urls, vectors
 from ledgerloom.llm.labels import labelled_sample
 from ledgerloom.session import new_path
 
@@ -115,6 +115,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    tokenizer = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), tokenizer, capacity=1024, end_id=2)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack_pieces(digests, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with the faults of the query: by a hash of each row's id and turn, a row is lost or changed."""
     blank = F.lit(" ")
@@ -169,6 +177,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_best_fit": op11_best_fit,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -76,7 +76,8 @@ class _Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def _encoder(tokenizer: str) -> _Encoder:
+def token_encoder(tokenizer: str) -> _Encoder:
+    """The worker's encoder of the content of a tokenizer file."""
     return worker_state("tokenizer", tokenizer, lambda: _Encoder(tokenizer))
 
 
@@ -150,7 +151,7 @@ def _windows(docs: DataFrame, shared, rows: int) -> list[bytes]:
     """Serialized ids to train a dictionary on: about SAMPLE runs of at most WINDOW ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = token_encoder(shared.value)
         for batch in batches:
             for part in text_slices(batch, 1):
                 flat, counts = encoder.encode(part.column(1))
@@ -200,7 +201,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str, end_id: int |
     bounds = np.array((docs.agg(F.percentile_approx("doc_id", at, 20 * n_files)).first()[0] if at else None) or [], np.int64)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = _encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
+        encoder, compressor = token_encoder(shared.value), zstandard.ZstdCompressor(level=3, dict_data=_codec(dictionary))
         for batch in batches:
             for piece in text_slices(batch, 1):
                 flat, counts = encoder.encode(piece.column(1))
