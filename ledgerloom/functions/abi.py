@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import data_word, topic_to_address
+from ledgerloom.functions.contract_abi import Abi, decode_logs, event_tables, parse_abi
 from ledgerloom.functions.u256 import word_to_u256
 from ledgerloom.schemas import EVENTS, ZERO_ADDRESS
 
@@ -100,12 +101,18 @@ def event_params(name: str, topics: Column, data: Column) -> list[Column]:
     return found
 
 
-def decode_log(df: DataFrame, names: list[str] | None = None, topics: str = "topics", data: str = "data") -> DataFrame:
+def decode_log(df: DataFrame, names: list[str] | None = None, topics: str = "topics", data: str = "data", abi: str | None = None) -> DataFrame:
     """``df`` with ``decoded``: struct(event_signature, event_params), null for other events.
 
+    Events are those of ``abi``, ABI JSON (see ``contract_abi``), else of the
+    catalogue, which has a faster path for flat parameters.
+
     ``topics`` is a comma list whose first item selects the event. Parameters
     are text, in order of declaration, ``element_at(event_params, 1)`` the first.
     """
+    if abi is not None:
+        found = parse_abi(abi)
+        return decode_logs(df, Abi(tuple(found.one("event", n) for n in names)) if names else found, topics, data)
     listed = F.split(F.col(topics), ",")
     topic0 = F.lower(F.substring_index(F.col(topics), ",", 1))
     raw = numbers = signature = F.lit(None)
@@ -124,9 +131,14 @@ def decode_event(df: DataFrame, name: str, topics: str = "topics", data: str = "
     return decode_log(df.where(F.col(topics).startswith(EVENTS[name][0])), [name], topics, data)
 
 
-def route_events(df: DataFrame, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """One table per event: its parameters as columns, block, time and transaction."""
+def route_events(df: DataFrame, names: list[str] | None = None, abi: str | None = None) -> dict[str, DataFrame]:
+    """One table per event: its parameters as columns, block, time and transaction.
+
+    Parameters of the catalogue's events are text; those of ``abi`` are typed.
+    """
     kept = ["id", "block_number", "block_timestamp", "transaction_hash"]
+    if abi is not None:
+        return {n: t for n, t in event_tables(df, abi, kept).items() if names is None or n in names}
     out = {}
     for name in names or list(EVENTS):
         rows = decode_event(df, name)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.abi import decode_swap_call, route_events
+from ledgerloom.functions.contract_abi import Abi, call_table, event_table, parse_abi
 from ledgerloom.operators.filters import block_between, by_selector
+from ledgerloom.operators.joins import tx_receipt_join
 from ledgerloom.plans.ledger import pair_swaps_job
-from ledgerloom.schemas import EVENTS
+from ledgerloom.plans.templates import found_contracts, template_events
+from ledgerloom.schemas import EVENTS, SWAP_SELECTOR
 from ledgerloom.sources.sinks import append, upsert
 
 Handler = Callable[[DataFrame], DataFrame]
@@ -34,28 +37,58 @@ class Indexer:
 
         return bind
 
-    def on_event(self, contract: str | None, name: str, lo: int, hi: int):
+    def on_event(self, contract: str | None, name: str, lo: int, hi: int, abi: str | Abi | None = None):
+        """Logs of an event as a table of its parameters; without ``abi`` the event is one of the catalogue."""
+
         def source(tables: dict) -> DataFrame:
             logs = block_between(tables["logs"], lo, hi)
-            return route_events(logs if contract is None else logs.where(F.col("address") == contract), [name])[name]
+            logs = logs if contract is None else logs.where(F.col("address") == contract)
+            return route_events(logs, [name])[name] if abi is None else event_table(logs, abi, name)
 
         return self._bind(source)
 
     def on_block(self, every: int = 1, lo: int = 0, hi: int = 1 << 62):
         return self._bind(lambda tables: block_between(tables["blocks"], lo, hi, "number").where(F.col("number") % every == 0))
 
-    def on_transaction(self):
-        return self._bind(lambda tables: tables["transactions"])
+    def on_transaction(self, receipts: bool = False):
+        """Transactions, with ``receipts`` joined with theirs; those without one are dropped then."""
+        return self._bind(lambda tables: tx_receipt_join(tables["transactions"], tables["receipts"]) if receipts else tables["transactions"])
+
+    def on_call(self, contract: str | None, function: str, abi: str | Abi | None = None):
+        """Calls of a function (name, signature or selector in ``abi``) as a table of its parameters.
+
+        Without ``abi`` only the router's swap is known; another selector is an error.
+        """
+        if abi is None and function != SWAP_SELECTOR:
+            raise ValueError(f"the function {function!r} needs an ABI")
+        known = parse_abi(abi).one("function", function) if abi else None
 
-    def on_call(self, contract: str | None, selector: str):
         def source(tables: dict) -> DataFrame:
-            calls = by_selector(tables["traces"].where("trace_type = 'call'"), selector)
-            return decode_swap_call(calls if contract is None else calls.where(F.col("to_address") == contract))
+            calls = by_selector(tables["traces"].where("trace_type = 'call'"), known.selector if known else function)
+            calls = calls if contract is None else calls.where(F.col("to_address") == contract)
+            return call_table(calls, abi, known.signature) if known else decode_swap_call(calls)
 
         return self._bind(source)
 
-    def template(self, factory: str | None = None):
-        return self._bind(lambda tables: pair_swaps_job(tables["logs"], factory))
+    def template(self, factory: str | None = None, event: str = "PairCreated", param: str = "pair", child: str = "Swap", abi: str | Abi | None = None, repeat: bool = False):
+        """Events ``child`` of the contracts that ``factory`` announces in ``event`` by ``param``.
+
+        With ``repeat`` these contracts are factories too, at any depth. Without
+        ``abi`` it is the swaps of the catalogue's pairs.
+        """
+        if abi is None:
+            if (event, param, child, repeat) != ("PairCreated", "pair", "Swap", False):
+                raise ValueError("other events than the catalogue's pairs need an ABI")
+            return self._bind(lambda tables: pair_swaps_job(tables["logs"], factory))
+        if factory is None:
+            raise ValueError("a template needs its factory")
+        known = parse_abi(abi)
+
+        def source(tables: dict) -> DataFrame:
+            contracts = found_contracts(tables["logs"], [factory], [(event, param)], known, repeat)
+            return template_events(tables["logs"], contracts, child, known)
+
+        return self._bind(source)
 
     def run(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return {name: handler(source(tables)) for name, (source, handler) in self.handlers.items()}
@@ -132,9 +165,8 @@ def parse_metric_logs(lines: DataFrame) -> DataFrame:
     figure = lambda name: F.regexp_extract("value", rf"(?i)\b{name}\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)\s*s", 1).try_cast("double")
     progress = F.regexp_extract("value", r"([0-9]+(?:\.[0-9]+)?)\s*%", 1).try_cast("double")
     found = lines.select("path", "line_no", progress.alias("progress"), *[figure(n).alias(n) for n in ("rpc", "compute", "storage")])
-    last = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    latest = [F.last(c, ignorenulls=True).over(last).alias(c) for c in ("progress", "rpc", "compute", "storage")]
-    return found.select("path", *latest).distinct()
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in ("progress", "rpc", "compute", "storage")]
+    return found.groupBy("path").agg(*latest)
 
 
 def throughput(runs: DataFrame) -> DataFrame:
