@@ -755,7 +755,7 @@ def _stream(spark, df: DataFrame, files: int = 3) -> DataFrame:
 def _drained(spark, stream: DataFrame) -> DataFrame:
     out = new_path(spark, "drained")
     jobs.run_bounded(stream, jobs.micro_batch(lambda b: b, out), new_path(spark, "stream-state"))
-    return spark.read.schema(stream.schema).parquet(out)
+    return jobs.read_batches(spark, out, stream.schema)
 
 
 @query("select event_id, user_id, event_type from events")
@@ -855,7 +855,8 @@ def _arrivals(spark, d) -> DataFrame:
 def t9_late_flag(spark, d):
     path = new_path(spark, "t9")
     arrivals = _arrivals(spark, d)
-    arrivals.write.parquet(path)
+    # Many files in falling order of arrival, all in one micro-batch.
+    arrivals.repartitionByRange(16, F.desc("arrival")).sortWithinPartitions(F.desc("arrival")).write.parquet(path)
     return _drained(spark, jobs.late_flag(readers.read_stream_blocks(spark, path, arrivals.schema, files_per_batch=10**6)))
 
 
@@ -876,5 +877,12 @@ def t11_read_your_writes(spark, d):
         return new if table is None else new.join(table.withColumnRenamed("n", "old"), "user_id", "left").select("user_id", (F.col("n") + F.coalesce("old", F.lit(0))).alias("n"))
 
     stream = _stream(spark, R.table(spark, d, "events").select("event_id", "user_id"))
-    jobs.run_bounded(stream, jobs.read_your_writes(path, ["user_id"], add), new_path(spark, "t11-state"))
+    handle = jobs.read_your_writes(path, ["user_id"], add)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        """Every micro-batch comes again, as after a failure."""
+        handle(batch, batch_id)
+        handle(batch, batch_id)
+
+    jobs.run_bounded(stream, twice, new_path(spark, "t11-state"))
     return sinks.read_table(spark, path)
