@@ -19,18 +19,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     all rows, so fewer than HOT_SHARE of them, are broadcast; their rows on the
     left are dealt over parts by a hash of the other columns, and their rows on
     the right go to each part. All other keys have one part. ``total`` is the
-    number of rows on the left, if it is known.
+    number of rows on the left, if it is known. Rows that are equal in all
+    columns stay in one part.
     """
     total = left.count() if total is None else total
     limit = max(1, total // HOT_SHARE)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    hot = F.broadcast(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    taken = {c.lower() for c in (*left.columns, *right.columns)}
+    mark = next(m for m in ("_spread" + "_" * k for k in range(len(taken) + 1)) if not any(c.startswith(m) for c in taken))
+    parts, part, hot_key = f"{mark}parts", f"{mark}part", {k: f"{mark}key{i}" for i, k in enumerate(keys)}
+    counts = left.groupBy(*keys).agg(F.count("*").alias(parts)).where(F.col(parts) > limit)
+    hot = F.broadcast(counts.select(*[F.col(k).alias(h) for k, h in hot_key.items()], F.ceil(F.col(parts) / limit).cast("int").alias(parts)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(h)) for k, h in hot_key.items()])
     rest = [F.col(f"`{c}`") for c in left.columns if c not in keys] or [F.lit(0)]
-    drop = [f"_hot_{k}" for k in keys] + ["_parts"]
-    dealt = left.join(hot, same, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_parts")), F.lit(0)).cast("int")).drop(*drop)
-    copied = right.join(hot, same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*drop)
-    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+    drop = [*hot_key.values(), parts]
+    dealt = left.join(hot, same, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*rest), F.col(parts)), F.lit(0)).cast("int")).drop(*drop)
+    copied = right.join(hot, same, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(*drop)
+    return dealt.join(copied, [*keys, part], how).drop(part)
 
 
 def factory_semi_join(events: DataFrame, registry: DataFrame, key: str = "address") -> DataFrame:
