@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.places import fresh, group_key
+from ledgerloom.operators.joins import spread_join
 from ledgerloom.session import written
 
 #: Weights of the sources in code-point order, repeating.
@@ -153,10 +155,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     A document at the edge of a run of blocks is in if at least half of its
     words are taken; documents without words aren't in any mix. Rows that
-    repeat a doc_id share what these rows take together.
+    repeat a doc_id, or have none, share what these rows take together. Other
+    columns may have any name; an empty table gives an empty result.
     """
-    taken = mix(docs, **how).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
-    told = taken.where("_size > 0").select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    joined = docs.join(told, docs.doc_id.eqNullSafe(told._id))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), "_times"))).select([docs[c] for c in docs.columns])
+    key, times, n = (fresh(name, docs) for name in ("key", "times", "n"))
+    taken = mix(docs, **how).groupBy(group_key(F.col("doc_id")).alias(key)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    told = taken.where("size > 0").select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    # Many rows may have no id, or the same one.
+    joined = spread_join(docs.withColumn(key, group_key(F.col("doc_id"))), told, [key])
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)

@@ -22,8 +22,8 @@ from ledgerloom.session import written
 #: Bound of the labelled sample, per label.
 LABELLED = 2000
 LATENT, NEIGHBOURS = 48, 15
-#: Bytes of a text that are looked at together.
-PIECE = 1 << 20
+#: Bytes of a text that are looked at together; words of a window for repeats.
+PIECE, RUN_WORDS = 1 << 20, 1 << 16
 
 _GROUPS = [b"\t\n\r\x0b\x0c", b" ", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"#$%&*@", b"|", b"\"'()[]{}", b"-_/\\", b":;"]
 _CLASS = np.full(256, 13, np.uint16)
@@ -63,7 +63,10 @@ class Terms:
     """Term counts of whole texts; the tables of powers are made once.
 
     How much words repeat is the share of words that equal the one before, over
-    the text, and the least share of distinct words in any run of PIECE bytes.
+    the text, and the least share of distinct words in any of its windows: runs
+    of RUN_WORDS words one after another, and the last as many; a shorter text
+    is one window. Texts are read in pieces of PIECE bytes for memory's sake;
+    what a piece ends with is carried on, so pieces leave no trace.
     """
 
     def __init__(self):
@@ -71,9 +74,8 @@ class Terms:
 
     def __call__(self, text: bytes) -> np.ndarray:
         counts = np.zeros(TERMS, np.float32)
-        words = same = 0
-        fewest = 1.0
-        at = 0
+        grams, words, same, fewest, at = np.zeros(_TRIGRAMS, np.int64), 0, 0, 1.0, 0
+        held, window = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         while at < len(text):
             end = min(len(text), at + PIECE)
             cut = end
@@ -81,19 +83,23 @@ class Terms:
                 while cut > at and text[cut - 1] not in b" \t\n\r\x0b\x0c":
                     cut -= 1
                 cut = cut if cut > at else end
-            data = np.frombuffer(text[at:cut], np.uint8)
-            classes = _CLASS[data]
+            classes = _CLASS[np.frombuffer(text[max(0, at - 2) : cut], np.uint8)]
             if len(classes) >= 3:
-                code = classes[:-2] << 8 | classes[1:-1] << 4 | classes[2:]
-                counts[:_TRIGRAMS] += np.bincount(code, minlength=_TRIGRAMS)
-            h = word_hashes(data, self.powers, self.inverse)
-            if len(h):
-                counts[_TRIGRAMS : _TRIGRAMS + _WORDS] += np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=_WORDS)
-                words += len(h)
-                same += int((h[1:] == h[:-1]).sum())
-                fewest = min(fewest, len(np.unique(h)) / len(h)) if len(h) > 8 else fewest
+                grams += np.bincount(classes[:-2] << 8 | classes[1:-1] << 4 | classes[2:], minlength=_TRIGRAMS)
+            h = word_hashes(np.frombuffer(text[at:cut], np.uint8), self.powers, self.inverse)
+            counts[_TRIGRAMS : _TRIGRAMS + _WORDS] += np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=_WORDS)
+            words += len(h)
+            last, held = (held if len(held) else window)[-1:], np.concatenate([held, h])
+            known = np.concatenate([last, h])
+            same += int((known[1:] == known[:-1]).sum())
+            while len(held) > RUN_WORDS:
+                window, held = held[:RUN_WORDS], held[RUN_WORDS:]
+                fewest = min(fewest, len(np.unique(window)) / RUN_WORDS)
             at = cut
+        counts[:_TRIGRAMS] = grams
         if words:
+            tail = np.concatenate([window, held])[-RUN_WORDS:]
+            fewest = min(fewest, len(np.unique(tail)) / len(tail))
             counts[_TRIGRAMS + _WORDS + _bin(same / words)] = 20
             counts[_TRIGRAMS + _WORDS + _BINS + _bin(fewest)] = 20
         return counts
@@ -160,7 +166,7 @@ def train(sample: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), *packed, batch.column(2)], names=["doc_id", "terms", "counts", "label"])
 
     usable = sample.where("text is not null").select("doc_id", "text", "label")
-    rows = written(usable.mapInArrow(count, "doc_id long, terms binary, counts binary, label int"), "terms").collect()
+    rows = written(usable.mapInArrow(count, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, terms binary, counts binary, label int"), "terms").collect()
     found = sorted((r.doc_id, bytes(r.terms), bytes(r.counts), r.label) for r in rows)
     labels = np.array([n for *_, n in found])
     if len(set(labels.tolist())) < 2:

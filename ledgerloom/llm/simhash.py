@@ -292,9 +292,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 64, max_bits:
     marked = written(fingerprints(docs, shingle, bits), "fingerprints")
     distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = components(links(distinct, bits, max_bits, cover, min_match, groups))
-    members = distinct.join(nodes, distinct.fingerprint == nodes.node).select("fingerprint", "root", "least")
+    members = written(distinct.join(nodes, distinct.fingerprint == nodes.node).select("fingerprint", "root", "least"), "members")
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = members.join(named, "root").select("fingerprint", "component_id")
+    # A component may have a large part of all fingerprints.
+    joined = spread_join(members, named, ["root"]).select("fingerprint", "component_id")
     component = distinct.join(joined, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component_id", "least").alias("component_id")
     )

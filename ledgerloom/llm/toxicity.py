@@ -293,6 +293,7 @@ def train(sample: DataFrame, rounds: int = 4) -> Model | None:
     def windows(scores: np.ndarray, seed: int) -> list:
         """Each document's label, highest mean and windows, in an order of its own."""
         shared = held.sparkSession.sparkContext.broadcast(scores)
+        kind = held.schema["doc_id"].dataType.simpleString()
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = _Scores(shared.value)
@@ -304,10 +305,10 @@ def train(sample: DataFrame, rounds: int = 4) -> Model | None:
                         rows.append((doc_id, label, worst, found if label else [*found, any_window(text, zlib.crc32(f"{doc_id} {seed}".encode()))]))
                 ids, labels, means, found = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(means, pa.float64()), pa.array(found, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "label", "worst", "windows"]
+                    [pa.array(ids, batch.column(0).type), pa.array(labels, pa.int32()), pa.array(means, pa.float64()), pa.array(found, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "label", "worst", "windows"]
                 )
 
-        found = held.mapInArrow(find, "doc_id long, label int, worst double, windows array<array<binary>>").collect()
+        found = held.mapInArrow(find, f"doc_id {kind}, label int, worst double, windows array<array<binary>>").collect()
         return sorted((r.doc_id, r.label, r.worst, [[bytes(w) for w in x] for x in r.windows]) for r in found)
 
     # The first windows come from how much more often than by chance toxic

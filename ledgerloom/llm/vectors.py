@@ -190,7 +190,7 @@ def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroi
     fitted on a bounded sample (SAMPLE vectors); every vector is in the index
     under its pair of centroids. A query goes through the pairs by the sum of
     its inner products with the two centroids, from a heap, until they hold the
-    share ``probe`` of all vectors, ``least`` (16 * k) of them at least; these
+    share ``probe`` of all vectors, ``least`` (k and its own) of them at least; these
     are scored exactly, in double precision, and no others are multiplied. Cells
     are packed into blocks, and a cell of more than BLOCK vectors is split over
     several, so no task holds more.
@@ -201,7 +201,7 @@ def multi_index_search(vectors: DataFrame, queries: Column, k: int = 20, centroi
     length. Further columns are ignored. No vectors: no rows.
     """
     base = usable_vectors(vectors, lambda x: x, queries, nonzero=True)
-    how = lambda some, rows, asked: _multi_index(some, rows, asked, k, centroids, probe, 16 * k if least is None else least)
+    how = lambda some, rows, asked: _multi_index(some, rows, asked, k, centroids, probe, k + 1 if least is None else least)
     return _each_length(base, how, "query_id long, rank int, vec_id long, score double")
 
 

@@ -53,7 +53,7 @@ def test_chunks_are_stitched(spark, public, overlap):
     rows = [(n, "".join(rng.choice(parts, int(rng.integers(0, 300))))) for n in range(60)]
     rows += [(100, "y" * 1000), (101, " " * 999), (102, "a" * 63 + " b" * 64), (102, "a" * 63 + " b" * 64), (None, "z " * 200), (103, None), (104, ""), (105, "a" * 64), (106, "a" * 65)]
     docs = spark.createDataFrame([(*r, "mine", 1) for r in rows], SCHEMA)
-    encoded = bpe.decode_documents(bpe.encode_documents(docs, rank_file(), public_tokenizers.PATTERN, chunk=64, overlap=overlap), rank_file())
+    encoded = bpe.decode_documents(bpe.encode_documents(docs, rank_file(), public_tokenizers.PATTERN, by_units=True, chunk=64, overlap=overlap), rank_file())
     found = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), r.n_tokens, bytes(r.decoded)) for r in encoded.collect())
     want = []
     for i, t in rows:
