@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.windows import number_bitmaps
 from ledgerloom.functions.columns import path_tokens
 from ledgerloom.operators.windows import share_of_total
 
@@ -94,11 +95,12 @@ def bucket_histogram(df: DataFrame, col: str, size: int, lo: int, hi: int, by: s
 def coverage(df: DataFrame, col: str, lo: int, hi: int, by: str) -> DataFrame:
     """Distinct numbers against those expected, in per cent, with a label.
 
-    ``partial with gaps`` has holes between its own least and greatest number.
+    Numbers are counted by bitmaps. ``partial with gaps`` has holes between its own least and greatest number.
     """
-    inside = df.where(F.col(col).between(lo, hi)).groupBy(by).agg(
-        F.count_distinct(col).alias("found"), (F.max(col) - F.min(col) + 1).alias("span")
-    )
+    inside = df.where(F.col(col).between(lo, hi))
+    spans = inside.groupBy(by).agg((F.max(col) - F.min(col) + 1).alias("span"))
+    counts = number_bitmaps(inside, col, by).groupBy(F.col(by).alias("_by")).agg(F.sum(F.bitmap_count("bits")).alias("found"))
+    inside = spans.join(counts, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     expected = hi - lo + 1
     label = F.when(F.col("found") == expected, "complete").when(F.col("found") < F.col("span"), "partial with gaps").otherwise("partial without gaps")
     return inside.select(by, "found", F.lit(expected).cast("long").alias("expected"), F.round(F.col("found") * 100.0 / expected, 4).alias("percent"), label.alias("pattern"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +48,42 @@ def out_of_order(df: DataFrame, key: str, arrival: list[str], block: str) -> Dat
     return df.withColumn("is_late", F.coalesce(F.max(block).over(before) > F.col(block), F.lit(False)))
 
 
-def gaps(df: DataFrame, col: str, bucket: int = 1 << 20) -> DataFrame:
+def number_bitmaps(df: DataFrame, col: str, *by: str) -> DataFrame:
+    """``by, bucket, bits``: the distinct numbers as a bitmap for each 32,768 of them.
+
+    Bitmaps are made before the shuffle, so a bucket is one row of 4 KB from each
+    task, however many rows it has. For numbers that are dense, such as blocks.
+    """
+    n = F.col(col).cast("long")
+    bucket = F.bitmap_bucket_number(n).alias("bucket")
+    return df.where(n.isNotNull()).groupBy(*by, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bitmap the least and greatest number, and what is missing between them."""
+    for batch in batches:
+        rows = []
+        for bucket, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+            numbers = (bucket - 1) * 32768 + at + 1 if bucket > 0 else (bucket * 32768 - at)[::-1]
+            holes = np.flatnonzero(np.diff(numbers) > 1)
+            rows.append((int(numbers[0]), int(numbers[-1]), (numbers[holes] + 1).tolist(), (numbers[holes + 1] - 1).tolist()))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["lo", "hi", "starts", "stops"])
+
+
+def gaps(df: DataFrame, col: str) -> DataFrame:
     """Missing ranges between the least and the greatest number: ``start, stop, length``.
 
-    Numbers are put in order within buckets; the edges of buckets, one row
-    each, are then joined, so no task holds all numbers.
+    From a bitmap for each 32,768 numbers. Only their edges, one row each, are
+    put in order together.
     """
-    numbers = df.select(F.col(col).alias("n")).where("n is not null").distinct().withColumn("b", F.floor(F.col("n") / bucket))
-    within = numbers.withColumn("next", F.lead("n").over(Window.partitionBy("b").orderBy("n")))
-    edges = numbers.groupBy("b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    across = edges.withColumn("next", F.lead("lo").over(Window.orderBy("b"))).select(F.col("hi").alias("n"), "next")
-    both = within.select("n", "next").union(across).where("next - n > 1")
-    return both.select((F.col("n") + 1).alias("start"), (F.col("next") - 1).alias("stop"), (F.col("next") - F.col("n") - 1).alias("length"))
+    runs = number_bitmaps(df, col).select("bucket", "bits").mapInArrow(_runs, "lo long, hi long, starts array<long>, stops array<long>")
+    runs = runs.withColumn("next", F.lead("lo").over(Window.orderBy("lo")))
+    found = F.arrays_zip(F.col("starts").alias("start"), F.col("stops").alias("stop"))
+    across = F.when(F.col("next") - F.col("hi") > 1, F.array(F.struct((F.col("hi") + 1).alias("start"), (F.col("next") - 1).alias("stop"))))
+    every = runs.select(F.explode(F.when(across.isNull(), found).otherwise(F.concat(found, across))).alias("gap"))
+    return every.select("gap.start", "gap.stop", (F.col("gap.stop") - F.col("gap.start") + 1).alias("length"))
 
 
 def share_of_total(df: DataFrame, count: str = "n", name: str = "share") -> DataFrame:

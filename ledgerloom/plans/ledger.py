@@ -17,7 +17,7 @@ from ledgerloom.functions.abi import decode_event, decode_swap_call
 from ledgerloom.functions.columns import gas_value, path_join, points_of, snapshot_id, trace_id, unit_seconds
 from ledgerloom.operators.filters import block_between, by_selector, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
 from ledgerloom.operators.joins import account_ticks, factory_temporal_join, trace_tx_join
-from ledgerloom.operators.windows import latest_per_key, signed_sides
+from ledgerloom.operators.windows import gaps, number_bitmaps, signed_sides
 from ledgerloom.schemas import SWAP_SELECTOR, WINDOW_END, WINDOW_SECONDS, ZERO_ADDRESS
 
 
@@ -201,13 +201,13 @@ def fill_missing_blocks(blocks: DataFrame, lo: int, hi: int, min_percent: float
     """
     spark = blocks.sparkSession
     inside = block_between(blocks, lo, hi, "number").select("number", "hash", "parent_hash", "timestamp").withColumn("is_generated", F.lit(False))
-    if inside.select("number").distinct().count() * 100 >= min_percent * (hi - lo + 1):
+    if number_bitmaps(inside, "number").agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()[0] * 100 >= min_percent * (hi - lo + 1):
         return inside
     h = lambda n: F.concat(F.lit("0x"), F.sha2(n.cast("string"), 256))
-    wanted = spark.range(lo, hi + 1).select(F.col("id").alias("number")).join(inside.select("number"), "number", "left_anti")
+    # The gaps between a number before the range and one after it; long ones in pieces.
+    ends = spark.createDataFrame([(lo - 1,), (hi + 1,)], "number long")
+    holes = gaps(inside.select("number").union(ends), "number")
+    pieces = holes.withColumn("piece", F.explode(F.sequence("start", "stop", F.lit(65536).cast("long"))))
+    wanted = pieces.select(F.explode(F.sequence("piece", F.least(F.col("piece") + 65535, F.col("stop")))).alias("number"))
     made = wanted.select("number", h(F.col("number")).alias("hash"), h(F.col("number") - 1).alias("parent_hash"), (F.col("number") * spacing + first_ts).cast("long").alias("timestamp"), F.lit(True).alias("is_generated"))
     return inside.union(made)
-
-
-def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    return latest_per_key(snapshots, ["account"], ["ts"])

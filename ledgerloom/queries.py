@@ -286,7 +286,7 @@ def j3_attach_parent(spark, d):
 
 @query(f"with {_B}, n as (select number, lead(number) over (order by number) as next from blocks) select number + 1 as start, next - 1 as stop, next - number - 1 as length from n where next - number > 1")
 def w9_gaps(spark, d):
-    return W.gaps(R.blocks(spark, d), "number", bucket=1000)
+    return W.gaps(R.blocks(spark, d), "number")
 
 
 @query(f"with {_B}, m as (select max(number) as most from blocks), buckets as (select start, least(start + 499, (select most from m)) as stop from (select unnest(range(0, (select most + 1 from m), 500)) as start)), k as (select number // 500 * 500 as start, count(*) as n from blocks group by 1) select b.start, b.stop, coalesce(k.n, 0) as n from buckets b left join k on k.start = b.start")

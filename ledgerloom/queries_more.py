@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas
@@ -182,7 +183,7 @@ def s5_scan_traces_to(spark, d):
 def s6_scan_range_parallel(spark, d):
     path = _raw_path("blocks", R.blocks, spark, d)
     most = spark.read.parquet(path).agg(F.max("number")).first()[0]
-    found = readers.scan_range_parallel(spark, lambda a, b: readers.scan_blocks(spark, path, a, b), 0, most, most // 7 + 1)
+    found = readers.scan_range_parallel(lambda a, b: readers.scan_blocks(spark, path, a, b), 0, most, 1000, 8, "number")
     return found.groupBy(F.floor(F.col("number") / 1000).alias("part")).agg(F.count("*").alias("n"))
 
 
@@ -742,6 +743,30 @@ def m2_throughput(spark, d):
     return X.throughput(runs)
 
 
+@query("select o_orderkey as id, cast(o_custkey as varchar) as wide, '0x' || lower(hex(encode('b' || o_orderkey))) as raw, count(*) over () as n from orders where o_orderkey between 100 and 10000")
+def s10_read_jdbc_range(spark, d):
+    """Orders from the database that comes with Spark, one in the memory of a local master's process."""
+    url = f"jdbc:derby:memory:orders{uuid.uuid4().hex}"
+    rows = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_custkey").cast("decimal(31,0)").alias("WIDE"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).cast("binary").alias("RAW"))
+    rows.coalesce(2).write.jdbc(f"{url};create=true", "ORDERS", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    found = readers.read_jdbc_range(spark, url, "ORDERS", "ID", 100, 10000, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    return found.select(F.col("ID").alias("id"), F.col("WIDE").alias("wide"), F.col("RAW").alias("raw"), F.count("*").over(Window.partitionBy()).alias("n"))
+
+
+@query(
+    f"with {_E} select cast(id // 1000 * 1000 as varchar) as bucket, cast(count(*) filter (platform = 'a') as varchar) as a, cast(count(*) filter (platform = 'b') as varchar) as b, cast(count(*) filter (platform = 'c') as varchar) as c from tagged group by id // 1000"
+)
+def k9_distribution_csv(spark, d):
+    """The same figures from the CSV that was written."""
+    rows = None
+    for name, c in (("a", "event_id"), ("b", "eventId"), ("c", "id")):
+        one = R.platform(spark, d, name).select(F.lit(name).alias("platform"), F.col(c).alias("n"))
+        rows = one if rows is None else rows.union(one)
+    path = new_path(spark, "k9")
+    sinks.write_distribution_csv(rows, F.floor(F.col("n") / 1000) * 1000, ["a", "b", "c"], path)
+    return spark.read.csv(path, header=True)
+
+
 # -- streams, run to the end of what is there -----------------------------------------------------------
 
 

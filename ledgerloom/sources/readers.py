@@ -36,13 +36,13 @@ def scan_traces(spark: SparkSession, path: str, to: str | None, lo: int, hi: int
     return df.where(F.col("input").startswith(selector)) if selector else df
 
 
-def scan_range_parallel(spark: SparkSession, read_range, lo: int, hi: int, batch: int) -> DataFrame:
-    """Union of ``read_range(a, b)`` over batches of a block range, all in one plan."""
-    parts = [read_range(a, min(a + batch - 1, hi)) for a in range(lo, hi + 1, batch)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def scan_range_parallel(read_range, lo: int, hi: int, batch: int, parallel: int, col: str = "block_number") -> DataFrame:
+    """``read_range(lo, hi)`` in ``parallel`` tasks, each with whole batches of ``batch`` blocks.
+
+    One scan whose filter reaches the files; rows of a batch are together.
+    """
+    number = F.floor((F.col(col) - lo) / batch)
+    return read_range(lo, hi).repartition(parallel, number)
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, bool]:
