@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,53 +32,63 @@ TOXIC, OTHER = 1500, 2500
 #: Tasks that read the sample: as many counts of buckets go to the driver.
 TASKS = 12
 BUCKETS, DIM, WINDOW = 1 << 16, 4, 3
-#: Words whose score a worker keeps, as written and without punctuation.
-CACHE = 300_000
-_STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
-#: Bytes beyond which a word is taken apart, and the length and step of the
-#: overlapping runs of what has no punctuation or space of any kind in it.
-LONG, RUN, STEP = 64, 12, 4
-_JOINTS = re.compile(rb"(?:[!-/:-@\[-`{-~]|\xc2[\x80-\xbf]|\xe1\x9a\x80|\xe2\x80[\x80-\xbf]|\xe2\x81\x9f|\xe3\x80[\x80-\x9f]|\xef\xbb\xbf|\xef\xbc[\x81-\x8f\x9a-\xa0])+")
-
-
-def short_words(words: list[bytes], most: int = 1 << 16) -> Iterator[list[bytes]]:
-    """The words in lists of bounded length, those of more than LONG bytes as their parts.
-
-    The parts are what punctuation and Unicode spaces set off, and overlapping
-    runs of what is still longer, so every byte is in a window that counts.
+#: Slots whose score a worker keeps, and bytes of text whose slots are held at once.
+CACHE, MOST = 300_000, 1 << 21
+#: What sets off the parts of a word: ASCII punctuation that does not stand in
+#: for letters, and punctuation and spaces beyond ASCII.
+_JOINTS = b"\"&'()+,-./:;<=>[\\]^_`{|}~"
+_SPACED = bytes(32 if c in _JOINTS else c for c in range(256))
+_WIDE = re.compile(rb"\xc2[\x80-\xbf]|\xe1\x9a\x80|\xe2\x80[\x80-\xbf]|\xe2\x81\x9f|\xe3\x80[\x80-\x9f]|\xef\xbb\xbf|\xef\xbc[\x81-\x8f\x9a-\xa0]")
+#: What may stand in for letters counts within a part, not at its ends.
+_ENDS = b"!?*#$%"
+#: Bytes of a part, with its ends marked, that are read at once, and the lengths
+#: of the runs within longer ones.
+RUN = 14
+RUNS = (8, 11, 14)
+
+
+def slots_of(parts: list[bytes]) -> list[bytes]:
+    """What a window counts as words: parts with their ends marked, long ones as stretches.
+
+    A stretch has the bytes of all runs that start within RUN bytes. So a slot
+    is at most 2 * RUN - 1 bytes long, and every run of a part is in one. Parts
+    of nothing but _ENDS give none.
     """
-    if not words or len(max(words, key=len)) <= LONG:
-        yield words
-        return
-    held: list[bytes] = []
-    for word in words:
-        if len(word) <= LONG:
-            held.append(word)
+    slots = []
+    for part in parts:
+        part = part.strip(_ENDS)
+        marked = b"<" + part + b">"
+        if not part:
             continue
-        at = 0
-        for joint in (*_JOINTS.finditer(word), None):
-            part, at = word[at : joint.start() if joint else None], joint.end() if joint else at
-            if len(part) > LONG:
-                for start in range(0, len(part) - RUN + STEP, STEP):
-                    held.append(part[start : start + RUN])
-                    if len(held) >= most:
-                        yield held
-                        held = []
-            elif part:
-                held.append(part)
-                if len(held) >= most:
-                    yield held
-                    held = []
-    yield held
+        if len(marked) <= RUN:
+            slots.append(marked)
+        else:
+            slots += [marked[at : at + 2 * RUN - 1] for at in range(0, len(marked) - RUN + 1, RUN)]
+    return slots
+
+
+def word_grams(unit: bytes) -> list[int]:
+    """Buckets of a unit's byte n-grams of 3 to 5, and of itself if it is a whole part."""
+    crc, n = zlib.crc32, len(unit)
+    grams = [crc(unit[i : i + k]) for k in (3, 4, 5) for i in range(n - k + 1)]
+    if unit[:1] == b"<" and unit[-1:] == b">":
+        grams.append(crc(unit, 7))
+    return [g & (BUCKETS - 1) for g in grams]
 
 
-def word_grams(word: bytes) -> list[int]:
-    """Buckets of a word's byte n-grams of 3 to 5, with its ends marked, and of itself."""
-    marked = b"<" + word.strip(_STRIP) + b">"
-    crc, n = zlib.crc32, len(marked)
-    grams = [crc(marked[i : i + k]) for k in (3, 4, 5) for i in range(n - k + 1)]
-    grams.append(crc(marked, 7))
-    return [g & (BUCKETS - 1) for g in grams]
+def best_run(slot: bytes, table: list[float]) -> tuple[float, bytes]:
+    """The highest mean score of a slot's units, and that unit: itself, or its runs if it is a stretch."""
+    if len(slot) <= RUN:
+        grams = word_grams(slot)
+        return sum(map(table.__getitem__, grams)) / len(grams), slot
+    crc, n = zlib.crc32, len(slot)
+    upto = {k: list(accumulate((table[crc(slot[i : i + k]) & (BUCKETS - 1)] for i in range(n - k + 1)), initial=0.0)) for k in (3, 4, 5)}
+    found = (
+        (sum(upto[k][at + size - k + 1] - upto[k][at] for k in (3, 4, 5)) / (3 * size - 9), -at, size)
+        for size in RUNS for at in range(n - size + 1)
+    )
+    score, at, size = max(found)
+    return score, slot[-at : size - at]
 
 
 class _Vocabulary:
@@ -114,13 +125,34 @@ def _bags(windows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _word_lists(text: bytes) -> Iterator[list[bytes]]:
-    """A text's words in lists of bounded length; each goes on with the last words of the one before."""
+    """A text's slots in lists of bounded length; each goes on with the last slots of the one before."""
+    text = text.lower()
+    text = (text if text.isascii() else _WIDE.sub(b" ", text)).translate(_SPACED)
     carry: list[bytes] = []
-    for words in (some for chunk in word_chunks(text.lower()) for some in short_words(chunk)):
-        words = carry + words
-        if words:
-            yield words
-        carry = words[-(WINDOW - 1) :] if len(words) >= WINDOW else words
+    whole = True
+    for parts in word_chunks(text):
+        # A part may be as long as the text: its stretches come some at a time.
+        for some in (parts,) if sum(map(len, parts)) <= MOST else ([p] for p in parts):
+            for slots in _bounded(some):
+                held = carry + slots
+                if slots and len(held) >= WINDOW:
+                    yield held
+                    held, whole = held[-(WINDOW - 1) :], False
+                carry = held
+    if whole and carry:
+        yield carry
+
+
+def _bounded(parts: list[bytes]) -> Iterator[list[bytes]]:
+    """Slots of parts; of one beyond MOST bytes, given by itself, in several lists."""
+    core = parts[0].strip(_ENDS) if len(parts) == 1 else b""
+    if len(core) <= MOST:
+        yield slots_of(parts)
+        return
+    marked = b"<" + core + b">"
+    starts = range(0, len(marked) - RUN + 1, RUN)
+    for n in range(0, len(starts), MOST // RUN):
+        yield [marked[at : at + 2 * RUN - 1] for at in starts[n : n + MOST // RUN]]
 
 
 def window_means(scores: np.ndarray) -> np.ndarray:
@@ -143,30 +175,25 @@ class Model:
 
 
 class _Scores(dict):
-    """Scores of words under a table of buckets; ``cores`` those of words without punctuation."""
+    """Scores of slots under a table of buckets."""
 
     def __init__(self, buckets: np.ndarray):
         super().__init__()
-        self.table, self.cores = buckets.tolist(), {}
-
-    def __missing__(self, word: bytes) -> float:
-        core = word.strip(_STRIP)
-        score = self.cores.get(core)
-        if score is None:
-            grams = word_grams(core)
-            score = sum(map(self.table.__getitem__, grams)) / len(grams)
-            if len(self.cores) >= CACHE:
-                self.cores.clear()
-            if len(core) <= LONG:
-                self.cores[core] = score
+        self.table = buckets.tolist()
+
+    def __missing__(self, slot: bytes) -> float:
+        score = best_run(slot, self.table)[0]
         if len(self) >= CACHE:
             self.clear()
-        if len(word) <= LONG:
-            self[word] = score
+        self[slot] = score
         return score
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+    def of(self, slots: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, slots), np.float64, len(slots))
+
+    def units(self, slots: list[bytes]) -> list[bytes]:
+        """What gives each slot its score."""
+        return [best_run(slot, self.table)[1] for slot in slots]
 
 
 def seen_buckets(texts: list[bytes]) -> np.ndarray:
@@ -175,8 +202,8 @@ def seen_buckets(texts: list[bytes]) -> np.ndarray:
     for text in texts:
         found = np.zeros(BUCKETS, bool)
         for words in _word_lists(text):
-            for word in set(words):
-                found[word_grams(word)] = True
+            for slot in set(words):
+                found[word_grams(slot)] = True
         seen += found
     return seen
 
@@ -268,7 +295,7 @@ def train(sample: DataFrame, rounds: int = 4) -> Model | None:
 
     Texts count whole, however long, and stay in Spark: a task sends how many of
     its documents have each bucket, or of each document at most three windows
-    of WINDOW words (of LONG bytes at most) and its highest mean.
+    of WINDOW words (units of RUN bytes at most) and its highest mean.
     """
     held = written(sample.where("text is not null").select("doc_id", "text", "label"), "toxic_sample").coalesce(TASKS)
 
@@ -302,7 +329,8 @@ def train(sample: DataFrame, rounds: int = 4) -> Model | None:
                 for doc_id, text, label in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                     worst, found = worst_windows(text, known, 1 if label else 2)
                     if found:
-                        rows.append((doc_id, label, worst, found if label else [*found, any_window(text, zlib.crc32(f"{doc_id} {seed}".encode()))]))
+                        some = found if label else [*found, any_window(text, zlib.crc32(f"{doc_id} {seed}".encode()))]
+                        rows.append((doc_id, label, worst, [known.units(w) for w in some]))
                 ids, labels, means, found = zip(*rows, strict=True) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.column(0).type), pa.array(labels, pa.int32()), pa.array(means, pa.float64()), pa.array(found, pa.list_(pa.list_(pa.binary())))], names=["doc_id", "label", "worst", "windows"]
@@ -330,8 +358,9 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
     """The columns ``keep`` and the score of every document, whole texts.
 
     The score is the probability of toxic for the worst window of WINDOW words
-    (all words of a shorter text), however long the text is; see short_words for
-    words of more than LONG bytes. Null and empty texts, texts of white space,
+    (all words of a shorter text), however long the text is. Words are what white
+    space and joints set off; of one of more than RUN bytes each stretch of RUN
+    bytes counts as a word, by the run in it that scores highest. Null and empty texts, texts of white space,
     and all texts without a model, score 0. Repeated rows and null ids come back
     as often as they came, an empty table gives an empty result. Columns that
     aren't kept are ignored; ``name`` must not be one of ``keep``.
