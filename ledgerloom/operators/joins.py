@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ordered import DEPTH, ordered_scan
+
 #: A key with more than this part of a side's rows counts as hot.
 HOT_SHARE = 1024
 
@@ -77,18 +79,18 @@ def log_tx_block_join(logs: DataFrame, transactions: DataFrame, blocks: DataFram
     return resolved.join(known, "of_block").drop("tx_block_hash", "of_block")
 
 
-def balance_asof(wanted: DataFrame, history: DataFrame) -> DataFrame:
+def balance_asof(wanted: DataFrame, history: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``account, block_number, balance``: the last balance at or before each wanted block.
 
     ``history`` has ``account, block_number, balance`` and at most one row per
     account and block. Both are laid in one sequence per account, so there is
-    one shuffle and no range join. Accounts without history have balance 0.
+    one shuffle and no range join; accounts with more than ``depth`` rows are
+    cut into ranges. Accounts without history have balance 0.
     """
     both = wanted.select("account", "block_number", F.lit(None).cast(history.schema["balance"].dataType).alias("balance"), F.lit(1).alias("asked"))
     both = both.unionByName(history.select("account", "block_number", "balance", F.lit(0).alias("asked")))
-    upto = Window.partitionBy("account").orderBy("block_number", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("balance", F.last("balance", ignorenulls=True).over(upto)).where("asked = 1")
-    return found.select("account", "block_number", call_failure_default(found.balance).alias("balance"))
+    found = ordered_scan(both, "account", ["block_number", "asked"], known={"found": "balance"}, depth=depth).where("asked = 1")
+    return found.select("account", "block_number", call_failure_default(found.found).alias("balance"))
 
 
 def balance_at_window_start(history: DataFrame, block: int) -> DataFrame:

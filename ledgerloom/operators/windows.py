@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ordered import DEPTH, ordered_scan
 from ledgerloom.session import written
 
 
@@ -42,10 +43,14 @@ def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     return df.join(ranks.select(F.col(col).alias("_value"), name), F.col(col).eqNullSafe(F.col("_value"))).drop("_value")
 
 
-def out_of_order(df: DataFrame, key: str, arrival: list[str], block: str) -> DataFrame:
-    """``is_late``: a row's block is below the highest of the key's rows that came before."""
-    before = Window.partitionBy(key).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("is_late", F.coalesce(F.max(block).over(before) > F.col(block), F.lit(False)))
+def out_of_order(df: DataFrame, key: str, arrival: list[str], block: str, depth: int = DEPTH) -> DataFrame:
+    """``is_late``: a row's block is below the highest of the key's rows that came before.
+
+    Keys with more than ``depth`` rows are cut into ranges of arrival.
+    """
+    seen = next(c for c in ("_seen" + "_" * k for k in range(len(df.columns) + 1)) if c not in df.columns)
+    scanned = ordered_scan(df, key, arrival, highest={seen: block}, depth=depth)
+    return scanned.withColumn("is_late", F.coalesce(F.col(seen) > F.col(block), F.lit(False))).drop(seen)
 
 
 def number_bitmaps(df: DataFrame, col: str, *by: str) -> DataFrame:

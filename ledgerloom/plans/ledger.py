@@ -4,8 +4,8 @@ Amounts and their products with seconds are DECIMAL(38,0): exact up to 38 digits
 an error beyond, never rounded. Transfers are rows ``id, from_addr, to_addr,
 value, block_number`` and ``ts`` or ``block_timestamp``; values may be text, so what
 transfers_job gives can be used as it is. The null address, which takes part in
-very many transfers, is left out before any window. Windows over an account
-run within ranges of time: of a range only its totals go on to the later ones.
+very many transfers, is left out before any window. Accounts with very many
+rows are cut into ranges of like depth (operators/ordered.py).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ledgerloom.functions.abi import decode_event, decode_swap_call
 from ledgerloom.functions.columns import gas_value, path_join, points_of, snapshot_id, trace_id, unit_seconds
 from ledgerloom.operators.filters import block_between, by_selector, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
 from ledgerloom.operators.joins import account_ticks, factory_temporal_join, trace_tx_join
+from ledgerloom.operators.ordered import ordered_scan
 from ledgerloom.operators.windows import gaps, number_bitmaps, signed_sides
 from ledgerloom.schemas import SWAP_SELECTOR, WINDOW_END, WINDOW_SECONDS, ZERO_ADDRESS
 
@@ -30,40 +31,10 @@ def sides_of_accounts(transfers: DataFrame) -> DataFrame:
     return exclude_zero_address(signed_sides(transfers)).withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("delta", "mint")})
 
 
-#: Seconds of a range within which the rows of an account are put in order together.
-RANGE = 90 * 86400
-
-
-def running_totals(df: DataFrame, sums: dict[str, str], order: list[str], before: dict[str, str] | None = None, span: int = RANGE) -> DataFrame:
-    """``df`` (``account, ts`` and more) with running sums per account, and values of the row before.
-
-    ``sums`` names sums of columns up to and with the row, ``before`` the last
-    row's values. Only rows of one account and one range of ``span`` seconds are
-    put in order together; a range's totals and last values, one row each, are
-    put in order by themselves and handed on to the ranges after it.
-    """
-    before = before or {}
-    ranged = df.withColumn("_range", F.floor(F.col("ts") / span))
-    last = F.struct(*order)
-    totals = ranged.groupBy("account", "_range").agg(
-        *[F.sum(c).cast("decimal(38,0)").alias(f"_sum_{n}") for n, c in sums.items()], *[F.max_by(c, last).alias(f"_last_{n}") for n, c in before.items()]
-    )
-    past = Window.partitionBy("account").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    lag = Window.partitionBy("account").orderBy("_range")
-    carried = totals.select(
-        "account", "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(past), F.lit(0)).cast("decimal(38,0)").alias(f"_from_{n}") for n in sums], *[F.lag(f"_last_{n}").over(lag).alias(f"_prev_{n}") for n in before]
-    )
-    within = Window.partitionBy("account", "_range").orderBy(*order)
-    upto = within.rowsBetween(Window.unboundedPreceding, 0)
-    held = ranged.withColumns({f"_in_{n}": F.sum(c).over(upto) for n, c in sums.items()} | {f"_lag_{n}": F.lag(c).over(within) for n, c in before.items()} | {"_place": F.row_number().over(within)})
-    joined = held.join(carried, ["account", "_range"])
-    made = {n: (F.col(f"_in_{n}") + F.col(f"_from_{n}")).cast("decimal(38,0)") for n in sums} | {n: F.when(F.col("_place") == 1, F.col(f"_prev_{n}")).otherwise(F.col(f"_lag_{n}")) for n in before}
-    return joined.select(*df.columns, *[c.alias(n) for n, c in made.items()])
-
-
 def balance_history(transfers: DataFrame) -> DataFrame:
     """``id, account, delta, balance, block_number, ts``: the balance after every change."""
-    running = running_totals(sides_of_accounts(transfers), {"balance": "delta"}, ["ts", "block_number", "id"])
+    running = ordered_scan(sides_of_accounts(transfers), "account", ["ts", "block_number", "id"], sums={"balance": "delta"})
+    running = running.withColumn("balance", F.col("balance").cast("decimal(38,0)"))
     return running.select("id", "account", "delta", "balance", "block_number", "ts")
 
 
@@ -81,7 +52,7 @@ def collapse_same_ts(transfers: DataFrame) -> DataFrame:
     )
 
 
-def _snapshots(changes: DataFrame) -> DataFrame:
+def _snapshots(changes: DataFrame, order: str = "ts", sized: DataFrame | None = None) -> DataFrame:
     """Running balance, mint and unit-seconds from rows ``account, ts, delta, mint, trigger``.
 
     Unit-seconds up to a time are the sum of delta * (that time - the delta's
@@ -89,7 +60,8 @@ def _snapshots(changes: DataFrame) -> DataFrame:
     """
     zero = F.lit(0).cast("decimal(38,0)")
     timed = changes.withColumn("_moved", unit_seconds(F.col("delta"), F.col("ts")))
-    running = running_totals(timed, {"balance": "delta", "mint_amount": "mint", "_moved_sum": "_moved"}, ["ts"], {"old_ts": "ts"})
+    running = ordered_scan(timed, "account", [order], {"balance": "delta", "mint_amount": "mint", "_moved_sum": "_moved"}, {"old_ts": "ts"}, sized=sized)
+    running = running.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("balance", "mint_amount", "_moved_sum")})
     old = running.withColumn("old_balance", F.when(F.col("old_ts").isNotNull(), (F.col("balance") - F.col("delta")).cast("decimal(38,0)")))
     # The balance before, from the first change to this time, less what was moved until then.
     held = (unit_seconds(F.col("balance"), F.col("ts")) - F.col("_moved_sum")).cast("decimal(38,0)")
@@ -99,12 +71,12 @@ def _snapshots(changes: DataFrame) -> DataFrame:
 def account_snapshots(transfers: DataFrame) -> DataFrame:
     """Per account and time: balance, cumulative mint, points so far; the first has none."""
     changes = collapse_same_ts(transfers).withColumn("trigger", F.lit("transfer"))
-    return _snapshots(changes).select(snapshot_id(F.col("account"), F.col("ts").cast("string")).alias("id"), "account", "ts", "balance", "mint_amount", "unit_seconds", "points")
+    return _snapshots(changes, sized=sides_of_accounts(transfers)).select(snapshot_id(F.col("account"), F.col("ts").cast("string")).alias("id"), "account", "ts", "balance", "mint_amount", "unit_seconds", "points")
 
 
 def point_updates(transfers: DataFrame) -> DataFrame:
     """Change log: old and new time and balance, and the unit-seconds that were added."""
-    changes = _snapshots(collapse_same_ts(transfers).withColumn("trigger", F.lit("transfer")))
+    changes = _snapshots(collapse_same_ts(transfers).withColumn("trigger", F.lit("transfer")), sized=sides_of_accounts(transfers))
     added = F.coalesce(unit_seconds(F.col("old_balance"), F.col("ts") - F.col("old_ts")), F.lit(0).cast("decimal(38,0)"))
     return changes.select(
         "account", F.coalesce("old_ts", F.lit(0).cast("long")).alias("old_ts"), F.coalesce("old_balance", F.lit(0).cast("decimal(38,0)")).alias("old_balance"),
@@ -128,6 +100,32 @@ def snapshots_with_ticks(transfers: DataFrame, every: int, until: int) -> DataFr
     return _snapshots(named).select("account", "ts", "balance", "mint_amount", "unit_seconds", "trigger")
 
 
+def snapshots_at_blocks(transfers: DataFrame, blocks: DataFrame, every: int, until: int, backfill: int | None = None, live_from: int | None = None) -> DataFrame:
+    """Snapshots at transfers and, after an account's first one, at every ``every``-th block until ``until``.
+
+    Before the block ``live_from`` it is every ``backfill``-th one. ``blocks``
+    (``number, timestamp``) is the calendar: a block that it lacks has no tick. A
+    block with a transfer of the account is that snapshot. Block numbers of an
+    account are generated and meet the calendar in one equi-join. Rows of one
+    account and block are one, at the later of their times.
+    """
+    sides = sides_of_accounts(transfers)
+    total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)
+    changes = sides.groupBy("account", "block_number").agg(F.max("ts").alias("ts"), total("delta"), total("mint"), F.lit(0).alias("tick"))
+    first = sides.groupBy("account").agg(F.min("block_number").alias("first_ts"))
+    # Of the live part, multiples of ``every`` from live_from on; of the backfill those below it.
+    start = first if live_from is None else first.withColumn("first_ts", F.greatest("first_ts", F.lit(live_from - 1).cast("long")))
+    numbers = account_ticks(start, every, until)
+    if live_from is not None:
+        numbers = numbers.union(account_ticks(first, backfill or every, min(live_from - 1, until)))
+    zero = F.lit(0).cast("decimal(38,0)")
+    calendar = blocks.select(F.col("number").alias("block_number"), F.col("timestamp").alias("at"))
+    ticks = numbers.withColumnRenamed("ts", "block_number").join(calendar, "block_number").select("account", "block_number", F.col("at").alias("ts"), zero.alias("delta"), zero.alias("mint"), F.lit(1).alias("tick"))
+    merged = changes.unionByName(ticks).groupBy("account", "block_number").agg(F.max("ts").alias("ts"), total("delta"), total("mint"), F.min("tick").alias("tick"))
+    named = merged.withColumn("trigger", F.when(F.col("tick") == 1, "tick").otherwise("transfer"))
+    return _snapshots(named, "block_number").select("account", "block_number", "ts", "balance", "mint_amount", "unit_seconds", "trigger")
+
+
 def points_closed_form(transfers: DataFrame, starts: DataFrame | None = None, t_end: int = WINDOW_END, window: int = WINDOW_SECONDS) -> DataFrame:
     """``account, moved, held``: summation by parts, without a window.
 

@@ -201,6 +201,25 @@ def l6_snapshots_with_ticks(spark, d):
     return L.snapshots_with_ticks(R.transfers(spark, d), _TICKS, _UNTIL)
 
 
+@query(
+    f"with {_S}, calendar as (select distinct block_number, ts from transfers), at_block as (select account, block_number, max(ts) as ts, sum(delta) as delta, sum(mint) as mint, 0 as tick from accounts group by 1, 2),"
+    " seen as (select account, min(block_number) as first from accounts group by 1),"
+    " ticks as (select account, c.block_number, c.ts, 0 as delta, 0 as mint, 1 as tick from seen join calendar c on c.block_number > first where case when c.block_number < 365 then c.block_number % 90 = 0 else c.block_number % 30 = 0 end),"
+    " merged as (select account, block_number, max(ts) as ts, sum(delta) as delta, sum(mint) as mint, min(tick) as tick from (select * from at_block union all select * from ticks) group by 1, 2),"
+    " run3 as (select *, sum(delta) over w as balance, sum(mint) over w as mint_amount, lag(ts) over (partition by account order by block_number) as old_ts from merged window w as (partition by account order by block_number rows unbounded preceding)),"
+    " prev3 as (select *, lag(balance) over (partition by account order by block_number) as old_balance from run3)"
+    " select account, block_number, ts, cast(balance as decimal(38,0)) as balance, cast(mint_amount as decimal(38,0)) as mint_amount,"
+    " cast(sum(coalesce(cast(old_balance as decimal(24,0)) * cast(ts - old_ts as decimal(12,0)), 0)) over (partition by account order by block_number rows unbounded preceding) as decimal(38,0)) as unit_seconds,"
+    " case when tick = 1 then 'tick' else 'transfer' end as trigger from prev3"
+)
+def l6_snapshots_at_blocks(spark, d):
+    """Every 90th block before block 365, every 30th from it on; the calendar is that of the transfers."""
+    transfers = R.transfers(spark, d)
+    calendar = transfers.select(F.col("block_number").alias("number"), F.col("ts").alias("timestamp")).distinct()
+    last = calendar.agg(F.max("number")).first()[0]
+    return L.snapshots_at_blocks(transfers, calendar, 30, last, backfill=90, live_from=365)
+
+
 @query(
     f"with {_S}, starts as (select account, sum(delta) as balance from accounts where block_number <= 365 group by 1),"
     " parts as (select account, cast(delta as decimal(24,0)) * cast(1747451507 - ts as decimal(13,0)) as moved, cast(0 as decimal(38,0)) as held from accounts"

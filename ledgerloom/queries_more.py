@@ -97,6 +97,18 @@ def j9_asof_from_logs(spark, d):
     return J.balance_asof(wanted, history).withColumn("balance", F.col("balance").cast("string"))
 
 
+# In whole millionths, half of one rounded away from zero.
+@query(
+    f"with {_WG}, p as (select account, ts, unit_seconds as u, abs(unit_seconds) as a from snaps), q as (select account, ts, u, (a // 86400) * 1000000000 + ((a % 86400) * 1000000000 + 43200) // 86400 as m from p)"
+    " select account, ts, cast(case when u < 0 then -m else m end as varchar) as millionths from q"
+)
+def w4_points_everywhere(spark, d):
+    """Points of all snapshots, in millionths."""
+    found = L.account_snapshots(_token_transfers(spark, d))
+    digits = F.regexp_replace(F.col("points").cast("string"), r"\.", "")
+    return found.select("account", "ts", F.regexp_replace(digits, r"^(-?)0+(?=\d)", "$1").alias("millionths"))
+
+
 @query(f"with {_WG} select account, ts, cast(old_balance as varchar) as old_balance, old_ts, cast(coalesce(cast(old_balance as hugeint) * (ts - old_ts), 0) as varchar) as added from previous where old_ts is not null")
 def w2_prev_state(spark, d):
     updates = L.point_updates(_token_transfers(spark, d)).where("old_ts <> 0")
@@ -183,7 +195,7 @@ def s5_scan_traces_to(spark, d):
 def s6_scan_range_parallel(spark, d):
     path = _raw_path("blocks", R.blocks, spark, d)
     most = spark.read.parquet(path).agg(F.max("number")).first()[0]
-    found = readers.scan_range_parallel(lambda a, b: readers.scan_blocks(spark, path, a, b), 0, most, 1000, 8, "number")
+    found = readers.scan_range_parallel(spark, lambda a, b: readers.scan_blocks(spark, path, a, b), 0, most, 1000, 8, "number")
     return found.groupBy(F.floor(F.col("number") / 1000).alias("part")).agg(F.count("*").alias("n"))
 
 
@@ -853,6 +865,26 @@ def t6_interval_trigger_time(spark, d):
     return ticks.where(F.col("account") >= 0).where(F.col("ts") <= last).select("account", "ts", F.col("balance").cast("string").alias("balance"))
 
 
+_BLOCK_TICKS = "(b < h and b % 100 = 0) or (b >= h and b % 20 = 0)"
+
+
+@query(
+    "with e as (select user_id as account, event_id // 10 as block, event_id as delta from events), n as (select cast(unnest(range(0, (select max(block) from e) + 1)) as bigint) as b), m as (select max(block) // 2 as h from e),"
+    f" ticks as (select b from n, m where {_BLOCK_TICKS}), f as (select account, min(block) as first from e group by 1),"
+    " x as (select e.account, t.b as block_number, sum(e.delta) as balance from f join ticks t on t.b > f.first join e on e.account = f.account and e.block <= t.b group by 1, 2) select account, block_number, cast(balance as varchar) as balance from x"
+)
+def t7_block_stream(spark, d):
+    """Every user's balance at every 100th block of the first half and every 20th after it, from a stream."""
+    e = R.table(spark, d, "events").select(F.col("user_id").alias("account"), F.floor(F.col("event_id") / 10).alias("block_number"), F.col("event_id").alias("delta"))
+    last = e.agg(F.max("block_number")).first()[0]
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("account"), F.lit(last + 200).cast("long").alias("block_number"), F.lit(0).cast("long").alias("delta"))
+    path = new_path(spark, "t7")
+    e.repartition(3).write.parquet(path)
+    end.write.mode("append").parquet(path)
+    found = jobs.interval_trigger_block(readers.read_stream_blocks(spark, path, e.schema), 20, backfill=100, live_from=last // 2)
+    return _drained(spark, found).where(F.col("account") >= 0).where(F.col("block_number") <= last).select("account", "block_number", F.col("balance").cast("string").alias("balance"))
+
+
 @query(f"with {_B}, m as (select max(number) // 2 as half from blocks) select number from blocks, m where case when number < half then number % 100 = 0 else number % 10 = 0 end")
 def t7_interval_trigger_block(spark, d):
     blocks = R.blocks(spark, d)
@@ -871,6 +903,15 @@ def t8_factory_stream(spark, d):
     return sinks.read_table(spark, out).select("id")
 
 
+@query("select distinct l_orderkey as id from lineitem join orders on l_orderkey = o_orderkey where cast(l_shipdate as timestamp) between cast(o_orderdate as timestamp) and cast(o_orderdate as timestamp) + interval 60 day")
+def t8_two_streams(spark, d):
+    """Orders as creations and their lines as events, each a stream of its own; lines within 60 days of their order."""
+    created = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    lines = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("address"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    found = jobs.factory_stream(_stream(spark, created), _stream(spark, lines), "60 days", "4000 days")
+    return _drained(spark, found).select(F.col("address").alias("id")).distinct()
+
+
 def _arrivals(spark, d) -> DataFrame:
     e = R.table(spark, d, "events")
     return e.select(F.col("event_type").alias("account"), F.col("event_id").cast("string").alias("id"), F.pmod(F.col("event_id") * 7919, F.lit(1000)).alias("block_number"), F.col("event_id").alias("arrival"))

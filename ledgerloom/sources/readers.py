@@ -36,13 +36,14 @@ def scan_traces(spark: SparkSession, path: str, to: str | None, lo: int, hi: int
     return df.where(F.col("input").startswith(selector)) if selector else df
 
 
-def scan_range_parallel(read_range, lo: int, hi: int, batch: int, parallel: int, col: str = "block_number") -> DataFrame:
+def scan_range_parallel(spark: SparkSession, read_range, lo: int, hi: int, batch: int, parallel: int | None = None, col: str = "block_number") -> DataFrame:
     """``read_range(lo, hi)`` in ``parallel`` tasks, each with whole batches of ``batch`` blocks.
 
     One scan whose filter reaches the files; rows of a batch are together.
+    Without ``parallel`` it is as many tasks as a shuffle has.
     """
     number = F.floor((F.col(col) - lo) / batch)
-    return read_range(lo, hi).repartition(parallel, number)
+    return read_range(lo, hi).repartition(parallel or int(spark.conf.get("spark.sql.shuffle.partitions")), number)
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, bool]:
