@@ -68,7 +68,7 @@ def gas_value(used: Column, effective: Column, price: Column) -> Column:
 
 
 def points_rate(balance: Column, seconds: Column) -> Column:
-    """Points of holding a balance for some seconds, as decimal; exact up to 38 digits of unit-seconds, beyond that an error."""
+    """Points of holding a balance for some seconds, as text with six places; exact up to 38 digits of unit-seconds, beyond that an error."""
     return points_of(unit_seconds(balance, seconds))
 
 
@@ -78,15 +78,25 @@ def unit_seconds(balance: Column, seconds: Column) -> Column:
 
 
 def points_of(held: Column) -> Column:
-    """Points of some unit-seconds to six places, DECIMAL(38,6), rounded half up.
+    """Points of some unit-seconds as text with six places, rounded half up; exact for 38 digits of them.
 
-    Whole days' points and the rest are divided apart, so no product has more
-    than 38 digits.
+    A decimal of six places would leave 32 digits before them. The division by a
+    day is done on pieces of 18, 10 and 10 digits, in long.
     """
+    div, day, step = (lambda a, b: F.call_function("div", a, b)), F.lit(86400).cast("long"), F.lit(10**10)
+    # abs() of a decimal keeps 34 digits; a difference keeps all.
     held = held.cast("decimal(38,0)")
-    rest = (held % F.lit(86400)).cast("decimal(12,0)")
-    days = ((held - rest) / F.lit(86400).cast("decimal(5,0)")).cast("decimal(29,0)")
-    return (days * F.lit(POINTS_PER_DAY) + F.round(rest * F.lit(POINTS_PER_DAY) / F.lit(86400), 6)).cast("decimal(38,6)")
+    size = F.when(held < 0, (F.lit(0).cast("decimal(38,0)") - held).cast("decimal(38,0)")).otherwise(held)
+    tail = (size % F.lit(str(10**20)).cast("decimal(21,0)")).cast("decimal(20,0)")
+    high, mid, low = div(size, F.lit(str(10**20)).cast("decimal(21,0)")), div(tail, step), (tail % step).cast("long")
+    mid = high % day * step + mid
+    low = mid % day * step + low
+    # Millionths of what is left of a day, a day's at most.
+    part = div(low % day * F.lit(POINTS_PER_DAY * 10**6) + F.lit(43200), day)
+    number = lambda v, zeros: v.cast("decimal(18,0)") * F.lit(str(10**zeros)).cast(f"decimal({zeros + 1},0)")
+    days = (number(div(high, day), 20).cast("decimal(34,0)") + number(div(mid, day), 10)).cast("decimal(34,0)") + div(low, day)
+    whole = (days.cast("decimal(34,0)") * F.lit(POINTS_PER_DAY).cast("decimal(4,0)")).cast("decimal(38,0)") + div(part, F.lit(10**6)).cast("decimal(10,0)")
+    return F.concat(F.when(held < 0, "-").otherwise(""), whole.cast("decimal(38,0)").cast("string"), F.lit("."), F.lpad((part % 10**6).cast("string"), 6, "0"))
 
 
 def points_rate_floor(balance: Column, seconds: Column) -> Column:

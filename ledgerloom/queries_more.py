@@ -76,7 +76,7 @@ def l4_snapshots_from_logs(spark, d):
 def w4_points_from_logs(spark, d):
     """Points at whole days' unit-seconds, where no place is rounded."""
     found = L.account_snapshots(_token_transfers(spark, d)).where("unit_seconds >= 0 and unit_seconds % 86400 = 0")
-    return found.select("account", "ts", F.col("points").cast("decimal(38,0)").cast("string").alias("whole_points"))
+    return found.select("account", "ts", F.split_part("points", F.lit("."), F.lit(1)).alias("whole_points"))
 
 
 @query(f"with {_WS} select account, cast(sum(delta) as varchar) as balance, max(block_number) as last_block, max(ts) as last_ts from accounts group by 1")
@@ -105,7 +105,7 @@ def j9_asof_from_logs(spark, d):
 def w4_points_everywhere(spark, d):
     """Points of all snapshots, in millionths."""
     found = L.account_snapshots(_token_transfers(spark, d))
-    digits = F.regexp_replace(F.col("points").cast("string"), r"\.", "")
+    digits = F.translate("points", ".", "")
     return found.select("account", "ts", F.regexp_replace(digits, r"^(-?)0+(?=\d)", "$1").alias("millionths"))
 
 
@@ -135,7 +135,7 @@ def u8_collapse_same_ts(spark, d):
 def j12_accounts_with_latest(spark, d):
     t = _token_transfers(spark, d)
     accounts = L.sides_of_accounts(t).select("account").distinct()
-    return J.accounts_with_latest(accounts, L.account_snapshots(t)).select("account", "ts", F.col("balance").cast("string").alias("balance"))
+    return J.accounts_with_latest(accounts, L.account_snapshots(t).select("account", "ts", "balance")).select("account", "ts", F.col("balance").cast("string").alias("balance"))
 
 
 @query(f"with {_WS} select account, cast(sum(case when block_number < 1200 then delta else 0 end) as varchar) as moved, cast(max(mint) as varchar) as held from accounts group by 1")
@@ -518,7 +518,7 @@ def f7_points_rates(spark, d):
     o = R.table(spark, d, "orders")
     rate = C.points_rate(F.col("o_custkey"), F.col("o_orderkey"))
     days = F.call_function("div", F.col("o_custkey") * F.col("o_orderkey"), F.lit(86400).cast("long"))
-    return o.select("o_orderkey", C.points_rate_floor(F.col("o_custkey"), F.col("o_orderkey")).alias("whole"), F.when(rate >= days * 1000, days * 1000).alias("at_least"))
+    return o.select("o_orderkey", C.points_rate_floor(F.col("o_custkey"), F.col("o_orderkey")).alias("whole"), F.when(rate.cast("decimal(38,6)") >= days * 1000, days * 1000).alias("at_least"))
 
 
 @query("select event_id, round(ln(value + 1), 6) as v from events where value >= 0")

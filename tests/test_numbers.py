@@ -2,10 +2,14 @@
 
 import random
 import uuid
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import points_of
 from ledgerloom.operators import aggregates, windows
+from ledgerloom.plans import renditions as R
 from ledgerloom.sources import readers
 
 
@@ -29,3 +33,26 @@ def test_range_is_pushed_to_the_database(spark):
     assert sorted(r.ID for r in found.collect()) == list(range(10, 20))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [*IsNotNull(ID), *GreaterThanOrEqual(ID,10), *LessThanOrEqual(ID,19)]" in plan and "numPartitions=3" in plan
+
+
+def test_points_of_amounts_of_any_size(spark):
+    """Exact to 38 digits of unit-seconds; a decimal of six places ended at 32 digits of points."""
+    random.seed(9)
+    held = [0, 1, -1, 43, 86399, 86400, -86400, 10**9 + 7, 10**20 - 1, 10**33 + 5, 10**38 - 1, 1 - 10**38] + [random.randrange(10**n) for n in range(1, 39) for _ in range(3)]
+
+    def wanted(v: int) -> str:
+        m = int(Fraction(abs(v) * 10**9, 86400) + Fraction(1, 2))
+        return f"{'-' if v < 0 else ''}{m // 10**6}.{m % 10**6:06d}"
+
+    df = spark.createDataFrame([(Decimal(v),) for v in held], "v decimal(38,0)")
+    assert [r[0] for r in df.select(points_of(F.col("v"))).collect()] == list(map(wanted, held))
+    assert spark.sql("select cast(null as decimal(38,0)) v").select(points_of(F.col("v"))).first()[0] is None
+
+
+def test_raw_tables_shuffle_narrow_rows(spark):
+    """Tables that are derived from lines are dealt before their rows widen."""
+    for make in (R.logs, R.token_logs, R.calls, R.factory_logs):
+        plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        below = plan.split("RebalancePartitions", 1)[1]
+        assert "Project [l_orderkey" in below or "Project [o_orderkey" in below, plan
+        assert "concat" not in below.split("RebalancePartitions")[0].split("Union")[0] or make is R.factory_logs
