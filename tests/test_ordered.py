@@ -116,3 +116,14 @@ def test_two_streams_and_a_restart(spark, tmp_path):
     put(made, ("x", 1000))
     run()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 4, 5, 6]
+
+
+def test_ticks_of_a_stream_come_as_runs(spark):
+    """One row from the state for each change, not for each tick; backfill and live steps, ticks from the first change on."""
+    from ledgerloom.streaming import jobs
+
+    steps = jobs._steps(20, 100, 430)
+    ticks = lambda a, b: [t for first, last, step in jobs._runs(steps, a, b) for t in range(first, last + 1, step)]
+    want = [t for t in range(1, 2000) if (t % 100 == 0 if t < 430 else t % 20 == 0)]
+    assert ticks(0, 1999) == want and ticks(400, 1999) == [t for t in want if t > 400] and ticks(1980, 1999) == []
+    assert len(list(jobs._runs(steps, 0, 10**9))) == 2
