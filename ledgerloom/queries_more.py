@@ -63,7 +63,8 @@ def _token_logs(spark, d) -> DataFrame:
 
 
 def _token_transfers(spark, d) -> DataFrame:
-    return L.transfers_job(_token_logs(spark, d), 0, 1 << 40)
+    """Decoded once a session and stored, as the jobs go through them several times."""
+    return _raw("token_transfers", lambda spark, d: L.transfers_job(_token_logs(spark, d), 0, 1 << 40), spark, d)
 
 
 @query(f"with {_WG} select account || '-' || ts as id, account, ts, cast(balance as varchar) as balance, cast(mint_amount as varchar) as mint_amount, cast(unit_seconds as varchar) as unit_seconds from snaps")
