@@ -56,3 +56,22 @@ def test_raw_tables_shuffle_narrow_rows(spark):
         below = plan.split("RebalancePartitions", 1)[1]
         assert "Project [l_orderkey" in below or "Project [o_orderkey" in below, plan
         assert "concat" not in below.split("RebalancePartitions")[0].split("Union")[0] or make is R.factory_logs
+
+
+def test_factory_stream_has_no_task_with_all_swaps(spark, monkeypatch):
+    """The files of the stream: all creations before the swaps, which are not in one task."""
+    from ledgerloom import queries_more as Q
+
+    seen = {}
+    read = Q.readers.read_stream_blocks
+
+    def noted(session, path, schema, *more, **options):
+        rows = session.read.parquet(path).select(F.input_file_name().alias("f"), F.col("_metadata.file_modification_time").alias("at"), F.col("topics").startswith(Q.schemas.EVENTS["Swap"][0]).alias("swap"))
+        seen.update({r.f: (r.at, r.swaps, r.n) for r in rows.groupBy("f", "at").agg(F.min("swap").alias("swaps"), F.count_distinct("swap").alias("n")).collect()})
+        return read(session, path, schema, *more, **options)
+
+    monkeypatch.setattr(Q.readers, "read_stream_blocks", noted)
+    monkeypatch.setattr(Q, "_raw", lambda name, make, session, d: make(session, d).repartition(3))
+    Q.t8_factory_stream(spark, "/root/testdata/sf0.001")
+    assert all(n == 1 for _, _, n in seen.values()) and sum(swaps for _, swaps, _ in seen.values()) == 3
+    assert max(at for at, swaps, _ in seen.values() if not swaps) <= min(at for at, swaps, _ in seen.values() if swaps)
