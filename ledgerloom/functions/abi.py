@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.columns import data_word, topic_to_address
+from ledgerloom.functions.columns import cut_from, data_word, topic_to_address
+from ledgerloom.functions.columns import let as _let
 from ledgerloom.functions.contract_abi import Abi, decode_logs, event_tables, parse_abi
 from ledgerloom.functions.u256 import word_to_u256
 from ledgerloom.schemas import EVENTS, ZERO_ADDRESS
@@ -33,21 +34,16 @@ def _from_word(word: Column, kind: str) -> Column:
 def _tail(data: Column, offset: Column, kind: str) -> Column:
     """A dynamic value; ``offset`` is in bytes from the start of ``0x`` data."""
     at = (offset * 2 + 3).cast("int")
-    length = _number(data.substr(at, F.lit(64))).cast("int")
+    length = _number(data.substr(at, F.lit(64)).cast("string")).cast("int")
     if kind == "address[]":
         path = address_array(data, offset)
         return F.concat(F.lit('["'), F.array_join(path, '","'), F.lit('"]'))
-    body = data.substr(at + 64, length * 2)
+    body = data.substr(at + 64, length * 2).cast("string")
     if kind == "string":
         return F.decode(F.unhex(body), "UTF-8")
     return F.concat(F.lit("0x"), F.lower(body))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` with a column that is computed once a row.
 
@@ -62,12 +58,12 @@ def address_array(data: Column, offset: Column, most: int | None = None) -> Colu
 
     def counted(s: Column) -> Column:
         there = F.call_function("div", F.length(s["d"]) - s["at"] - 63, F.lit(64))
-        told = _number(s["d"].substr(s["at"], F.lit(64)))
+        told = _number(s["d"].substr(s["at"], F.lit(64)).cast("string"))
         n = F.when(told.isNotNull(), F.least(told, there, *([F.lit(most)] if most else [])))
         return F.struct(s["d"].alias("d"), s["at"].alias("at"), n.alias("n"))
 
     def cut(s: Column) -> Column:
-        item = lambda i: F.concat(F.lit("0x"), F.lower(s["d"].substr((s["at"] + 88 + i * 64).cast("int"), F.lit(40))))
+        item = lambda i: F.concat(F.lit("0x"), F.lower(s["d"].substr((s["at"] + 88 + i * 64).cast("int"), F.lit(40)).cast("string")))
         items = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(s["n"], F.lit(1).cast("long")) - 1), item)
         return F.when(s["n"] <= 0, F.array().cast("array<string>")).when(s["n"].isNotNull(), items)
 
@@ -152,10 +148,14 @@ def decode_call(df: DataFrame, selector: str, kinds: list[str], call: str = "inp
 
     Decodable is an input with the selector and all words of its head.
     """
+
+    def decoded(data: Column) -> Column:
+        inputs = F.array(*[_value(data, k, kind).cast("string") for k, kind in enumerate(kinds)])
+        return F.struct(_printed(inputs, kinds).alias("inputs"))
+
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
     whole = F.col(call).startswith(selector) & (F.length(F.col(call)) >= 10 + 64 * len(kinds))
-    inputs = F.array(*[_value(data, k, kind).cast("string") for k, kind in enumerate(kinds)])
-    return _computed(df, "decoded", F.when(whole, F.struct(_printed(inputs, kinds).alias("inputs"))))
+    return _computed(df, "decoded", F.when(whole, cut_from(data, decoded)))
 
 
 def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None, fallback: bool = False) -> DataFrame:
@@ -173,6 +173,6 @@ def decode_swap_call(df: DataFrame, call: str = "input", most: int | None = None
         return F.struct(numbers.alias("numbers"), path.alias("path"), _from_word(data_word(data, 3), "address").alias("to"))
 
     data = F.concat(F.lit("0x"), F.substring(F.col(call), 11, 1 << 30))
-    whole = _computed(df.where(F.length(F.col(call)) >= 10 + 64), "_call", _let(data, decoded))
+    whole = _computed(df.where(F.length(F.col(call)) >= 10 + 64), "_call", cut_from(data, decoded))
     named = {n: F.col("_call.numbers")[k] for k, n in enumerate(("amount_in", "amount_out_min", "deadline"))}
     return whole.withColumns(named | {"path": F.col("_call.path"), "to": F.col("_call.to")}).drop("_call")

@@ -38,9 +38,23 @@ def topic_to_address(topic: Column) -> Column:
 
 
 def data_word(data: Column, k: int | Column) -> Column:
-    """The k-th 32-byte word of ``0x`` data, 64 hex digits."""
+    """The k-th 32-byte word of ``0x`` data, text or its bytes: 64 hex digits."""
     k = F.lit(k) if isinstance(k, int) else k
-    return data.substr(k * 64 + 3, F.lit(64))
+    return data.substr(k * 64 + 3, F.lit(64)).cast("string")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def cut_from(text: Column, body) -> Column:
+    """``body(text)`` for a body that cuts many pieces by their places.
+
+    It gets the bytes where each character is one: a piece of bytes is found at
+    once, where one of text is found by counting all characters before it.
+    """
+    return let(text, lambda t: F.when(F.octet_length(t) == F.length(t), let(t.cast("binary"), body)).otherwise(body(t)))
 
 
 def data_word_address(data: Column, k: int) -> Column:

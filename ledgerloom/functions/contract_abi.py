@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.columns import cut_from
 from ledgerloom.functions.u256 import BASE, _carried, digits_to_string, string_to_digits, word_to_u256
 
 _MASK = (1 << 64) - 1
@@ -185,7 +186,7 @@ def parse_abi(text: str | list | Abi) -> Abi:
 
 
 # -- expressions -----------------------------------------------------------------
-# Positions are characters from 1; ``d`` is hex data without 0x.
+# Positions are characters from 1; ``d`` is hex data without 0x, text or its bytes.
 
 
 def _let(value: Column, body) -> Column:
@@ -195,7 +196,7 @@ def _let(value: Column, body) -> Column:
 
 def _word(d: Column, at: Column) -> Column:
     """64 hex digits; null where the data end before."""
-    word = d.substr(at, F.lit(64))
+    word = d.substr(at, F.lit(64)).cast("string")
     return F.when((at > 0) & (F.length(word) == 64), word)
 
 
@@ -228,6 +229,26 @@ def _atom(kind: Type, word: Column) -> Column:
     return F.when(word.rlike("^[0-9a-fA-F]{64}$"), value)
 
 
+def _of_kind(kind: Type):
+    return lambda word: _atom(kind, word)
+
+
+def _flat_atom(kind: Type, d: Column, at: int) -> Column:
+    """``_atom`` of the word at a fixed place of data's bytes, all hex digits; most numbers have 49 zeros first."""
+    cut = lambda start, n: F.substring(d, start, n).cast("string")
+    if kind.kind == "address":
+        return F.concat(F.lit("0x"), F.lower(cut(at + 24, 40)))
+    if kind.kind == "bool":
+        return cut(at + 63, 1) != "0"
+    if kind.kind == "fixed":
+        return F.concat(F.lit("0x"), F.lower(cut(at, 2 * kind.bits)))
+    if kind.kind == "uint" and kind.bits <= 56:
+        return F.conv(cut(at + 50, 14), 16, 10)
+    word = cut(at, 64)
+    rest = _signed(word) if kind.kind == "int" else word_to_u256(word)
+    return F.when(cut(at, 49) == "0" * 49, F.conv(cut(at + 49, 15), 16, 10)).otherwise(rest)
+
+
 def _struct(parts: tuple[Parameter, ...], d: Column, base: Column) -> Column:
     """The values of a tuple that starts at ``base``."""
     fields, at = [], 0
@@ -264,32 +285,42 @@ def _body(kind: Type, d: Column, start: Column) -> Column:
     if kind.kind == "array":
         return _let(_size(_word(d, start)), lambda n: _items(kind, d, start + 64, n))
     size = _size(_word(d, start)) * 2
-    body = d.substr(start + 64, size)
+    body = d.substr(start + 64, size).cast("string")
     whole = F.when(F.length(body) == size, body)
     return F.make_valid_utf8(F.unhex(whole).cast("string")) if kind.kind == "string" else F.concat(F.lit("0x"), F.lower(whole))
 
 
 def decode_data(parts: tuple[Parameter, ...], data: Column) -> Column:
-    """Hex data, without 0x, as a struct of named values; a part that the data don't hold is null."""
-    return _let(data, lambda d: _struct(parts, d, F.lit(1)))
+    """Hex data, without 0x, as a struct of named values; a part that the data don't hold is null.
+
+    Where all values are single words, and the data have them whole, the digits
+    are checked once and the words taken by their places.
+    """
+    whole = lambda d: _struct(parts, d, F.lit(1))
+    if not parts or any(p.type.dynamic or p.type.kind in ("array", "tuple") for p in parts):
+        return cut_from(data, whole)
+    flat = lambda d: F.struct(*[_flat_atom(p.type, d, 1 + 64 * k).alias(p.name) for k, p in enumerate(parts)])
+    return _let(data, lambda d: F.when(d.rlike(f"^[0-9a-fA-F]{{{64 * len(parts)}}}"), _let(d.cast("binary"), flat)).otherwise(whole(d)))
 
 
 def _event_values(event: Entry, topics: Column, data: Column) -> Column:
     """A struct of an event's values; an indexed value of more than a word is its hash."""
     held = tuple(p for p in event.inputs if not p.indexed)
 
-    def found(body: Column) -> Column:
+    def found(read: Column) -> Column:
+        topics, body = read["topics"], read["body"]
         fields, topic = [], 1
         for p in event.inputs:
             if p.indexed:
                 topic += 1
                 atom = Type("fixed", 32) if p.type.dynamic or p.type.kind in ("tuple", "array") else p.type
-                fields.append(_atom(atom, F.substring(F.get(topics, F.lit(topic - 1)), 3, 64)).alias(p.name))
+                fields.append(_let(F.substring(F.get(topics, F.lit(topic - 1)), 3, 64), _of_kind(atom)).alias(p.name))
             else:
                 fields.append(body[p.name].alias(p.name))
         return F.struct(*fields) if fields else F.struct(F.lit(None).cast("string").alias("none"))
 
-    return _let(decode_data(held, F.substring(data, 3, 1 << 30)), found) if held else found(F.lit(None))
+    body = decode_data(held, F.substring(data, 3, 1 << 30)) if held else F.lit(None)
+    return _let(F.struct(topics.alias("topics"), body.alias("body")), found)
 
 
 def _texts(struct: Column, parts: tuple[Parameter, ...]) -> Column:
@@ -309,7 +340,8 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _is_event(event: Entry, topics: str) -> Column:
     """By topic 0 and the number of topics: events may differ only in what is indexed."""
-    return (F.lower(F.substring(F.col(topics), 1, 66)) == event.topic) & (F.size(F.split(F.col(topics), ",")) == event.indexed + 1)
+    commas = F.length(F.col(topics)) - F.length(F.replace(F.col(topics), F.lit(","), F.lit("")))
+    return (F.lower(F.substring(F.col(topics), 1, 66)) == event.topic) & (commas == event.indexed)
 
 
 def event_table(logs: DataFrame, abi: str | Abi, name: str, keep: list[str] | None = None, topics: str = "topics", data: str = "data") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
-from ledgerloom.functions import u256
+from ledgerloom.functions import abi, contract_abi, u256
 from ledgerloom.functions.abi import decode_call, decode_log, decode_swap_call, route_events
 from ledgerloom.schemas import EVENTS, SWAP_SELECTOR, ZERO_ADDRESS
 
@@ -104,3 +104,22 @@ def test_calls_and_short_paths(spark):
 def test_columns(spark, column, value, want):
     kind = {int: "long", list: "array<int>"}.get(type(value), "string")
     assert spark.createDataFrame([(value,)], f"v {kind}").select(column()).first()[0] == want
+
+
+def test_odd_data_decode_by_characters_and_calldata_are_cut_once(spark):
+    """Letters beyond ASCII and other than hex digits count as one place each; calldata stand once in the plan."""
+    word = lambda n: f"{n:064x}"
+    body = word(5) + word(1 << 70) + word(160) + "0" * 24 + "é" * 40 + "g" * 64 + word(2) + word(10) + word(11)
+    calls = spark.createDataFrame([(1, "0x38ed1739" + body), (2, "0x38ed1739" + body.replace("é", "A")), (3, "0x38ed1739" + body[:300])], "id int, input string")
+    decoded = abi.decode_call(calls, "0x38ed1739", ["uint256", "uint256", "address[]", "address", "uint256"])
+    got = {r.id: r.decoded and list(r.decoded.inputs) for r in decoded.collect()}
+    path = '["0x' + f"{10:040x}" + '","0x' + f"{11:040x}" + '"]'
+    assert got == {1: ["5", str(1 << 70), path, "0x" + "é" * 40, "0"], 2: ["5", str(1 << 70), path, "0x" + "a" * 40, "0"], 3: None}
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(input") <= 2
+    flat = [contract_abi.Parameter(n, contract_abi.parse_type(t)) for n, t in (("a", "uint256"), ("b", "int64"), ("c", "address"), ("d", "bool"), ("e", "bytes4"), ("f", "uint32"))]
+    data = word(1 << 70) + "f" * 64 + "0" * 24 + "AB" * 20 + word(1) + "12345678" + "0" * 56 + word(7)
+    rows = spark.createDataFrame([(1, data), (2, data[:64] + "é" * 64 + data[128:]), (3, data[:128])], "id int, data string")
+    read = {r.id: list(r.v) for r in rows.select("id", contract_abi.decode_data(tuple(flat), F.col("data")).alias("v")).collect()}
+    good = [str(1 << 70), "-1", "0x" + "ab" * 20, True, "0x12345678", "7"]
+    assert read == {1: good, 2: [good[0], None, *good[2:]], 3: [*good[:2], None, None, None, None]}
