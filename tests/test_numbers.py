@@ -75,3 +75,11 @@ def test_factory_stream_has_no_task_with_all_swaps(spark, monkeypatch):
     Q.t8_factory_stream(spark, "/root/testdata/sf0.001")
     assert all(n == 1 for _, _, n in seen.values()) and sum(swaps for _, swaps, _ in seen.values()) == 3
     assert max(at for at, swaps, _ in seen.values() if not swaps) <= min(at for at, swaps, _ in seen.values() if swaps)
+
+
+def test_raw_tables_are_dealt_before_they_widen(spark):
+    """The shuffle lies below the hashes and hex texts, so it has the source columns only."""
+    for make in (R.logs, R.token_logs, R.calls, R.factory_logs):
+        plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        dealt = plan.index("RebalancePartitions")
+        assert plan.index("hex(") < dealt and "hex(" not in plan[dealt:].split("Project")[0] and "Repartition " not in plan
