@@ -106,12 +106,18 @@ class Terms:
 
 
 class Model:
-    """Term weights, the latent space, and the labelled vectors with their labels."""
+    """Term weights, the latent space, and the labelled vectors with their labels.
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, seed: int = 42):
-        known = (counts > 0).sum(axis=0)
+    Training holds one matrix of the sample by TERMS: its counts, which are
+    overwritten by their weights unless ``counts`` is to be kept.
+    """
+
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, seed: int = 42, keep: bool = True):
+        rows = counts.copy() if keep else counts
+        known = np.count_nonzero(rows, axis=0)
         self.idf = np.log((1 + len(counts)) / (1 + known)).astype(np.float32) + np.float32(0.05)
-        rows = self.weigh(counts)
+        for at in range(0, len(rows), 256):
+            rows[at : at + 256] = self.weigh(rows[at : at + 256])
         rng = np.random.default_rng(seed)
         latent = min(LATENT, *rows.shape)
         # Randomised subspace iteration: a few passes over the sample.
@@ -122,14 +128,17 @@ class Model:
         self.space = (basis @ turn.T)[:, :latent].astype(np.float32)
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean())
-        self.vectors = self.latent(counts)
+        self.vectors = self.project(rows)
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         rows = np.log1p(counts) * self.idf
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        rows = self.weigh(counts) @ self.space
+        return self.project(self.weigh(counts))
+
+    def project(self, weighed: np.ndarray) -> np.ndarray:
+        rows = weighed @ self.space
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def vote(self, counts: np.ndarray) -> np.ndarray:
@@ -171,10 +180,12 @@ def train(sample: DataFrame) -> Model | None:
     labels = np.array([n for *_, n in found])
     if len(set(labels.tolist())) < 2:
         return None
+    del rows
     counts = np.zeros((len(found), TERMS), np.float32)
     for row, (_, terms, values, _) in zip(counts, found, strict=True):
         row[np.frombuffer(terms, "<u4")] = np.frombuffer(values, "<f4")
-    return Model(counts, labels)
+    del found
+    return Model(counts, labels, keep=False)
 
 
 def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -61,3 +62,17 @@ def test_edge_rows(spark):
     assert {r.score for r in quality.score_documents(docs, None).collect()} == {1.0}
     whole = quality.score_documents(docs, model, tuple(docs.columns), "_q")
     assert whole.columns == [*docs.columns, "_q"] and whole.drop("_q").exceptAll(docs).count() == 0
+
+
+def test_training_holds_one_matrix():
+    """Beyond the counts it was given, training takes less than half their size."""
+    rng = np.random.default_rng(4)
+    counts = np.where(rng.random((1500, quality.TERMS), np.float32) < 0.1, np.float32(2), np.float32(0))
+    labels, whole = rng.integers(0, 2, len(counts)), quality.Model(counts, np.arange(len(counts)) % 2)
+    assert counts.max() == 2  # kept, unless told otherwise
+    size = counts.nbytes
+    tracemalloc.start()
+    model = quality.Model(counts, labels, keep=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < size / 2 and (model.vectors == whole.vectors).all()
