@@ -1,14 +1,17 @@
 """Near copies: SimHash candidates, verified by the exact similarity of their shingles.
 
 The similarity of two texts is the Jaccard coefficient of their sets of word
-shingles. Texts with the same set are one node. Nodes meet in posting lists
-keyed by BANDS bands of ROWS minimum hashes, so two that are similar by 0.8 miss
-each other with a chance of (1 - 0.8**ROWS)**BANDS, 7 in 100,000. Of a list's
-pairs those are left out that can't be similar by the sizes of their sets, or
-hardly can: their SimHash fingerprints differ in more bits than any such pair is
-likely to (at 0.8 the mean is about 20 of 128 bits, the standard deviation 4, or 5
-for texts of a few shingles), or fewer than EQUAL of HASHES minimum hashes agree
-in four bits (at 0.8 the mean is 195, the standard deviation 6).
+shingles. Texts with the same set are one node. A node's SimHash fingerprint of
+BITS bits is read as positional bytes, and nodes meet in the posting lists of an
+index keyed by two of these: all pairs of positions within GROUPS groups of three.
+Two sets of any size that are similar by 0.8 differ in about 15 % of the bits and
+share about 32 of 120 bytes; any 41 would meet for certain, and by chance all but 4
+in 10,000 pairs do (2 in 100 of four shingles against five, 2 in 10,000 at 0.815). Of
+a list's pairs those are left out that can't be similar by the sizes of their sets,
+or hardly can: they differ in more than MAX_BITS of the first 128 bits (at 0.8 the
+mean is about 20, the standard deviation 4, or 5 for texts of a few shingles), or
+share fewer than EQUAL of the next HASHES half bytes (at 0.8 the mean is 33, the
+standard deviation 4).
 
 What these candidates join is a cluster. No link leaves it, and each of its
 nodes goes there once, with its shingles as 64-bit hashes: nodes that are not
@@ -27,26 +30,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.arrow import text_bytes, word_chunks
+from ledgerloom.llm.arrow import byte_matrix, text_bytes, word_chunks
 from ledgerloom.llm.graph import components
-from ledgerloom.llm.simhash import _ones, met_in_lists
+from ledgerloom.llm.simhash import index_keys, met_in_lists
 from ledgerloom.operators.joins import spread_join
 from ledgerloom.llm.places import fresh
 from ledgerloom.session import written
 
-#: Bands of the index, and minimum hashes in each.
-BANDS, ROWS = 24, 5
-#: Differing bits, of 128, beyond which a pair isn't verified.
+#: Bits of a fingerprint, and groups of three positional bytes in it.
+BITS, GROUPS = 960, 40
+#: Differing bits, of the first 128, beyond which a pair isn't verified.
 MAX_BITS = 44
-#: Minimum hashes of a signature, four bits each, and how many have to agree.
-HASHES, EQUAL = 240, 170
+#: Half bytes that are tallied after them, and how many have to be the same.
+HASHES, EQUAL = 64, 14
 #: Shingles of a cluster that make one block.
 SHINGLES = 1 << 19
 
-_RNG = np.random.default_rng(42)
-_XOR = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None]
-_ODD = _RNG.integers(0, 1 << 63, HASHES, np.uint64)[:, None] | np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS + 1), np.uint64) | np.uint64(1)
+#: The positions of each of the index's keys.
+_KEYS = np.array(index_keys(BITS // 8, GROUPS + 1, GROUPS))
+_LANES = np.arange(BITS // 64, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
 #: Of each byte how many of its two halves are zero.
 _ZEROS = np.array([(n < 16) + (n % 16 == 0) for n in range(256)], np.uint8)
 
@@ -74,31 +76,21 @@ def node_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes(), 7)
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least values of HASHES hash functions over the set."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _XOR) * _ODD).min(axis=1))
-    return least
+def sketch(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of shingles: BITS bits, 64 of each remix of their hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        x = hashes[at : at + 255, None] ^ _LANES
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One key per band, of ROWS least values each."""
-    keys = (least[: BANDS * ROWS].reshape(BANDS, ROWS) >> np.uint64(7)) * _MIX[:, :ROWS]
-    keys = keys ^ (keys >> np.uint64(31))
-    return (keys * _MIX[:, 1:]).sum(axis=1, dtype=np.uint64) ^ _MIX[:, 0]
-
-
-def signature(least: np.ndarray) -> bytes:
-    """Four bits of each least value."""
-    some = ((least >> np.uint64(16)) & np.uint64(15)).astype(np.uint8)
-    return (some[::2] << 4 | some[1::2]).tobytes()
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The 128-bit SimHash of a set of shingles, as two numbers."""
-    ones = sum(_ones(hashes[at : at + (1 << 15)], 2) for at in range(0, len(hashes), 1 << 15))
-    return np.packbits(ones * 2 > len(hashes)).view(np.uint64)
+def list_keys(prints: np.ndarray) -> np.ndarray:
+    """The keys of each fingerprint, given as a row of bytes: number and values of two positions."""
+    two = prints[:, _KEYS].astype(np.int64)
+    return np.arange(len(_KEYS)) << 16 | two[:, :, 0] << 8 | two[:, :, 1]
 
 
 #: Bytes of a node, of what else is compared before shingles are, and of both.
@@ -106,43 +98,42 @@ NODE, WIDTH = 16, 16 + 8 + 16 + HASHES // 2
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, mark, node, n, member, keys`` of every row; no keys without words.
+    """``doc_id, mark, node, n, member, print`` of every row; no fingerprint without words.
 
-    ``member`` is node, size, SimHash fingerprint and signature, WIDTH bytes.
+    ``member`` is node, size, and what is compared of the fingerprint, WIDTH bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, members, keys = [], [], [], []
+            nodes, sizes, members, prints = [], [], [], []
             for text in text_bytes(batch.column(2)):
                 hashes = shingle_set(text, shingle)
-                least = least_hashes(hashes)
+                bits = sketch(hashes)
                 nodes.append(node_of(hashes))
                 sizes.append(len(hashes))
-                bits = sketch(hashes) if len(hashes) else np.zeros(2, np.uint64)
-                members.append(nodes[-1] + np.int64(len(hashes)).tobytes() + bits.tobytes() + signature(least))
-                keys.append(band_keys(least).tobytes() if len(hashes) else None)
+                members.append(nodes[-1] + np.int64(len(hashes)).tobytes() + bits[: WIDTH - NODE - 8])
+                prints.append(bits if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(keys, pa.binary())],
-                names=["doc_id", "mark", "node", "n", "member", "keys"],
+                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(prints, pa.binary())],
+                names=["doc_id", "mark", "node", "n", "member", "print"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, node binary, n long, member binary, keys binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, node binary, n long, member binary, print binary")
 
 
 def _post(nodes: DataFrame) -> DataFrame:
-    """``key, member``: each node once for every band."""
+    """``key, member``: each node once for every key of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
-                again = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(again)], names=["key", "member"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                keys = list_keys(byte_matrix(part.column(1), BITS // 8))
+                again = pa.array(np.repeat(np.arange(part.num_rows), len(_KEYS)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again)], names=["key", "member"])
 
-    return nodes.where("keys is not null").select("member", "keys").mapInArrow(run, "key long, member binary")
+    return nodes.where("print is not null").select("member", "print").mapInArrow(run, "key long, member binary")
 
 
 def joined(rows: int, split: int | None, similar: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -171,6 +162,10 @@ def candidates(similarity: float, max_bits: int) -> Callable:
         rows = left if right is None else np.concatenate([left, right])
         size = np.ascontiguousarray(rows[:, NODE : NODE + 8]).view(np.int64)[:, 0]
         bits, sig = np.ascontiguousarray(rows[:, NODE + 8 : NODE + 24]).view(np.uint64), rows[:, NODE + 24 :]
+        if right is None and len(rows) <= 256:  # most lists have no pair at all
+            differing = np.bitwise_count(bits[:, None] ^ bits).sum(axis=2, dtype=np.uint8)
+            if np.count_nonzero(differing <= max_bits) == len(rows):
+                return rows[:0], rows[:0]
 
         def similar(x: int, others: np.ndarray) -> np.ndarray:
             others = others[np.minimum(size[others], size[x]) >= similarity * np.maximum(size[others], size[x])]
@@ -283,7 +278,7 @@ def keep_one_near(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ma
     Other columns may have any name; an empty table gives an empty result.
     """
     marked = written(_marked(docs, shingle), "marked")
-    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("member").alias("member"), F.min("keys").alias("keys")), "nodes")
+    nodes = written(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.min("n").alias("n"), F.min("member").alias("member"), F.min("print").alias("print")), "nodes")
     roots = groups_of(nodes, docs, shingle, similarity, max_bits)
     rows = spread_join(marked.where("doc_id is not null").select("doc_id", "mark", "node"), roots, ["node"], "left")
     groups = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "mark")).alias("least"))

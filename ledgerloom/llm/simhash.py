@@ -181,15 +181,17 @@ def met_in_lists(posted: DataFrame, width: int, forest: Callable) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of whole lists; blocks of long lists, with their number."""
-        block, held = 0, []
+        block, held, edges = 0, [], 0
         for key, rows, last in _groups(batches, width):
             if last and not block:
                 if len(rows) > 1:
                     u, v = forest(rows, None)
-                    held.append((u, v))
-                    if sum(len(x) for x, _ in held) > 8192:
+                    if len(u):
+                        held.append((u, v))
+                        edges += len(u)
+                    if edges > 8192:
                         u, v = (np.concatenate(x) for x in zip(*held, strict=True))
-                        held = []
+                        held, edges = [], 0
                         yield _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
                 continue
             yield _table(rows, rows, np.full(len(rows), key), np.full(len(rows), block))

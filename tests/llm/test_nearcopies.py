@@ -109,3 +109,31 @@ def test_clusters_of_many_blocks_give_the_same_rows(spark, monkeypatch):
     assert sorted(r.doc_id for r in nearcopies.keep_one_near(docs).collect()) == once
     sets = [nearcopies.shingle_set(t.encode()) for _, t, _ in rows]
     assert once == sorted(set(nearcopies.similar_sets(sets, None, 0.8).tolist())) and 1 < len(once) < 150
+
+
+def test_candidates_come_from_bytes_of_fingerprints():
+    """Any 41 shared bytes meet in a list; few sets of like shingles don't, and sets apart hardly ever do."""
+    rng = np.random.default_rng(21)
+    width = nearcopies.BITS // 8
+    one = rng.integers(0, 256, (300, width), np.uint8)
+    other = one ^ rng.integers(1, 256, (300, width), np.uint8)
+    for a, b in zip(one, other, strict=True):
+        shared = rng.choice(width, nearcopies.GROUPS + 1, replace=False)
+        b[shared] = a[shared]
+    met = (nearcopies.list_keys(one) == nearcopies.list_keys(other)).any(axis=1)
+    assert met.all()
+    assert not (nearcopies.list_keys(one) == nearcopies.list_keys(np.invert(one))).any()
+
+    def prints(changed, n):
+        base = rng.integers(0, 1 << 62, n, np.uint64)
+        new = base.copy()
+        new[:changed] = rng.integers(0, 1 << 62, changed, np.uint64)
+        return [np.frombuffer(nearcopies.sketch(np.unique(x)), np.uint8) for x in (base, new)]
+
+    def found(changed, n, pairs):
+        left, right = (np.array(x) for x in zip(*[prints(changed, n) for _ in range(pairs)], strict=True))
+        return (nearcopies.list_keys(left) == nearcopies.list_keys(right)).any(axis=1).mean()
+
+    assert found(10, 90, 1500) >= 0.995  # 80 of 100 shingles in common
+    assert found(1, 9, 1500) >= 0.995  # 8 of 10
+    assert found(90, 90, 500) <= 0.02
