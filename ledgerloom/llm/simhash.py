@@ -160,6 +160,20 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int
 
 _LINKS = "u binary, v binary, key long, block int"
 
+#: Edges that a task gathers before it hands them on.
+EDGES = 1 << 16
+
+
+def least_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What edges between rows of bytes join, as one edge from each row to the least that they reach."""
+    width = u.shape[1]
+    rows = np.ascontiguousarray(np.concatenate([u, v])).view(np.dtype((np.void, width)))[:, 0]
+    nodes, ids = np.unique(rows, return_inverse=True)
+    parent = _hook(np.arange(len(nodes)), ids[: len(u)], ids[len(u) :])
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    whole = nodes.view(np.uint8).reshape(-1, width)
+    return whole[child], whole[parent[child]]
+
 
 def _table(u, v, keys, blocks) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
@@ -167,46 +181,64 @@ def _table(u, v, keys, blocks) -> pa.RecordBatch:
     )
 
 
+def _gathered(found: Iterator[tuple | pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as ``least_forest`` gives them, EDGES or so at a time; tables go through."""
+
+    def joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return least_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def told(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
+
+    held, edges = [], 0
+    for item in found:
+        if isinstance(item, pa.RecordBatch):
+            yield item
+        elif len(item[0]):
+            held.append(item)
+            edges += len(item[0])
+            if edges > EDGES:
+                held = [joined(held)]
+                edges = len(held[0][0])
+                if edges > EDGES // 2:
+                    yield told(*held[0])
+                    held, edges = [], 0
+    if held:
+        yield told(*joined(held))
+
+
 def met_in_lists(posted: DataFrame, width: int, forest: Callable) -> DataFrame:
     """Edges ``u, v`` that ``forest`` finds among the members of each posting list.
 
     ``posted`` has ``key`` (long) and ``member`` (binary of ``width`` bytes).
     ``forest(left, right)`` takes members as rows of bytes and gives the ends of
-    edges within left, if right is None, or else between left and right.
+    edges within left, if right is None, or else between left and right. Many
+    lists hold much the same members of a large group. So what the lists of a
+    task join is given as edges to the least member, mostly the same for all of
+    them, and not as other edges from each list.
 
     A posting list longer than BLOCK isn't gathered: its members go on as
     blocks, and a second pass compares every two of these blocks in a task of
     their own. So memory is bounded and no member is left out.
     """
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | pa.RecordBatch]:
         """Links of whole lists; blocks of long lists, with their number."""
-        block, held, edges = 0, [], 0
+        block = 0
         for key, rows, last in _groups(batches, width):
             if last and not block:
                 if len(rows) > 1:
-                    u, v = forest(rows, None)
-                    if len(u):
-                        held.append((u, v))
-                        edges += len(u)
-                    if edges > 8192:
-                        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
-                        held, edges = [], 0
-                        yield _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
+                    yield forest(rows, None)
                 continue
             yield _table(rows, rows, np.full(len(rows), key), np.full(len(rows), block))
             block = 0 if last else block + 1
-        if held:
-            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
 
-    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Links between two blocks; rows are sorted by pair of blocks, then block."""
         for _, group in _pairs(batches, width):
-            u, v = forest(group[0], group[1])
-            yield _table(u, v, np.full(len(u), -1), np.full(len(u), -1))
+            yield forest(group[0], group[1])
 
-    met = written(posted.repartition("key").sortWithinPartitions("key").mapInArrow(meet, _LINKS), "postings")
+    met = written(posted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: _gathered(meet(x)), _LINKS), "postings")
     found = met.where("block < 0").select("u", "v")
     long_lists = met.where("block >= 0").select("key", "block", F.col("u").alias("member"))
     if long_lists.isEmpty():
@@ -217,7 +249,7 @@ def met_in_lists(posted: DataFrame, width: int, forest: Callable) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "member")
     )
-    again = met_again.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(meet_blocks, _LINKS)
+    again = met_again.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(lambda x: _gathered(meet_blocks(x)), _LINKS)
     return found.union(again.select("u", "v")).distinct()
 
 

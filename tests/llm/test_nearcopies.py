@@ -3,7 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 
-from ledgerloom.llm import nearcopies
+from ledgerloom.llm import nearcopies, simhash
 
 
 def edited(rng, n, changed):
@@ -137,3 +137,21 @@ def test_candidates_come_from_bytes_of_fingerprints():
     assert found(10, 90, 1500) >= 0.995  # 80 of 100 shingles in common
     assert found(1, 9, 1500) >= 0.995  # 8 of 10
     assert found(90, 90, 500) <= 0.02
+
+
+def test_lists_of_one_group_give_about_one_edge_a_node(spark, monkeypatch):
+    """Fifty lists, each with most of the same 120 members in another order: short lists, and lists met as blocks."""
+    rng, n = np.random.default_rng(3), 120
+    rows = [(key, row(int(m), 10)) for key in range(50) for m in rng.permutation(n) if m < 60 or rng.random() < 0.9]
+    rows += [(50, row(200, 10)), (50, row(201, 10)), (51, row(202, 90)), (51, row(203, 10))]
+    posted = spark.createDataFrame([(k, bytearray(m)) for k, m in rows], "key long, member binary").coalesce(1)
+    for block in (16384, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = simhash.met_in_lists(posted, nearcopies.WIDTH, nearcopies.candidates(0.8, 0))
+        edges = {(r.u[0], r.v[0]) for r in found.collect()}
+        label = list(range(256))
+        for _ in range(n):
+            for u, v in edges:
+                label[u] = label[v] = min(label[u], label[v])
+        assert not any(label[:n]) and label[201] == 200 and label[203] == 203
+        assert len(edges) <= (n if block > n else 8 * n)
