@@ -83,3 +83,9 @@ def test_raw_tables_are_dealt_before_they_widen(spark):
         plan = make(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         dealt = plan.index("RebalancePartitions")
         assert plan.index("hex(") < dealt and "hex(" not in plan[dealt:].split("Project")[0] and "Repartition " not in plan
+
+
+def test_calls_of_a_transaction_lie_together(spark):
+    rows = R.calls(spark, "/root/testdata/sf0.001").select("transaction_hash", F.spark_partition_id().alias("part")).collect()
+    runs = sum(a != b for a, b in zip(rows, rows[1:], strict=False)) + 1
+    assert len(rows) > 1000 and runs == len(set(rows))
