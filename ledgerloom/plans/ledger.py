@@ -10,6 +10,8 @@ rows are cut into ranges of like depth (operators/ordered.py).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,10 @@ from ledgerloom.functions.abi import decode_event, decode_swap_call
 from ledgerloom.functions.columns import gas_value, path_join, points_of, snapshot_id, trace_id, unit_seconds
 from ledgerloom.operators.filters import block_between, by_selector, coalesce_default, exclude_zero_address, min_path, project_blocks, project_transfers, valid_gas
 from ledgerloom.operators.joins import account_ticks, factory_temporal_join, trace_tx_join
-from ledgerloom.operators.ordered import ordered_scan
+from ledgerloom.operators.ordered import DEPTH, ordered_scan
 from ledgerloom.operators.windows import gaps, number_bitmaps, signed_sides
 from ledgerloom.schemas import SWAP_SELECTOR, WINDOW_END, WINDOW_SECONDS, ZERO_ADDRESS
+from ledgerloom.session import written
 
 
 def transfers_job(logs: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -105,25 +108,48 @@ def snapshots_at_blocks(transfers: DataFrame, blocks: DataFrame, every: int, unt
 
     Before the block ``live_from`` it is every ``backfill``-th one. ``blocks``
     (``number, timestamp``) is the calendar: a block that it lacks has no tick. A
-    block with a transfer of the account is that snapshot. Block numbers of an
-    account are generated and meet the calendar in one equi-join. Rows of one
-    account and block are one, at the later of their times.
+    block with a transfer of the account is that snapshot. Rows of one account and
+    block are one, at the later of their times.
+
+    Only changes are shuffled. A tick has the balance and the sums of the change
+    before it, so ticks are generated after the scan, each change's own up to the next one.
+    The calendar's ticks are written, so that Spark knows their size.
     """
     sides = sides_of_accounts(transfers)
+    steps = [(every, None, until)] if live_from is None else [(backfill or every, None, min(live_from - 1, until)), (every, live_from, until)]
+    number = F.col("number")
+    on_step = reduce(lambda x, y: x | y, [(number % step == 0) & (number <= hi) & (F.lit(True) if lo is None else number >= lo) for step, lo, hi in steps])
+    calendar = written(blocks.where(on_step).groupBy(number.cast("long").alias("_number")).agg(F.max("timestamp").alias("_at"), F.lit(True).alias("_there")), "calendar")
     total = lambda c: F.sum(c).cast("decimal(38,0)").alias(c)
-    changes = sides.groupBy("account", "block_number").agg(F.max("ts").alias("ts"), total("delta"), total("mint"), F.lit(0).alias("tick"))
-    first = sides.groupBy("account").agg(F.min("block_number").alias("first_ts"))
-    # Of the live part, multiples of ``every`` from live_from on; of the backfill those below it.
-    start = first if live_from is None else first.withColumn("first_ts", F.greatest("first_ts", F.lit(live_from - 1).cast("long")))
-    numbers = account_ticks(start, every, until)
-    if live_from is not None:
-        numbers = numbers.union(account_ticks(first, backfill or every, min(live_from - 1, until)))
+    changes = sides.groupBy("account", "block_number").agg(F.max("ts").alias("ts"), total("delta"), total("mint"))
+    # A change in a tick's block is at the later of the two times, but an account's first one, which has no tick, at its own.
     zero = F.lit(0).cast("decimal(38,0)")
-    calendar = blocks.select(F.col("number").alias("block_number"), F.col("timestamp").alias("at"))
-    ticks = numbers.withColumnRenamed("ts", "block_number").join(calendar, "block_number").select("account", "block_number", F.col("at").alias("ts"), zero.alias("delta"), zero.alias("mint"), F.lit(1).alias("tick"))
-    merged = changes.unionByName(ticks).groupBy("account", "block_number").agg(F.max("ts").alias("ts"), total("delta"), total("mint"), F.min("tick").alias("tick"))
-    named = merged.withColumn("trigger", F.when(F.col("tick") == 1, "tick").otherwise("transfer"))
-    return _snapshots(named, "block_number").select("account", "block_number", "ts", "balance", "mint_amount", "unit_seconds", "trigger")
+    moved = lambda at: F.coalesce(unit_seconds(F.col("delta"), at), zero)
+    # An account has a row for each block at most.
+    span = transfers.agg(F.max("block_number") - F.min("block_number") + 2).first()[0] or 0
+    if span <= DEPTH:
+        # No account is cut, so changes are shuffled for the scan here, before they widen.
+        changes = changes.repartition("account")
+    timed = changes.join(calendar, F.col("block_number") == F.col("_number"), "left").withColumn("_later", F.greatest("ts", "_at")).drop("_number", "_at", "_there")
+    timed = timed.withColumns({"_moved": moved(F.col("_later")), "_more": F.when(F.col("block_number").isNotNull(), (moved(F.col("_later")) - moved(F.col("ts"))).cast("decimal(38,0)"))})
+    running = ordered_scan(
+        timed, "account", ["block_number"], {"balance": "delta", "mint_amount": "mint", "_sum": "_moved"}, {"_old": "block_number"},
+        sized=sides, after={"_next": "block_number"}, first={"_too_much": "_more"}, most=span,
+    )
+    block, following = F.col("block_number"), F.coalesce(F.col("_next") - 1, F.lit(until))
+    numbers = [F.array(block)]
+    for step, lo, hi in steps:
+        past = block if lo is None else F.greatest(block, F.lit(lo - 1))
+        start, stop = (past - F.pmod(past, F.lit(step)) + step).cast("long"), F.least(following, F.lit(hi)).cast("long")
+        numbers.append(F.when(start <= stop, F.sequence(start, stop, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>")))
+    opened = running.select(
+        "account", F.when(F.col("_old").isNull(), F.col("ts")).otherwise(F.col("_later")).alias("_ts"), F.col("balance").cast("decimal(38,0)").alias("balance"), F.col("mint_amount").cast("decimal(38,0)").alias("mint_amount"),
+        (F.col("_sum") - F.coalesce("_too_much", zero)).cast("decimal(38,0)").alias("_sum"), F.posexplode(F.concat(*numbers)).alias("_place", "block_number"),
+    )
+    own = F.col("_place") == 0
+    found = opened.join(calendar, F.col("block_number") == F.col("_number"), "left").where(own | F.col("_there")).withColumn("ts", F.when(own, F.col("_ts")).otherwise(F.col("_at")))
+    held = (unit_seconds(F.col("balance"), F.col("ts")) - F.col("_sum")).cast("decimal(38,0)")
+    return found.select("account", "block_number", "ts", "balance", "mint_amount", F.coalesce(held, zero).alias("unit_seconds"), F.when(own, "transfer").otherwise("tick").alias("trigger"))
 
 
 def points_closed_form(transfers: DataFrame, starts: DataFrame | None = None, t_end: int = WINDOW_END, window: int = WINDOW_SECONDS) -> DataFrame:

@@ -127,3 +127,44 @@ def test_ticks_of_a_stream_come_as_runs(spark):
     want = [t for t in range(1, 2000) if (t % 100 == 0 if t < 430 else t % 20 == 0)]
     assert ticks(0, 1999) == want and ticks(400, 1999) == [t for t in want if t > 400] and ticks(1980, 1999) == []
     assert len(list(jobs._runs(steps, 0, 10**9))) == 2
+
+
+@pytest.mark.parametrize("depth", [10, 100, 1 << 18])
+def test_scan_looks_ahead_and_back_to_the_first(spark, depth):
+    df = _rows(spark, 5)
+    got = ordered_scan(df, "a.key", ["at", "id"], depth=depth, after={"next": "value"}, first={"start": "value"})
+    w = Window.partitionBy("`a.key`").orderBy("at", "id")
+    want = df.select("*", F.lead("value").over(w).alias("next"), F.first("value", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("start"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("depth", [5, 1 << 18])
+def test_ticks_are_made_after_the_scan(spark, monkeypatch, depth):
+    """Nothing but changes is shuffled; blocks with several times, gaps of the calendar, accounts cut into ranges."""
+    from ledgerloom.operators import ordered
+
+    monkeypatch.setattr(ordered.ordered_scan, "__defaults__", tuple(depth if x == ordered.DEPTH else x for x in ordered.ordered_scan.__defaults__))
+    r = random.Random(6)
+    moves = [(f"t{i}", r.choice("abcd"), r.choice("abcd"), r.randrange(1, 9), b, b * 100 + r.randrange(50)) for i in range(400) for b in [r.choice([10, 12, r.randrange(10, 200)])]]
+    transfers = spark.createDataFrame(moves, "id string, from_addr string, to_addr string, value long, block_number long, ts long")
+    calendar = [(n, n * 100 + x) for n in range(0, 240) if n % 7 for x in (0, 20, 49)]
+    found = ledger.snapshots_at_blocks(transfers, spark.createDataFrame(calendar, "number long, timestamp long"), 4, 230, backfill=6, live_from=90)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "hashpartitioning" not in plan[: plan.index("Generate")]
+    at = {n: max(t for m, t in calendar if m == n) for n, _ in calendar if n <= 230 and (n % 6 == 0 if n < 90 else n % 4 == 0)}
+    want = []
+    for a in "abcd":
+        changes = {}
+        for _, f, t, v, b, ts in moves:
+            if a in (f, t):
+                last, delta = changes.get(b, (0, 0))
+                changes[b] = max(last, ts), delta + v * ((t == a) - (f == a))
+        first = min(changes)
+        balance = held = 0
+        before = None
+        for n in sorted({n for n in at if n > first} | set(changes)):
+            ts = max(changes.get(n, (0, 0))[0], at.get(n, 0) if n > first else 0)
+            held += balance * (ts - before) if before is not None else 0
+            balance, before = balance + changes.get(n, (0, 0))[1], ts
+            want.append((a, n, ts, balance, held, "transfer" if n in changes else "tick"))
+    assert sorted((x.account, x.block_number, x.ts, int(x.balance), int(x.unit_seconds), x.trigger) for x in found.collect()) == sorted(want)
