@@ -168,3 +168,32 @@ def test_ticks_are_made_after_the_scan(spark, monkeypatch, depth):
             balance, before = balance + changes.get(n, (0, 0))[1], ts
             want.append((a, n, ts, balance, held, "transfer" if n in changes else "tick"))
     assert sorted((x.account, x.block_number, x.ts, int(x.balance), int(x.unit_seconds), x.trigger) for x in found.collect()) == sorted(want)
+
+
+def test_a_stream_stores_runs_not_ticks(spark, tmp_path, monkeypatch):
+    """A row for each change and micro-batch, however many ticks; ticks wait for the watermark only, not for a later change."""
+    from ledgerloom import queries_more as Q
+
+    rows = lambda *r: spark.createDataFrame(list(r), "account long, block_number long, delta long")
+    for batch in (((1, 1, 5), (2, 2, 2**60)), ((9, 200, 0),), ((1, 230, 3),), ((2**62, 10**6, 1),), ((9, 10**6 + 40, 0),)):
+        rows(*batch).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = readers.read_stream_blocks(spark, str(tmp_path / "in"), rows().schema, files_per_batch=1)
+    seen = []
+
+    def noted(batch, number):
+        seen.append(max((r.last for r in batch.where("account = 1").collect()), default=0))
+        batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+    jobs.run_bounded(jobs.interval_runs_block(source, 3, 75, buckets=1), noted, str(tmp_path / "c"))
+    runs = spark.read.parquet(str(tmp_path / "out"))
+    assert runs.count() < 30 and max(x for x in seen if x < 10**5) == 153
+    upto = 10**6 + 40 - 75
+    got = jobs.run_ticks(runs, "block_number").groupBy("account", "balance").agg(F.count("*").alias("n"), F.max("block_number").alias("last")).collect()
+    first = lambda n: upto // 3 - n // 3
+    want = {(1, 5): (229 // 3, 228), (1, 8): (upto // 3 - 229 // 3, upto // 3 * 3), (2, 2**60): (upto // 3, upto // 3 * 3), (9, 0): (first(200), upto // 3 * 3)}
+    assert {(r.account, int(r.balance)): (r.n, r.last) for r in got} == want
+    drained, held = Q._drained, []
+    monkeypatch.setattr(Q, "_drained", lambda session, stream: held.append(stream.columns) or drained(session, stream))
+    for query in (Q.t6_interval_trigger_time, Q.t7_block_stream):
+        query(spark, "/root/testdata/sf0.001")
+    assert held == [["account", "first", "last", "step", "balance"]] * 2
