@@ -117,3 +117,34 @@ def test_repeated_micro_batches_count_once(spark, tmp_path):
     for batch_id in (0, 0, 1):
         handle(batch, batch_id)
     assert jobs.read_batches(spark, str(tmp_path / "rows"), batch.schema).count() == 4
+
+
+def test_factory_batch_keeps_no_copies(spark, tmp_path, monkeypatch):
+    """No decoded logs are held, and no staged rows are left behind; topics in upper case are read too."""
+    from ledgerloom.plans import ledger
+    from ledgerloom.plans import renditions as R
+    from ledgerloom.session import shared_dir
+
+    staged = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/staged-*"))
+    held, before = [], staged()
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: held.append(df) or df)
+    logs = R.factory_logs(spark, "/root/testdata/sf0.001").cache()
+    loud = logs.withColumn("topics", F.when(F.col("log_index") % 2 == 1, F.concat(F.lit("0x"), F.upper(F.substring("topics", 3, 64)), F.substring("topics", 67, 1000))).otherwise(F.col("topics")))
+    handle = jobs.factory_batch(str(tmp_path / "registry"), str(tmp_path / "swaps"))
+    handle(loud.where("block_number < 900"), 0)
+    handle(loud, 1)
+    want = {r.id for r in logs.join(ledger.pairs_job(logs).select(F.col("pair").alias("address")), "address", "left_semi").collect()}
+    got = [r.id for r in sinks.read_table(spark, str(tmp_path / "swaps")).collect()]
+    assert set(got) == want and len(got) == len(want) and want and held == []
+    assert staged() == before
+
+
+def test_latest_row_of_its_own_columns(spark):
+    """An order of all other columns needs no second copy of them in the shuffle; nulls come last."""
+    from ledgerloom.operators.windows import latest_per_key
+
+    df = spark.createDataFrame([("a", None, 9), ("a", 1, 2), ("a", 1, None), (None, None, None), ("b", 2, 3), ("b", 2, 3)], "id string, v int, w int").select("v", "id", "w")
+    found = latest_per_key(df, ["id"], ["v", "w"])
+    assert found.columns == ["v", "id", "w"] and sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", 2), (None, None, None), (2, "b", 3)], key=str)
+    assert "max_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r[0] or "" for r in latest_per_key(df.select("id"), ["id"], ["id"]).collect()) == ["", "a", "b"]
