@@ -128,7 +128,7 @@ def test_factory_batch_keeps_no_copies(spark, tmp_path, monkeypatch):
     staged = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/staged-*"))
     held, before = [], staged()
     monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: held.append(df) or df)
-    logs = R.factory_logs(spark, "/root/testdata/sf0.001").cache()
+    logs = R.factory_logs(spark, "/root/testdata/sf0.001")
     loud = logs.withColumn("topics", F.when(F.col("log_index") % 2 == 1, F.concat(F.lit("0x"), F.upper(F.substring("topics", 3, 64)), F.substring("topics", 67, 1000))).otherwise(F.col("topics")))
     handle = jobs.factory_batch(str(tmp_path / "registry"), str(tmp_path / "swaps"))
     handle(loud.where("block_number < 900"), 0)
